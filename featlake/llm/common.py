@@ -81,8 +81,17 @@ def slabs(at: np.ndarray, most: int) -> list[tuple[int, int]]:
 
 
 def bounded_sample(df: DataFrame, key: str, strata: str, per_stratum: int) -> DataFrame:
-    """At most per_stratum rows of each value of strata, those with the least hash of key: the same rows on every run."""
+    """At most per_stratum rows of each value of strata, those with the least hash of key: the same rows on every run.
+
+    Counts by the hash's first 12 bits show below which of these a stratum has enough rows, so that only about those
+    rows are moved and ranked.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(strata).orderBy(F.xxhash64(F.col(key)), F.col(key))
-    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_stratum).drop("_r")
+    hashed = df.withColumn("_h", F.xxhash64(F.col(key))).withColumn("_b", F.expr("shiftrightunsigned(_h, 52)"))
+    counts = hashed.groupBy(strata, "_b").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    enough = counts.withColumn("_c", F.coalesce(before, F.lit(0))).filter(F.col("_c") < per_stratum).groupBy(strata).agg(F.max("_b").alias("_last"))
+    some = hashed.join(enough, strata).filter("_b <= _last")
+    w = Window.partitionBy(strata).orderBy("_b", "_h", key)
+    return some.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_stratum).drop("_r", "_h", "_b", "_last")
