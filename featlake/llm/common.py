@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: One row of each stratum is broadcast up to this many strata, and joined by a shuffle beyond.
+MOST_STRATA = 10_000
 #: ASCII white space of the word contracts: x20 and x09 to x0D.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -92,6 +94,7 @@ def bounded_sample(df: DataFrame, key: str, strata: str, per_stratum: int) -> Da
     counts = hashed.groupBy(strata, "_b").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     enough = counts.withColumn("_c", F.coalesce(before, F.lit(0))).filter(F.col("_c") < per_stratum).groupBy(strata).agg(F.max("_b").alias("_last"))
-    some = hashed.join(enough, strata).filter("_b <= _last")
+    few = enough.limit(MOST_STRATA + 1).count() <= MOST_STRATA
+    some = hashed.join(F.broadcast(enough) if few else enough, strata).filter("_b <= _last")
     w = Window.partitionBy(strata).orderBy("_b", "_h", key)
     return some.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_stratum).drop("_r", "_h", "_b", "_last")

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from featlake.llm import language, near_dup, quality
+from featlake.llm import chat, language, near_dup, quality, simhash, substring
 from featlake.llm.common import table
 
 
@@ -21,14 +21,29 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removed_words(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.classify(table(spark, sf_dir, "documents"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted_digests(table(spark, sf_dir, "conversations"))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
+    "op3_substring": op3_substring,
     "op4_language": op4_language,
+    "op7_chat": op7_chat,
+    "op9_fingerprints": op9_fingerprints,
 }
 
 ORACLE: dict[str, str] = {}
