@@ -8,8 +8,9 @@ runs are merged when FANOUT of them stand beside each other. For each batch:
 1. its entries are aggregated into a new sorted run;
 2. the new run is merge-joined with the historical runs; entries that history holds, or the batch holds twice, are
    collected in a bitmap of fixed size;
-3. windows of the batch and of earlier documents whose entry is in the bitmap are verified on two independent 64-bit
-   hashes of all their words; the earliest start of each is kept (false positives of the bitmap only add such windows);
+3. windows of the batch and of earlier documents whose entry is in the bitmap are verified on two independent hashes
+   of all their words, of 64 and 32 bits; the earliest start of each is kept (false positives of the bitmap only add
+   such windows);
 4. words covered by a window that is not the earliest are removed.
 
 Batches go by ascending doc_id, so what is earlier is in history or in the batch.
@@ -38,10 +39,11 @@ SLAB = 1 << 19
 #: Bits of the bitmap of repeated entries: 8 MB, whatever the input.
 BITS = 26
 FANOUT, BATCHES = 4, 2
+#: Windows of a batch of rows that are held to drop repeats among them.
+MOST_HELD = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_WRAP = (1 << 64) - 1
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -90,7 +92,8 @@ class Words:
         before[at] = False  # no word goes on into the next document
         self.start = np.flatnonzero(inside & ~before)
         ends = before & ~inside
-        ends[at[1:]] |= (np.diff(at) > 0) & inside[at[1:] - 1]
+        last = at[1:][np.diff(at) > 0]
+        ends[last[inside[last - 1]]] = True
         self.end = np.flatnonzero(ends)
         self.first = np.searchsorted(self.start, at)
         self.raw = raw
@@ -197,36 +200,77 @@ def _bitmap(repeated: DataFrame) -> np.ndarray:
     return out
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+def _keyed(documents: DataFrame, told_apart: bool) -> DataFrame:
+    """doc_id, text and th, which tells rows of one doc_id apart where there are such (else it is zero)."""
+    d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return d.withColumn("th", F.xxhash64("text") if told_apart else F.lit(0).cast("long"))
 
 
-def candidates(documents: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """(h1, h2, doc_id, th, pos): windows whose entry is in the bitmap, by two independent hashes of their words."""
+def _local_firsts(found: list[tuple], rank: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of equal windows the first by rank of document and position, in the order of the scan."""
+    w, c, doc, pos = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.arange(len(w)) if (np.diff(rank) > 0).all() else np.lexsort((pos, rank[doc]))
+    order = order[np.argsort(w[order], kind="stable")]
+    new = np.ones(len(w), bool)
+    new[1:] = (w[order][1:] != w[order][:-1]) | (c[order][1:] != c[order][:-1])
+    keep = np.sort(order[new])
+    return w[keep], c[keep], doc[keep], pos[keep]
+
+
+def candidates(documents: DataFrame, bitmap: np.ndarray, told_apart: bool) -> DataFrame:
+    """(w, c, doc_id, th, pos): windows whose entry is in the bitmap, by two independent hashes of their words.
+
+    Of windows that repeat within a batch of rows only the first goes on, so that a passage that a third of all
+    documents share is sent about once a batch and not once a document.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, at = string_buffers(b.column(1))
+            ids, th = b.column(0), b.column(2).to_numpy()
+            order = np.lexsort((np.arange(len(th)), th, ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)))
+            rank = np.empty(len(th), np.int64)
+            rank[order] = np.arange(len(th))
+            found, held = [], 0
+
+            def out() -> pa.RecordBatch:
+                w, c, doc, pos = _local_firsts(found, rank)  # noqa: B023
+                take = pa.array(doc)
+                return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c), ids.take(take), pa.array(th[doc]), pa.array(pos)], ["w", "c", "doc_id", "th", "pos"])  # noqa: B023
+
             for a, z in slabs(at, SLAB):
-                w = Words(raw[at[a] : at[z]], at[a : z + 1] - at[a])
-                starts = w.window_starts()
-                h, _ = anchors(w, starts)
+                words = Words(raw[at[a] : at[z]], at[a : z + 1] - at[a])
+                starts = words.window_starts()
+                h, _ = anchors(words, starts)
                 starts = starts[_present(h, bitmap)]
                 if not len(starts):
                     continue
-                h1 = _runs(w.hashes(_FIRST), WINDOW, _FIRST)[starts]
-                h2 = _runs(w.hashes(_SECOND), WINDOW, _SECOND)[starts]
-                doc = np.searchsorted(w.first, starts, "right") - 1
-                pos = starts - w.first[doc]
-                take = pa.array(doc + a)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), b.column(0).take(take), b.column(2).take(take), pa.array(pos.astype(np.int32))], ["h1", "h2", "doc_id", "th", "pos"]
-                )
-
-    return _keyed(documents).mapInArrow(run, "h1 long, h2 long, doc_id long, th long, pos int")
-
-
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+                w = _runs(words.hashes(_FIRST), WINDOW, _FIRST)[starts]
+                c = (_runs(words.hashes(_SECOND), WINDOW, _SECOND)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                doc = np.searchsorted(words.first, starts, "right") - 1
+                found.append((w, c, doc + a, (starts - words.first[doc]).astype(np.int32)))
+                held += len(starts)
+                if held > MOST_HELD:
+                    yield out()
+                    found, held = [], 0
+            if found:
+                yield out()
+
+    return _keyed(documents, told_apart).mapInArrow(run, "w long, c int, doc_id long, th long, pos int")
+
+
+def _earliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by window, document and position, the first of each window."""
+    before = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        w, c = b.column(0).to_numpy(), b.column(1).to_numpy()
+        new = np.ones(len(w), bool)
+        new[1:] = (w[1:] != w[:-1]) | (c[1:] != c[:-1])
+        new[0] = (w[0], c[0]) != before
+        before = (w[-1], c[-1])
+        yield b.filter(pa.array(new)).select(["doc_id", "th", "pos"])
 
 
 def _removed(starts: np.ndarray, bad: np.ndarray, words: Words) -> np.ndarray:
@@ -280,11 +324,12 @@ def _kept(bitmap: np.ndarray, text: bool):
     return run
 
 
-def dedupe_batch(log: Log, batch: DataFrame, earlier: DataFrame | None, text: bool = False) -> DataFrame:
+def dedupe_batch(log: Log, batch: DataFrame, earlier: DataFrame | None, text: bool = False, told_apart: bool = True) -> DataFrame:
     """All columns of the batch with _n_words, _n_removed and _kept (its kept words' digest, or its kept text).
 
     earlier: the documents that are in the log's history, all of smaller doc_id. The log gets the batch's run.
     text: give the kept text; one without removed words stays as it is, white space included.
+    told_apart: tell rows of one doc_id apart by their texts; not needed where ids are unique.
     """
     run = log.append(batch)
     repeated = run.filter("many").select("h")
@@ -292,13 +337,14 @@ def dedupe_batch(log: Log, batch: DataFrame, earlier: DataFrame | None, text: bo
         repeated = repeated.unionAll(run.select("h").hint("merge").join(history.select("h"), "h", "left_semi"))
     bitmap = _bitmap(repeated)
     log.commit()
-    found = candidates(batch, bitmap)
+    found = candidates(batch, bitmap, told_apart)
     if earlier is not None:
-        found = found.unionAll(candidates(earlier, bitmap))
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "pos")).alias("f")).select("f.*")
+        found = found.unionAll(candidates(earlier, bitmap, told_apart))
+    first = found.repartition("w").sortWithinPartitions("w", "c", "doc_id", "th", "pos").mapInArrow(_earliest, "doc_id long, th long, pos int")
     firsts = first.groupBy("doc_id", "th").agg(F.collect_list("pos").alias("_firsts")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_firsts")
     rows = batch.withColumns({"_text": F.coalesce("text", F.lit("")), "_key": F.col("doc_id").cast("long")})
-    on: Column = rows["_key"].eqNullSafe(firsts["_id"]) & (F.xxhash64(rows["_text"]) == firsts["_th"])
+    of = F.xxhash64(rows["_text"]) if told_apart else F.lit(0).cast("long")
+    on: Column = rows["_key"].eqNullSafe(firsts["_id"]) & (of == firsts["_th"])
     joined = rows.join(firsts, on, "left").select(*[rows[c] for c in batch.columns], rows["_text"], "_firsts")
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema), "_n_words long, _n_removed long, _kept string"])
     return joined.mapInArrow(_kept(bitmap, text), out)
@@ -320,9 +366,10 @@ def _batches(documents: DataFrame, n: int) -> list[tuple[DataFrame, DataFrame |
 def dedupe(documents: DataFrame, batches: int = BATCHES, text: bool = False) -> DataFrame:
     """dedupe_batch over the whole table, in batches by ascending doc_id."""
     log = Log(documents.sparkSession)
+    repeats = not documents.groupBy("doc_id").count().filter("count > 1").isEmpty()
     out = None
     for batch, earlier in _batches(documents, batches):
-        part = dedupe_batch(log, batch, earlier, text)
+        part = dedupe_batch(log, batch, earlier, text, repeats)
         out = part if out is None else out.unionAll(part)
     return out
 
