@@ -24,7 +24,9 @@ from featlake.llm.common import SPACES, stage
 TERM = 3
 MOST_WEIGHT = 8
 #: Ids of a bucket of the ring; a bucket's rows are sorted in one task.
-BUCKET = 1024
+BUCKET = 4096
+#: Buckets whose list is broadcast (24 bytes each); beyond, it is joined by a shuffle.
+MOST_BUCKETS = 1_000_000
 RADIUS, SPARE = 3, 1
 
 
@@ -75,43 +77,43 @@ def likeness(a: str, b: str) -> Column:
 def ring(documents: DataFrame, width: int = BUCKET) -> DataFrame:
     """Each row as (doc_id, k, text, next_id, next_k, next_text): the next by descending doc_id, the first after the last.
 
-    Rows are ordered within buckets of `width` ids; only the first row of each bucket is looked up from another, so
-    nothing is sorted in one place but a list of buckets.
+    k numbers the rows of one doc_id. Rows are ordered within buckets of `width` ids, which moves each text once. The
+    rows of a bucket's highest id also go, as guests, to the end of the bucket before it in the ring; so nothing is
+    sorted in one place but the list of buckets.
     """
     d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("b", F.floor(F.col("doc_id") / F.lit(width)))
-    own = Window.partitionBy("b", "doc_id").orderBy(F.xxhash64("text"))
-    d = d.withColumn("k", F.row_number().over(own))
-    w = Window.partitionBy("b").orderBy(F.col("doc_id").desc_nulls_last(), "k")
-    rows = d.withColumns(
-        {"next_id": F.lead("doc_id").over(w), "next_k": F.lead("k").over(w), "next_text": F.lead("text").over(w), "first": F.row_number().over(w) == 1}
-    )
-    rows = stage(rows, "ring")
-    heads = rows.filter("first").select("b", F.col("doc_id").alias("h_id"), F.col("k").alias("h_k"), F.col("text").alias("h_text"))
+    heads = stage(d.groupBy("b").agg(F.max("doc_id").alias("head")), "buckets")
     order = Window.orderBy(F.col("b").desc_nulls_last())
-    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = heads.select("b").select("b", F.lead(F.struct("b")).over(order).alias("n"), F.first(F.struct("b")).over(everything).alias("f"))
-    after = after.select(F.col("b").alias("last_b"), F.coalesce("n", "f").getField("b").alias("n_b"))
-    heads = heads.join(after, heads["b"].eqNullSafe(after["n_b"])).select("last_b", "h_id", "h_k", "h_text")
-    inner = rows.filter("next_k is not null").select("doc_id", "k", "text", "next_id", "next_k", "next_text")
-    last = rows.filter("next_k is null")
-    last = last.join(heads, last["b"].eqNullSafe(heads["last_b"])).select("doc_id", "k", "text", F.col("h_id").alias("next_id"), F.col("h_k").alias("next_k"), F.col("h_text").alias("next_text"))
-    return inner.unionAll(last)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.coalesce(F.lag(F.struct("b")).over(order), F.last(F.struct("b")).over(whole)).getField("b")
+    to = heads.select(F.col("b").alias("h_b"), "head", before.alias("to"))
+    if heads.count() <= MOST_BUCKETS:
+        to = F.broadcast(to)
+    here = F.struct(F.col("b").alias("slot"), F.lit(False).alias("guest"))
+    there = F.struct(F.col("to").alias("slot"), F.lit(True).alias("guest"))
+    d = d.join(to, d["b"].eqNullSafe(F.col("h_b")) & d["doc_id"].eqNullSafe(F.col("head")), "left")
+    d = d.select("doc_id", "text", F.inline(F.when(F.col("h_b").isNotNull() | (F.col("b").isNull()), F.array(here, there)).otherwise(F.array(here))))
+    d = d.repartition("slot")
+    own = Window.partitionBy("slot", "guest", "doc_id").orderBy(F.xxhash64("text"))
+    d = d.withColumn("k", F.row_number().over(own))
+    w = Window.partitionBy("slot").orderBy("guest", F.col("doc_id").desc_nulls_last(), "k")
+    rows = d.withColumns({"next_id": F.lead("doc_id").over(w), "next_k": F.lead("k").over(w), "next_text": F.lead("text").over(w)})
+    return rows.filter("not guest").select("doc_id", "k", "text", "next_id", "next_k", "next_text")
 
 
 def edited_pairs(documents: DataFrame, width: int = BUCKET) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness (the columns of the contract)."""
-    r = ring(documents, width)
-    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("substring(next_text, 1, cast(floor(length(text) / 2) as int))"))
-    both = r.select("doc_id", "k", F.explode(F.array(F.struct(F.lit(0).alias("e"), F.col("text").alias("t")), F.struct(F.lit(1).alias("e"), edited.alias("t")))).alias("x"))
-    fps = fingerprints(both.select("doc_id", "k", "x.e", "x.t"), ["doc_id", "k", "e"], "t")
-    fps = stage(fps, "fingerprints")
-    facts = r.select("doc_id", "k", "next_id", "next_k", F.length("text").cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"))
-    a = fps.filter("e = 0").select(F.col("doc_id").alias("a_id"), F.col("k").alias("a_k"), F.col("fp").alias("fp"))
-    e = fps.filter("e = 1").select(F.col("doc_id").alias("e_id"), F.col("k").alias("e_k"), F.col("fp").alias("efp"))
-    n = a.select(F.col("a_id").alias("n_id"), F.col("a_k").alias("n_k"), F.col("fp").alias("nfp"))
-    same = lambda x, y, i, j: F.col(x).eqNullSafe(F.col(i)) & (F.col(y) == F.col(j))
-    out = facts.join(a, same("doc_id", "k", "a_id", "a_k")).join(e, same("doc_id", "k", "e_id", "e_k")).join(n, same("next_id", "next_k", "n_id", "n_k"))
+    half = "cast(floor(length(text) / 2) as int)"
+    edited = F.concat(F.expr(f"substring(text, 1, length(text) - {half})"), F.expr(f"substring(next_text, 1, {half})"))
+    r = ring(documents, width).withColumn("edited", edited)
+    facts = ["doc_id", "k", "next_id", "next_k", "n_chars", "edited_sha256"]
+    texts = F.explode(F.array(F.struct(F.lit(0).alias("e"), F.col("text").alias("t")), F.struct(F.lit(1).alias("e"), F.col("edited").alias("t"))))
+    both = r.select("doc_id", "k", "next_id", "next_k", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), texts.alias("x"))
+    fps = fingerprints(both.select(*facts, "x.e", "x.t"), [*facts, "e"], "t")
+    fps = stage(fps.groupBy(*facts).agg(F.max(F.when(F.col("e") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("e") == 1, F.col("fp"))).alias("efp")), "fingerprints")
+    n = fps.select(F.col("doc_id").alias("n_id"), F.col("k").alias("n_k"), F.col("fp").alias("nfp"))
+    out = fps.join(n, F.col("next_id").eqNullSafe(F.col("n_id")) & (F.col("next_k") == F.col("n_k")))
     return out.select(
         "doc_id", "n_chars", "edited_sha256", hex16("fp").alias("fingerprint"), hex16("efp").alias("edited_fingerprint"), likeness("fp", "efp").alias("near_edited"), likeness("fp", "nfp").alias("near_next")
     )
