@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from featlake.llm import chat, language, near_dup, quality, simhash, substring
+from featlake.llm import chat, language, near_dup, packing, pieces, pii, quality, simhash, substring, topk
 from featlake.llm.common import table
 
 
@@ -29,21 +29,41 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.classify(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(table(spark, sf_dir, "documents"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_digests(table(spark, sf_dir, "conversations"))
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited_pairs(table(spark, sf_dir, "documents"))
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trips(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
     "op3_substring": op3_substring,
     "op4_language": op4_language,
+    "op5_packing": op5_packing,
+    "op6_pii": op6_pii,
     "op7_chat": op7_chat,
+    "op8_topk": op8_topk,
     "op9_fingerprints": op9_fingerprints,
+    "op10_pieces": op10_pieces,
 }
 
 ORACLE: dict[str, str] = {}
