@@ -17,19 +17,22 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 MARK = "▁"
 #: A marked word: marks, then what is not a mark.
-WORD = regex.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
+WORD = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
 #: Marked words whose pieces a task remembers, and how long a word may be to be remembered.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 600_000, 64
 
 
 class Pieces:
@@ -44,11 +47,16 @@ class Pieces:
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.id = {self.text[i]: i for i in plain}
         self.rank = {i: -sp.get_score(i) for i in plain}
-        self.longest = max(map(len, self.id))
         byte = [i for i in range(n) if sp.is_byte(i)]
         self.byte = {int(self.text[i][3:5], 16): i for i in byte}
         self.of_byte = {i: b for b, i in self.byte.items()}
-        self.stable: dict[tuple[str, str], bool] = {}
+        #: Finds all pieces that end at each place, longest first; those that no merging gives are left out.
+        self.ends = ahocorasick.Automaton()
+        for t, i in self.id.items():
+            if len(t) == 1 or self.merge(t) == [t]:
+                self.ends.add_word(t, (i, len(t)))
+        self.ends.make_automaton()
+        self.stable: dict[int, bool] = {}
 
     def merge(self, chars: str) -> list[str]:
         """Pieces of a string by merging the best pair again and again, the leftmost of equals."""
@@ -77,48 +85,66 @@ class Pieces:
             offer(left[i])
         return [p for p in part if p is not None]
 
-    def beside(self, p: str, t: str) -> bool:
-        """Whether p followed by t stays p and t."""
-        known = self.stable.get((p, t))
+    def beside(self, p: int, t: int) -> bool:
+        """Whether the piece p followed by t stays p and t."""
+        key = p << 20 | t
+        known = self.stable.get(key)
         if known is None:
-            known = self.stable[p, t] = self.merge(p + t) == [p, t]
+            a, b = self.text[p], self.text[t]
+            known = self.stable[key] = self.merge(a + b) == [a, b]
         return known
 
-    def forward(self, word: str, last: list[str], start: int) -> None:
-        """Fill last[start + 1:]: the last piece of each prefix, given those of shorter prefixes."""
-        for end in range(start + 1, len(word) + 1):
-            for size in range(min(end, self.longest), 0, -1):
-                t = word[end - size : end]
-                if (size == 1 or t in self.id) and (size == end or self.beside(last[end - size], t)) and (size < end or size == 1 or self.whole(t)):
-                    last[end] = t
-                    break
-
-    def whole(self, t: str) -> bool:
-        """Whether t as a whole merges to one piece."""
-        return self.beside("", t) if ("", t) in self.stable else self.stable.setdefault(("", t), self.merge(t) == [t])
-
-    def ids(self, piece: str) -> list[int]:
-        k = self.id.get(piece)
-        return [k] if k is not None else [self.byte[b] for b in piece.encode()]
-
-    def encode_words(self, words: list[str]) -> dict[str, np.ndarray]:
-        """Ids of distinct marked words, in one pass over their sorted order."""
-        out, before, last = {}, "", [""]
+    def forward(self, word: str, last: list[tuple[int, int]], start: int) -> None:
+        """Fill last[start + 1:] with the last piece (id, length) of each prefix, given those of shorter prefixes.
+
+        A character outside the vocabulary is a piece of id -1, beside which anything stays.
+        """
+        stable, done = self.stable, start
+        for at, (t, size) in self.ends.iter(word):
+            end = at + 1
+            if end <= done:
+                continue
+            while done < end - 1:  # no piece ends there
+                done += 1
+                last[done] = (-1, 1)
+            p = last[end - size][0]
+            if size == end or p < 0:
+                fits = True
+            else:
+                fits = stable.get(p << 20 | t)
+                if fits is None:
+                    fits = self.beside(p, t)
+            if fits:
+                last[end] = (t, size)
+                done = end
+        while done < len(word):
+            done += 1
+            last[done] = (-1, 1)
+
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids (little-endian unsigned 32-bit) of distinct marked words, in one pass over their sorted order."""
+        out, before, last = {}, "", [(0, 0)]
         for w in sorted(words):
             n, most = 0, min(len(w), len(before))
             while n < most and w[n] == before[n]:
                 n += 1
-            last = last[: n + 1] + [""] * (len(w) - n)
+            del last[n + 1 :]
+            last += [(-1, 1)] * (len(w) - n)
             self.forward(w, last, n)
             found, at = [], len(w)
             while at:
-                found.append(last[at])
-                at -= len(last[at])
-            out[w] = np.array([i for p in reversed(found) for i in self.ids(p)], "<u4")
+                t, size = last[at]
+                if t < 0:
+                    found += [self.byte[b] for b in reversed(w[at - 1].encode())]
+                else:
+                    found.append(t)
+                at -= size
+            found.reverse()
+            out[w] = struct.pack(f"<{len(found)}I", *found)
             before = w
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         out = bytearray()
         for i in ids:
             b = self.of_byte.get(i)
@@ -129,7 +155,7 @@ class Pieces:
 
 _loaded: dict[str, Pieces] = {}
 #: Ids of remembered words by model; a Python worker keeps them from task to task.
-_known: dict[str, dict[str, np.ndarray]] = {}
+_known: dict[str, dict[str, bytes]] = {}
 
 
 def pieces(path: str) -> Pieces:
@@ -148,21 +174,20 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _encoded(texts: list[str], p: Pieces, known: dict[str, np.ndarray]) -> list[np.ndarray]:
+def _encoded(texts: list[str], p: Pieces, known: dict[str, bytes]) -> list[bytes]:
+    """Ids of each text; new words of all texts go through one pass and are remembered, the oldest half forgotten when full."""
     cut = [marked_words(t) for t in texts]
-    new = {w for ws in cut for w in ws} - known.keys()
-    fresh = p.encode_words(list(new))
-    if len(known) + len(fresh) > REMEMBERED:
+    fresh = p.encode_words(list({w for ws in cut for w in ws} - known.keys()))
+    known.update(fresh)
+    out = [b"".join(map(known.__getitem__, ws)) for ws in cut]
+    for w in fresh:
+        if len(w) > LONGEST:
+            del known[w]
+    if len(known) > REMEMBERED:
+        recent = dict(islice(known.items(), len(known) // 2, None))
         known.clear()
-        known.update((w, v) for w, v in fresh.items() if len(w) <= LONGEST)
-        missing = {w for ws in cut for w in ws} - known.keys() - fresh.keys()
-        fresh |= p.encode_words(list(missing))
-    else:
-        known.update((w, v) for w, v in fresh.items() if len(w) <= LONGEST)
-    of = known | fresh if len(known) < len(fresh) * 4 else None
-    get = of.__getitem__ if of is not None else (lambda w: known[w] if w in known else fresh[w])
-    none = np.zeros(0, "<u4")
-    return [np.concatenate([get(w) for w in ws]) if ws else none for ws in cut]
+        known.update(recent)
+    return out
 
 
 def _slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
@@ -186,8 +211,8 @@ def encode(documents: DataFrame, model: str | None = None) -> DataFrame:
             texts = [x or "" for x in b.column(1).to_pylist()]
             for s, e in _slices([len(t) for t in texts], 1 << 20):
                 ids = _encoded(texts[s:e], p, known)
-                at = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
-                flat = np.concatenate(ids).astype(np.int32)
+                at = np.concatenate(([0], np.cumsum([len(i) // 4 for i in ids]))).astype(np.int32)
+                flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["doc_id", "ids"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -217,11 +242,11 @@ def round_trips(documents: DataFrame, model: str | None = None) -> DataFrame:
             texts = [x or "" for x in b.column(1).to_pylist()]
             for s, e in _slices([len(t) for t in texts], 1 << 20):
                 ids = _encoded(texts[s:e], p, known)
-                back = [p.decode(i.tolist()) for i in ids]
+                back = [p.decode(struct.unpack(f"<{len(i) // 4}I", i)) for i in ids]
                 cols = [
                     b.column(0).slice(s, e - s),
-                    pa.array([len(i) for i in ids], pa.int64()),
-                    pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64()),
+                    pa.array([len(i) // 4 for i in ids], pa.int64()),
+                    pa.array([zlib.crc32(i) for i in ids], pa.int64()),
                     pa.array([len(t) for t in back], pa.int64()),
                     pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()),
                 ]
