@@ -23,7 +23,8 @@ def edges(spark, d, t: float = 0.25, absolute: bool = False):
     return S.cosine_edges(dictionary(spark, d, 0), dictionary(spark, d, 1), t, absolute)
 
 
-_score = F.round("score", 6).alias("score")
+def _score():
+    return F.round("score", 6).alias("score")
 
 
 @query("J23_normalise", "SELECT vec_id AS id, round(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS norm FROM embeddings")
@@ -40,17 +41,17 @@ def dictionary_load(spark, d):
 
 @query("E03_threshold_join", COS + " SELECT src, dst, round(score, 6) AS score FROM cos WHERE CAST(score AS FLOAT) >= 0.25::FLOAT")
 def threshold_join(spark, d):
-    return edges(spark, d).select("src", "dst", _score)
+    return edges(spark, d).select("src", "dst", _score())
 
 
 @query("J24_absolute_cosine", COS + " SELECT src, dst, round(score, 6) AS score FROM cos WHERE CAST(abs(score) AS FLOAT) >= 0.3::FLOAT")
 def absolute(spark, d):
-    return edges(spark, d, 0.3, True).select("src", "dst", _score)
+    return edges(spark, d, 0.3, True).select("src", "dst", _score())
 
 
 @query("K08_absolute_to_signed", COS + " SELECT src, dst, round(score, 6) AS score FROM cos WHERE CAST(abs(score) AS FLOAT) >= 0.3::FLOAT AND score > 0")
 def signed(spark, d):
-    return edges(spark, d, 0.3, True).filter("score > 0").select("src", "dst", _score)
+    return edges(spark, d, 0.3, True).filter("score > 0").select("src", "dst", _score())
 
 
 @query("K07_threshold_sweep", COS + ", t AS (SELECT unnest([25, 30, 35, 40, 45]) AS percent) SELECT t.percent, count(c.src) AS n, count(DISTINCT c.src) AS sources, count(DISTINCT c.dst) AS targets FROM t LEFT JOIN cos c ON c.score >= t.percent / 100.0 GROUP BY t.percent")
@@ -68,7 +69,7 @@ def nested(spark, d):
 
 @query("E04_exclusive_pairs", COS + " SELECT src, dst, round(score, 6) AS score FROM cos c WHERE score > 0.33 AND NOT EXISTS (SELECT 1 FROM cos x WHERE x.score > 0.31 AND ((x.src = c.src AND x.dst <> c.dst) OR (x.dst = c.dst AND x.src <> c.src)))")
 def exclusive(spark, d):
-    return S.exclusive(edges(spark, d), 0.33, 0.31).select("src", "dst", _score)
+    return S.exclusive(edges(spark, d), 0.33, 0.31).select("src", "dst", _score())
 
 
 @query("F34_existential_counts", COS + " SELECT count(DISTINCT src) AS plain_left, count(DISTINCT dst) AS plain_right FROM cos WHERE score >= 0.3")
@@ -143,7 +144,7 @@ def _correlations(spark, d, pairs=None):
 
 @query("F06_pearson", PEARSON + " SELECT src, dst, round(score, 6) AS score FROM p")
 def pearson(spark, d):
-    return _correlations(spark, d).select("src", "dst", _score)
+    return _correlations(spark, d).select("src", "dst", _score())
 
 
 @query("L08_candidate_dots", PEARSON + " SELECT src, dst, round(dots, 6) AS dots FROM p WHERE (src + dst) % 7 = 0")
@@ -232,7 +233,7 @@ cand AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORD
 def rescore(spark, d):
     c = _centred(spark, d)
     pairs = S.sketch_candidates(c.filter("feature < 32"), c.filter("feature >= 32"), 8).select("src", "dst")
-    return _correlations(spark, d, pairs).select("src", "dst", _score)
+    return _correlations(spark, d, pairs).select("src", "dst", _score())
 
 
 @query("L09_shared_scan", f"WITH {V.ACTS}, mix AS (SELECT label, 'all' AS mixture FROM (SELECT DISTINCT label FROM embeddings) UNION ALL SELECT DISTINCT label, 'even' FROM embeddings WHERE label % 2 = 0 UNION ALL SELECT DISTINCT label, 'low' FROM embeddings WHERE label < 5) SELECT mixture, feature, count(*) AS support, round(sum(CAST(value AS DOUBLE)), 6) AS s1 FROM acts a JOIN embeddings e ON e.vec_id = a.row_id JOIN mix m ON m.label = e.label GROUP BY mixture, feature")
