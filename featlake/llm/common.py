@@ -6,11 +6,13 @@ import shutil
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: One row of each stratum is broadcast up to this many strata, and joined by a shuffle beyond.
 MOST_STRATA = 10_000
@@ -47,6 +49,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch: what a Python worker holds of whole texts at a time.
+ARROW_ROWS = 2000
+
+
+def map_batches(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """df.mapInArrow with batches of at most ARROW_ROWS rows (the session's setting, if that is lower, stays)."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
+        conf.set(name, str(ARROW_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def fold(doc_id: str | Column = "doc_id") -> Column:
     """crc32 of the id as text, modulo 4; remainder 2 is held out. A null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

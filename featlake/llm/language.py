@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlake.llm.common import bounded_sample, fold, held_out, slabs, string_buffers
+from featlake.llm.common import bounded_sample, fold, held_out, map_batches, slabs, string_buffers
 
 WINDOW, EMBED, PER_WIDTH = 256, 6, 10
 WIDTHS = (2, 3, 4)
@@ -28,7 +28,7 @@ PAD = 256
 #: Documents of each language that the model is fitted on, at most, and windows of each document an epoch looks at.
 FIT_PER_LANG, FIT_WINDOWS = 400, 2
 EPOCHS, BATCH, RATE, SEED = 12, 64, 0.01, 11
-SLAB = 1 << 18
+SLAB = 1 << 17
 UND = "und"
 LETTER = regex.compile(r"\p{L}")
 
@@ -162,7 +162,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(p, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return map_batches(documents.select("doc_id", "text"), run, f"doc_id {kind}, lang_pred string, score double")
 
 
 def classify(documents: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlake.llm.common import stage
+from featlake.llm.common import map_batches, stage
 from featlake.llm.graph import connected_components
 
 MAX_BITS = 4
@@ -66,7 +66,7 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return map_batches(documents.select("doc_id", "text"), run, f"doc_id {kind}, fp long")
 
 
 def _remainders() -> np.ndarray:

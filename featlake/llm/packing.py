@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlake.llm.common import stage
+from featlake.llm.common import map_batches, stage
 
 LENGTH, OPEN, END = 2048, 32, 1
 #: Partitions whose leftovers are merged in one task.
@@ -172,7 +172,7 @@ def pack(documents: DataFrame, vocabulary: tuple[str, str] | None = None, open_w
         if rows:
             yield _arrow(rows, _SCHEMA)
 
-    done = stage(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, OPENED), "pieces")
+    done = stage(map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, OPENED), "pieces")
     left = done.filter("sequence_id is null").withColumn("g", F.expr(f"part div {group}"))
     once = stage(left.groupBy("g").applyInArrow(_merged(False, length), OPENED), "merged")
     rest = once.filter("sequence_id is null").withColumn("g", F.lit(0).cast("long"))

@@ -28,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from featlake.llm.common import map_batches
+
 MARK = "▁"
 #: A marked word: marks, then what is not a mark.
 WORD = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
@@ -216,7 +218,7 @@ def encode(documents: DataFrame, model: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["doc_id", "ids"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return map_batches(documents.select("doc_id", "text"), run, f"doc_id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -229,7 +231,7 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return map_batches(encoded.select("doc_id", "ids"), run, f"doc_id {kind}, text string")
 
 
 def round_trips(documents: DataFrame, model: str | None = None) -> DataFrame:
@@ -253,4 +255,4 @@ def round_trips(documents: DataFrame, model: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_crc32", "decoded_chars", "decoded_sha256"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_crc32 long, decoded_chars long, decoded_sha256 string")
+    return map_batches(documents.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_crc32 long, decoded_chars long, decoded_sha256 string")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlake.llm.common import bounded_sample, fold, held_out, slabs, string_buffers
+from featlake.llm.common import bounded_sample, fold, held_out, map_batches, slabs, string_buffers
 
 WIDTH, STRIDE, EMBED, FILTERS = 16, 8, 6, 24
 PAD = 256
@@ -28,7 +28,7 @@ FIT_PER_LABEL = 1000
 #: Bytes of each document that an epoch looks at, cut at a random place.
 CROP = 4096
 EPOCHS, BATCH, RATE, SEED = 24, 32, 0.01, 7
-SLAB = 1 << 19
+SLAB = 1 << 17
 ACCEPT = 0.7
 
 Model = dict[str, np.ndarray]
@@ -157,7 +157,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], ["doc_id", "score"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return map_batches(documents.select("doc_id", "text"), run, f"doc_id {kind}, score double")
 
 
 def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -176,4 +176,4 @@ def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
                 raw, at = string_buffers(b.column(b.schema.get_field_index("text")))
                 yield b.filter(pa.array(probability(pooled(raw, at, model), model) >= ACCEPT))
 
-    return documents.mapInArrow(run, documents.schema)
+    return map_batches(documents, run, documents.schema)

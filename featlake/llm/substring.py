@@ -32,15 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featlake.llm.common import shared_dir, slabs, string_buffers
+from featlake.llm.common import map_batches, shared_dir, slabs, string_buffers
 
 WINDOW, GRAM = 20, 8
-SLAB = 1 << 19
+SLAB = 1 << 18
 #: Bits of the bitmap of repeated entries: 8 MB, whatever the input.
 BITS = 26
 FANOUT, BATCHES = 4, 2
 #: Windows of a batch of rows that are held to drop repeats among them.
-MOST_HELD = 1 << 20
+MOST_HELD = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -150,7 +150,7 @@ def entries(documents: DataFrame) -> DataFrame:
                 h, n = np.unique(h[once], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], ["h", "n"])
 
-    return documents.select("text").mapInArrow(run, "h long, n byte")
+    return map_batches(documents.select("text"), run, "h long, n byte")
 
 
 class Log:
@@ -206,38 +206,30 @@ def _keyed(documents: DataFrame, told_apart: bool) -> DataFrame:
     return d.withColumn("th", F.xxhash64("text") if told_apart else F.lit(0).cast("long"))
 
 
-def _local_firsts(found: list[tuple], rank: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of equal windows the first by rank of document and position, in the order of the scan."""
-    w, c, doc, pos = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.arange(len(w)) if (np.diff(rank) > 0).all() else np.lexsort((pos, rank[doc]))
+def _local_firsts(found: list[tuple]) -> pa.RecordBatch:
+    """Of equal windows the first by document and position, in the order of the scan."""
+    w, x, known, doc, th = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((x >> 32, th, doc, known))  # a null id comes first
     order = order[np.argsort(w[order], kind="stable")]
     new = np.ones(len(w), bool)
-    new[1:] = (w[order][1:] != w[order][:-1]) | (c[order][1:] != c[order][:-1])
+    new[1:] = (w[order][1:] != w[order][:-1]) | (x[order][1:] - x[order][:-1] & 0xFFFFFFFF != 0)
     keep = np.sort(order[new])
-    return w[keep], c[keep], doc[keep], pos[keep]
+    return pa.RecordBatch.from_arrays([pa.array(w[keep].view(np.int64)), pa.array(x[keep]), pa.array(doc[keep], mask=~known[keep]), pa.array(th[keep])], ["w", "x", "doc_id", "th"])
 
 
 def candidates(documents: DataFrame, bitmap: np.ndarray, told_apart: bool) -> DataFrame:
-    """(w, c, doc_id, th, pos): windows whose entry is in the bitmap, by two independent hashes of their words.
+    """(w, x, doc_id, th): windows whose entry is in the bitmap, by two independent hashes of their words.
 
-    Of windows that repeat within a batch of rows only the first goes on, so that a passage that a third of all
-    documents share is sent about once a batch and not once a document.
+    x holds the position above and the second hash in its lower 32 bits; what does not compress stands side by side.
+    Of windows that repeat among those that a task holds (MOST_HELD) only the first goes on, so that a passage that a
+    third of all documents share is sent once for thousands of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
         for b in batches:
             raw, at = string_buffers(b.column(1))
-            ids, th = b.column(0), b.column(2).to_numpy()
-            order = np.lexsort((np.arange(len(th)), th, ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)))
-            rank = np.empty(len(th), np.int64)
-            rank[order] = np.arange(len(th))
-            found, held = [], 0
-
-            def out() -> pa.RecordBatch:
-                w, c, doc, pos = _local_firsts(found, rank)  # noqa: B023
-                take = pa.array(doc)
-                return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c), ids.take(take), pa.array(th[doc]), pa.array(pos)], ["w", "c", "doc_id", "th", "pos"])  # noqa: B023
-
+            ids, known, th = b.column(0).fill_null(0).to_numpy(), b.column(0).is_valid().to_numpy(zero_copy_only=False), b.column(2).to_numpy()
             for a, z in slabs(at, SLAB):
                 words = Words(raw[at[a] : at[z]], at[a : z + 1] - at[a])
                 starts = words.window_starts()
@@ -246,17 +238,18 @@ def candidates(documents: DataFrame, bitmap: np.ndarray, told_apart: bool) -> Da
                 if not len(starts):
                     continue
                 w = _runs(words.hashes(_FIRST), WINDOW, _FIRST)[starts]
-                c = (_runs(words.hashes(_SECOND), WINDOW, _SECOND)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                c = (_runs(words.hashes(_SECOND), WINDOW, _SECOND)[starts] >> np.uint64(32)).astype(np.int64)
                 doc = np.searchsorted(words.first, starts, "right") - 1
-                found.append((w, c, doc + a, (starts - words.first[doc]).astype(np.int32)))
+                x = (starts - words.first[doc]) << 32 | c
+                found.append((w, x, known[a + doc], ids[a + doc], th[a + doc]))
                 held += len(starts)
                 if held > MOST_HELD:
-                    yield out()
+                    yield _local_firsts(found)
                     found, held = [], 0
-            if found:
-                yield out()
+        if found:
+            yield _local_firsts(found)
 
-    return _keyed(documents, told_apart).mapInArrow(run, "w long, c int, doc_id long, th long, pos int")
+    return map_batches(_keyed(documents, told_apart), run, "w long, x long, doc_id long, th long")
 
 
 def _earliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,12 +258,14 @@ def _earliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        w, c = b.column(0).to_numpy(), b.column(1).to_numpy()
+        w, x = b.column(0).to_numpy(), b.column(1).to_numpy()
+        c = x & 0xFFFFFFFF
         new = np.ones(len(w), bool)
         new[1:] = (w[1:] != w[:-1]) | (c[1:] != c[:-1])
         new[0] = (w[0], c[0]) != before
         before = (w[-1], c[-1])
-        yield b.filter(pa.array(new)).select(["doc_id", "th", "pos"])
+        first = b.append_column("pos", pa.array((x >> 32).astype(np.int32))).filter(pa.array(new))
+        yield first.select(["doc_id", "th", "pos"])
 
 
 def _removed(starts: np.ndarray, bad: np.ndarray, words: Words) -> np.ndarray:
@@ -340,14 +335,14 @@ def dedupe_batch(log: Log, batch: DataFrame, earlier: DataFrame | None, text: bo
     found = candidates(batch, bitmap, told_apart)
     if earlier is not None:
         found = found.unionAll(candidates(earlier, bitmap, told_apart))
-    first = found.repartition("w").sortWithinPartitions("w", "c", "doc_id", "th", "pos").mapInArrow(_earliest, "doc_id long, th long, pos int")
+    first = found.repartition("w").sortWithinPartitions("w", F.expr("x & 4294967295"), "doc_id", "th", "x").mapInArrow(_earliest, "doc_id long, th long, pos int")
     firsts = first.groupBy("doc_id", "th").agg(F.collect_list("pos").alias("_firsts")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_firsts")
     rows = batch.withColumns({"_text": F.coalesce("text", F.lit("")), "_key": F.col("doc_id").cast("long")})
     of = F.xxhash64(rows["_text"]) if told_apart else F.lit(0).cast("long")
     on: Column = rows["_key"].eqNullSafe(firsts["_id"]) & (of == firsts["_th"])
     joined = rows.join(firsts, on, "left").select(*[rows[c] for c in batch.columns], rows["_text"], "_firsts")
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema), "_n_words long, _n_removed long, _kept string"])
-    return joined.mapInArrow(_kept(bitmap, text), out)
+    return map_batches(joined, _kept(bitmap, text), out)
 
 
 def _batches(documents: DataFrame, n: int) -> list[tuple[DataFrame, DataFrame | None]]:
