@@ -280,3 +280,97 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, block: int = B
     components = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.join(components, "root").select("fp", "component_id")
     return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: For groups by similarity: words of a shingle, the similarity, fingerprints of a text, bins of its sketch.
+SIMILAR_SHINGLE, SIMILARITY, FINGERPRINTS, BINS = 5, 0.8, 5, 256
+
+
+def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    z = h + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & (1 << 64) - 1)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def sketch(text: bytes, shingle: int = SIMILAR_SHINGLE) -> tuple[list[int], bytes]:
+    """FINGERPRINTS SimHashes of the distinct words of a text, and a one-permutation MinHash of its word shingles.
+
+    The hashes of shingles fall in BINS bins by their upper bits; each keeps 16 bits of its least hash, zero if empty.
+    """
+    of = xxhash.xxh64_intdigest
+    words = text.lower().split()
+    if not words:
+        return [0] * FINGERPRINTS, bytes(2 * BINS)
+    single = np.array([of(w, SEED) for w in set(words)], np.uint64)
+    prints = []
+    for seed in range(FINGERPRINTS):
+        votes = np.zeros(64, np.int64)
+        for s in range(0, len(single), 1 << 14):
+            votes += np.unpackbits(_mixed(single[s : s + (1 << 14)], seed).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        prints.append(int(np.packbits(2 * votes > len(single), bitorder="little").view(np.int64)[0]))
+    joined = b" ".join(words)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(size + 1) - 1
+    k = min(shingle, len(words))
+    starts, ends = (end - size)[: len(words) - k + 1].tolist(), end[k - 1 :].tolist()
+    h = np.sort(np.fromiter((of(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts)))
+    bin_ = (h >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], bin_[1:] != bin_[:-1])))
+    out = np.zeros(BINS, "<u2")
+    out[bin_[first]] = ((h[first] >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.uint16) | 1
+    return prints, out.tobytes()
+
+
+def sketches(documents: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """doc_id, prints (array of longs) and bins of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = [sketch((x or "").encode(), shingle) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p for p, _ in done], pa.list_(pa.int64())), pa.array([s for _, s in done], pa.binary())], ["doc_id", "prints", "bins"])
+
+    return map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, prints array<long>, bins binary")
+
+
+def _alike(similarity: float):
+    """Pairs whose sketches' similarity is at most one standard deviation below what is asked."""
+    bar = similarity - (similarity * (1 - similarity) / BINS) ** 0.5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u2").reshape(-1, BINS) for k in ("x", "y"))
+                some = ((x > 0) | (y > 0)).sum(1)
+                share = ((x == y) & (x > 0)).sum(1) / np.maximum(1, some)
+                yield b.select(["a", "b"]).filter(pa.array((share >= bar) | (some == 0)))
+
+    return run
+
+
+def similar_groups(documents: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, block: int = BLOCK) -> DataFrame:
+    """doc_id and group_id (the least doc_id of its group) of every document with an id.
+
+    Texts as alike as `similarity` (Jaccard, of word shingles) differ in few of their distinct words, so at least one of
+    several fingerprints of these is nearly sure to be within MAX_BITS bits. Each fingerprint's links are candidates,
+    verified on the texts' sketches; groups are the components of the links that pass. Texts with equal fingerprints
+    and sketches are one class, and of texts that share one fingerprint each is held against the least.
+    """
+    rows = stage(sketches(documents, shingle).filter("doc_id is not null"), "sketches")
+    classes = stage(rows.groupBy("prints", "bins").agg(F.min("doc_id").alias("node")), "sketch_classes")
+    found = None
+    for j in range(FINGERPRINTS):
+        one = classes.select(F.get("prints", F.lit(j)).alias("fp"), "node")
+        least = stage(one.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "prints")
+        same = one.join(least.filter("n > 1"), "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
+        near = links(least, block)
+        ends = [least.select(F.col("fp").alias(c), F.col("least").alias(f"n{c}")) for c in "ab"]
+        near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+        part = same.unionAll(near)
+        found = part if found is None else found.unionAll(part)
+    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    bins = [classes.select(F.col("node").alias(c), F.col("bins").alias(n)) for c, n in (("a", "x"), ("b", "y"))]
+    passed = map_batches(pairs.join(bins[0], "a").join(bins[1], "b").select("a", "b", "x", "y"), _alike(similarity), "a long, b long")
+    roots = connected_components(passed)
+    of = classes.join(roots, "node", "left").select("prints", "bins", F.coalesce("root", "node").alias("group_id"))
+    return rows.join(of, ["prints", "bins"]).select("doc_id", "group_id")

@@ -150,6 +150,27 @@ def test_near_duplicates_equal_brute_force(spark, docs, block):
     assert [got[i]["component_id"] for i in ids] == [ids[k] for k in components(fps)]
 
 
+def test_similar_groups(spark, docs, edge, none):
+    base = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect() if len(r["text"].split()) > 150}
+    rows = list(base.items())
+    want = {}
+    for i, t in list(base.items())[:60]:
+        w = t.split()
+        w[len(w) // 2] = "edited"
+        w[len(w) // 3] = "other"
+        rows += [(10_000 + i, " ".join(w)), (20_000 + i, t)]
+        want[10_000 + i] = want[20_000 + i] = i
+    got = {r["doc_id"]: r["group_id"] for r in near_dup.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows)
+    assert np.mean([got[i] == got[j] for i, j in want.items()]) > 0.98 and all(got[20_000 + i % 10_000] == got[i % 10_000] for i in want)
+    groups = {i: got[i] for i in base}
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)))) for i, t in base.items()}  # noqa: B905
+    for i, g in groups.items():
+        if g != i and g in sets:
+            assert len(sets[i] & sets[g]) / len(sets[i] | sets[g]) > 0.5
+    assert near_dup.similar_groups(none).count() == 0 and near_dup.similar_groups(edge).count() == len(EDGE) - 1
+
+
 def test_near_duplicate_edges(edge, none):
     r = near_dup.near_duplicates(edge).collect()
     assert len(r) == len(EDGE) and {x["component_id"] for x in r if x["doc_id"] in (1, 2, 3)} == {1}
