@@ -133,47 +133,63 @@ def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(out)
 
 
-def forest(fps: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph of fingerprints within MAX_BITS bits, breadth first.
+def forest(fps: np.ndarray, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges that connect the graph of fingerprints within MAX_BITS bits, breadth first.
 
-    A reached fingerprint is compared only with those not yet reached.
+    A reached fingerprint is compared only with those not yet reached. known: numbers of groups; members of one are
+    connected already and need no edge.
     """
+    group = fps if known is None else known
     out: list[tuple[int, int]] = []
-    rest = fps
-    while len(rest) > 1:
-        todo, rest = [rest[0]], rest[1:]
-        while todo and len(rest):
+    left, of = fps, group
+    while len(left) > 1:
+        todo, mine = [left[0]], of[0]
+        left, of = left[1:], of[1:]
+        while len(left):
+            own = of == mine  # the rest of the group that was reached last
+            if known is not None and own.any():
+                todo.extend(left[own])
+                left, of = left[~own], of[~own]
+            if not todo:
+                break
             p = todo.pop()
-            hit = np.bitwise_count((rest ^ p).view(np.uint64)) <= MAX_BITS
+            hit = np.bitwise_count((left ^ p).view(np.uint64)) <= MAX_BITS
             if hit.any():
-                found = rest[hit]
-                out.extend((int(p), int(q)) for q in found)
+                found, groups = left[hit], of[hit]
+                _, first = np.unique(groups, return_index=True)
+                out.extend((int(p), int(q)) for q in found[first])
                 todo.extend(found)
-                rest = rest[~hit]
+                left, of = left[~hit], of[~hit]
+                if known is not None:
+                    own = np.isin(of, groups)
+                    todo.extend(left[own])
+                    left, of = left[~own], of[~own]
     return out
 
 
-def _links(key: np.ndarray, fp: np.ndarray) -> list[tuple[int, int]]:
-    """Links among rows sorted by key, whole groups only."""
+def _links(key: np.ndarray, fp: np.ndarray, group: np.ndarray) -> list[tuple[int, int, int]]:
+    """Links (a, b, seed) between groups among rows sorted by key, whole keys only."""
     begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.concatenate((begin, [len(key)])))
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int, int]] = []
     for n in (2, 3, 4):
         g = begin[size == n]
         for i, j in combinations(range(n), 2):
             a, b = fp[g + i], fp[g + j]
-            hit = np.bitwise_count((a ^ b).view(np.uint64)) <= MAX_BITS
-            out.extend(zip(a[hit].tolist(), b[hit].tolist(), strict=True))
+            hit = (np.bitwise_count((a ^ b).view(np.uint64)) <= MAX_BITS) & (group[g + i] != group[g + j])
+            out.extend(zip(a[hit].tolist(), b[hit].tolist(), (key[g][hit] >> SEED_BITS).tolist(), strict=True))
     for s, n in zip(begin[size > 4].tolist(), size[size > 4].tolist(), strict=True):
-        x = np.unique(fp[s : s + n])
-        if len(x) <= 256:
-            d = np.bitwise_count((x[:, None] ^ x).view(np.uint64)) <= MAX_BITS
-            if d.sum() == len(x):
+        x, c = fp[s : s + n], group[s : s + n]
+        if n <= 256:
+            d = (np.bitwise_count((x[:, None] ^ x).view(np.uint64)) <= MAX_BITS) & (c[:, None] != c)
+            if not d.any():
                 continue
-        out.extend(forest(x))
+        out.extend((a, b, int(key[s]) >> SEED_BITS) for a, b in forest(x, c))
     return out
 
 
+#: Bits of a key below the number of its fingerprint, where texts have several.
+SEED_BITS = 44
 LINKS = "kind int, a long, b long, block int"
 
 
@@ -187,7 +203,7 @@ class _Meeting:
 
     def __init__(self, block: int):
         self.block, self.hot, self.number = block, None, 0
-        self.seen: set[tuple[int, int]] = set()
+        self.seen: set[tuple[int, int, int]] = set()
 
     def overflow(self, key: int, fp: np.ndarray) -> list[tuple]:
         if key != self.hot:
@@ -198,12 +214,12 @@ class _Meeting:
             self.number += 1
         return out
 
-    def close(self, key: np.ndarray, fp: np.ndarray) -> list[tuple]:
-        """Whole groups; the first may be the rest of a key that has overflowed."""
+    def close(self, key: np.ndarray, fp: np.ndarray, group: np.ndarray) -> list[tuple]:
+        """Whole keys; the first may be the rest of one that has overflowed."""
         out: list[tuple] = []
         if len(key) and key[0] == self.hot:
             n = int(np.searchsorted(key, key[0], "right"))
-            out, key, fp = self.overflow(int(key[0]), fp[:n]), key[n:], fp[n:]
+            out, key, fp, group = self.overflow(int(key[0]), fp[:n]), key[n:], fp[n:], group[n:]
         begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.concatenate((begin, [len(key)]))) if len(key) else begin
         large = size > self.block
@@ -211,10 +227,10 @@ class _Meeting:
             out += self.overflow(int(key[s]), fp[s : s + n])
         if large.any():
             keep = np.repeat(~large, size)
-            key, fp = key[keep], fp[keep]
+            key, fp, group = key[keep], fp[keep], group[keep]
         if len(key):
-            new = {(min(x), max(x)) for x in _links(key, fp)} - self.seen
-            out += [(0, a, b, 0) for a, b in new]
+            new = {(min(a, b), max(a, b), seed) for a, b, seed in _links(key, fp, group)} - self.seen
+            out += [(0, a, b, seed) for a, b, seed in new]
             self.seen |= new
             if len(self.seen) > 1 << 17:
                 self.seen.clear()  # it only spares repeats
@@ -224,38 +240,50 @@ class _Meeting:
 def _meet(block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _Meeting(block)
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = [np.zeros(0, np.int64)] * 3
         for b in batches:
-            key = np.concatenate((key, b.column(0).to_numpy()))
-            fp = np.concatenate((fp, b.column(1).to_numpy()))
-            if not len(key):
+            if not b.num_rows:
                 continue
+            new = [b.column(0).to_numpy(), b.column(1).to_numpy()]
+            new.append(b.column(2).to_numpy().astype(np.int64) if b.num_columns > 2 else new[1])
+            key, fp, group = (np.concatenate(x) for x in zip(held, new, strict=True))
             whole = int(np.searchsorted(key, key[-1]))
-            rows = m.close(key[:whole], fp[:whole])
-            key, fp = key[whole:], fp[whole:]  # one key, of which more may come
-            if len(key) > block:
-                rows += m.overflow(int(key[0]), fp)
-                key, fp = key[:0], fp[:0]
+            rows = m.close(key[:whole], fp[:whole], group[:whole])
+            held = [key[whole:], fp[whole:], group[whole:]]  # one key, of which more may come
+            if len(held[0]) > block:
+                rows += m.overflow(int(held[0][0]), held[1])
+                held = [x[:0] for x in held]
             if rows:
                 yield _batch(rows)
-        if rows := m.close(key, fp):
+        if rows := m.close(*held):
             yield _batch(rows)
 
     return run
 
 
 def links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): links that connect all distinct fingerprints (column fp) within MAX_BITS bits of each other."""
+    """(a, b, seed): links that connect all distinct fingerprints within MAX_BITS bits of each other.
+
+    classes: fp, and where texts have several fingerprints their number (seed) and the number of a group that is
+    connected already (known, an int); only fingerprints of one seed meet, and only links between groups are given.
+    """
+    several = "seed" in classes.columns
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = b.column(0).to_numpy()
-            for s in range(0, len(fps), 4096):
-                row, key = keys(fps[s : s + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[s : s + 4096][row])], ["key", "fp"])
-
-    met = classes.select("fp").mapInArrow(spread, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_meet(block), LINKS)
-    met = stage(met, "links")
+            for s in range(0, b.num_rows, 4096):
+                part = b.slice(s, 4096)
+                fps = part.column(0).to_numpy()
+                row, key = keys(fps)
+                cols = [pa.array(fps[row])]
+                if several:
+                    key |= part.column(1).to_numpy().astype(np.int64)[row] << SEED_BITS
+                    cols.append(part.column(2).take(pa.array(row)))
+                yield pa.RecordBatch.from_arrays([pa.array(key), *cols], ["key", "fp", "known"][: 1 + len(cols)])
+
+    rows = classes.select("fp", "seed", "known") if several else classes.select("fp")
+    met = rows.mapInArrow(spread, "key long, fp long, known int" if several else "key long, fp long")
+    met = stage(met.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_meet(block), LINKS), "links")
     hot = met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"), "block")
     top = hot.groupBy("key").agg(F.max("block").alias("top"))
     pairs = (
@@ -266,9 +294,10 @@ def links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def block_pair(t: pa.Table) -> pa.Table:
         e = forest(np.unique(t.column("fp").to_numpy()))
-        return pa.table({"a": pa.array([x for x, _ in e], pa.int64()), "b": pa.array([y for _, y in e], pa.int64())})
+        seed = t.column("key")[0].as_py() >> SEED_BITS
+        return pa.table({"a": pa.array([x for x, _ in e], pa.int64()), "b": pa.array([y for _, y in e], pa.int64()), "seed": pa.array([seed] * len(e), pa.int32())})
 
-    return met.filter("kind = 0").select("a", "b").unionAll(pairs.groupBy("key", "i", "j").applyInArrow(block_pair, "a long, b long"))
+    return met.filter("kind = 0").select("a", "b", F.col("block").alias("seed")).unionAll(pairs.groupBy("key", "i", "j").applyInArrow(block_pair, "a long, b long, seed int"))
 
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
@@ -283,7 +312,7 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, block: int = B
 
 
 #: For groups by similarity: words of a shingle, the similarity, fingerprints of a text, bins of its sketch.
-SIMILAR_SHINGLE, SIMILARITY, FINGERPRINTS, BINS = 5, 0.8, 5, 256
+SIMILAR_SHINGLE, SIMILARITY, FINGERPRINTS, BINS = 5, 0.8, 4, 256
 
 
 def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
@@ -358,19 +387,29 @@ def similar_groups(documents: DataFrame, similarity: float = SIMILARITY, shingle
     """
     rows = stage(sketches(documents, shingle).filter("doc_id is not null"), "sketches")
     classes = stage(rows.groupBy("prints", "bins").agg(F.min("doc_id").alias("node")), "sketch_classes")
-    found = None
-    for j in range(FINGERPRINTS):
-        one = classes.select(F.get("prints", F.lit(j)).alias("fp"), "node")
-        least = stage(one.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "prints")
-        same = one.join(least.filter("n > 1"), "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
-        near = links(least, block)
-        ends = [least.select(F.col("fp").alias(c), F.col("least").alias(f"n{c}")) for c in "ab"]
-        near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-        part = same.unionAll(near)
-        found = part if found is None else found.unionAll(part)
-    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
-    bins = [classes.select(F.col("node").alias(c), F.col("bins").alias(n)) for c, n in (("a", "x"), ("b", "y"))]
-    passed = map_batches(pairs.join(bins[0], "a").join(bins[1], "b").select("a", "b", "x", "y"), _alike(similarity), "a long, b long")
-    roots = connected_components(passed)
-    of = classes.join(roots, "node", "left").select("prints", "bins", F.coalesce("root", "node").alias("group_id"))
+    first = _similar_links(classes.withColumn("root", F.col("node")), 0, 1, similarity, block)
+    # what the first fingerprint has connected needs no more links, so a large group sends few with the others
+    rooted = _rooted(classes, first)
+    rest = _similar_links(rooted, 1, FINGERPRINTS, similarity, block)
+    of = _rooted(classes, first.unionAll(rest)).select("prints", "bins", F.col("root").alias("group_id"))
     return rows.join(of, ["prints", "bins"]).select("doc_id", "group_id")
+
+
+def _rooted(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """classes with the least node of their component (root)."""
+    return stage(classes.join(connected_components(edges), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+
+
+def _similar_links(classes: DataFrame, first: int, last: int, similarity: float, block: int) -> DataFrame:
+    """(a, b): verified links by the fingerprints first to last - 1 between nodes of different roots."""
+    prints = F.slice("prints", first + 1, last - first)
+    one = classes.select(F.posexplode(prints).alias("seed", "fp"), "node", "root")
+    least = one.groupBy("seed", "fp").agg(F.min(F.struct("node", "root")).alias("l"), F.count("*").alias("n"))
+    least = stage(least.select("seed", "fp", F.col("l.node").alias("least"), F.col("l.root").alias("least_root"), "n"), "prints")
+    same = one.join(least.filter("n > 1"), ["seed", "fp"]).filter("root <> least_root").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    near = links(least.select("fp", "seed", F.hash("least_root").alias("known")), block)
+    ends = [least.select("seed", F.col("fp").alias(c), F.col("least").alias(f"n{c}")) for c in "ab"]
+    near = near.join(ends[0], ["seed", "a"]).join(ends[1], ["seed", "b"]).select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    pairs = same.unionAll(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    bins = [classes.select(F.col("node").alias(c), F.col("bins").alias(n)) for c, n in (("a", "x"), ("b", "y"))]
+    return stage(map_batches(pairs.join(bins[0], "a").join(bins[1], "b").select("a", "b", "x", "y"), _alike(similarity), "a long, b long"), "similar")
