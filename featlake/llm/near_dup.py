@@ -407,7 +407,7 @@ def _similar_links(classes: DataFrame, first: int, last: int, similarity: float,
     least = one.groupBy("seed", "fp").agg(F.min(F.struct("node", "root")).alias("l"), F.count("*").alias("n"))
     least = stage(least.select("seed", "fp", F.col("l.node").alias("least"), F.col("l.root").alias("least_root"), "n"), "prints")
     same = one.join(least.filter("n > 1"), ["seed", "fp"]).filter("root <> least_root").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    near = links(least.select("fp", "seed", F.hash("least_root").alias("known")), block)
+    near = links(least.select("fp", "seed", F.hash("least_root").alias("known")), block).distinct()  # a link is found under many keys
     ends = [least.select("seed", F.col("fp").alias(c), F.col("least").alias(f"n{c}")) for c in "ab"]
     near = near.join(ends[0], ["seed", "a"]).join(ends[1], ["seed", "b"]).select(F.col("na").alias("a"), F.col("nb").alias("b"))
     pairs = same.unionAll(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
