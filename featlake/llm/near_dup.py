@@ -7,8 +7,8 @@ index. With at most four errors over three segments, either a segment is without
 (an exact segment and an index of another: six tables), or each has at least one and so at most two (indices of the
 first two: one table). Fingerprints meet under equal keys, and every meeting is verified on all 64 bits.
 
-Within a key only a spanning forest of the verified links leaves the task, so output grows with the members and not
-with their pairs; components are found over distinct fingerprints. A key with more than BLOCK members is dealt
+Within a key only the least spanning forest of the verified links leaves the task, and each link under one key alone, so
+output grows with the members and not with their pairs; components are found over distinct fingerprints. A key with more than BLOCK members is dealt
 again as pairs of blocks, so that no task holds more than two blocks.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; repeated rows and equal
@@ -133,59 +133,95 @@ def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(out)
 
 
+def _few(v: np.ndarray, width: int, none: int) -> np.ndarray:
+    """The indices of each segment in ascending order, six at most, the rest filled with none."""
+    flips = np.concatenate(([0], 1 << np.arange(width))).astype(np.int64)
+    k = np.sort(decode(v[:, None] ^ flips), axis=1).astype(np.int64)
+    k[:, 1:][k[:, 1:] == k[:, :-1]] = none
+    return np.sort(k, axis=1)[:, :6]
+
+
+def least_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least key that the fingerprints a and b have in common; -1 if they have none."""
+    parts = [[((x.view(np.uint64) >> np.uint64(at)) & np.uint64((1 << w) - 1)).astype(np.int64) for at, w in SEGMENTS] for x in (a, b)]
+    none = 1 << 20
+    near = []
+    for u, v, (_, w) in zip(*parts, SEGMENTS, strict=True):
+        x, y = _few(u, w, none), _few(v, w, none + 1)
+        near.append(np.where((x[:, :, None] == y[:, None, :]).any(2), x, none).min(1))
+    out = np.where((near[0] < none) & (near[1] < none), (np.int64(9) << 40) | (near[0] << 12) | near[1], -1)
+    for i in (2, 1, 0):
+        for j in (2, 1, 0):
+            if i != j:
+                same = (parts[0][i] == parts[1][i]) & (near[j] < none)
+                out = np.where(same, (np.int64(3 * i + j) << 40) | (parts[0][i] << 12) | near[j], out)
+    return out
+
+
+_FAR = np.uint64((1 << 64) - 1)
+
+
 def forest(fps: np.ndarray, known: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Edges that connect the graph of fingerprints within MAX_BITS bits, breadth first.
+    """Edges of the least spanning forest of the graph of fingerprints within MAX_BITS bits (Prim's algorithm).
 
-    A reached fingerprint is compared only with those not yet reached. known: numbers of groups; members of one are
+    Edges are ordered by distance, then by a hash of both ends, alike wherever they are found: an edge that some key's
+    forest leaves out is then in no least forest of the whole graph. known: numbers of groups; members of one are
     connected already and need no edge.
     """
-    group = fps if known is None else known
+    rest, group = fps, fps if known is None else known
+    mark = _mixed(rest.view(np.uint64), 0)
+    weight, origin = np.full(len(rest), _FAR), np.zeros(len(rest), np.int64)
     out: list[tuple[int, int]] = []
-    left, of = fps, group
-    while len(left) > 1:
-        todo, mine = [left[0]], of[0]
-        left, of = left[1:], of[1:]
-        while len(left):
-            own = of == mine  # the rest of the group that was reached last
-            if known is not None and own.any():
-                todo.extend(left[own])
-                left, of = left[~own], of[~own]
-            if not todo:
-                break
-            p = todo.pop()
-            hit = np.bitwise_count((left ^ p).view(np.uint64)) <= MAX_BITS
-            if hit.any():
-                found, groups = left[hit], of[hit]
-                _, first = np.unique(groups, return_index=True)
-                out.extend((int(p), int(q)) for q in found[first])
-                todo.extend(found)
-                left, of = left[~hit], of[~hit]
-                if known is not None:
-                    own = np.isin(of, groups)
-                    todo.extend(left[own])
-                    left, of = left[~own], of[~own]
+    while len(rest):
+        k = int(weight.argmin())
+        p, m, g = rest[k], mark[k], group[k]
+        if weight[k] != _FAR and weight[k]:
+            out.append((int(origin[k]), int(p)))
+        stay = np.arange(len(rest)) != k
+        rest, mark, group, weight, origin = rest[stay], mark[stay], group[stay], weight[stay], origin[stay]
+        d = np.bitwise_count((rest ^ p).view(np.uint64)).astype(np.uint64)
+        w = np.where(d <= MAX_BITS, (d + np.uint64(1) << np.uint64(58)) | ((mark + m) >> np.uint64(6)), _FAR)
+        if known is not None:
+            w[group == g] = 0
+        closer = w < weight
+        weight[closer], origin[closer] = w[closer], p
     return out
 
 
 def _links(key: np.ndarray, fp: np.ndarray, group: np.ndarray) -> list[tuple[int, int, int]]:
-    """Links (a, b, seed) between groups among rows sorted by key, whole keys only."""
+    """Links (a, b, seed) between groups among rows sorted by key, whole keys only.
+
+    A link is given under the least key that its ends have in common, and so once in all.
+    """
     begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.concatenate((begin, [len(key)])))
-    out: list[tuple[int, int, int]] = []
+    a, b, k = [], [], []
     for n in (2, 3, 4):
         g = begin[size == n]
         for i, j in combinations(range(n), 2):
-            a, b = fp[g + i], fp[g + j]
-            hit = (np.bitwise_count((a ^ b).view(np.uint64)) <= MAX_BITS) & (group[g + i] != group[g + j])
-            out.extend(zip(a[hit].tolist(), b[hit].tolist(), (key[g][hit] >> SEED_BITS).tolist(), strict=True))
+            x, y = fp[g + i], fp[g + j]
+            hit = (np.bitwise_count((x ^ y).view(np.uint64)) <= MAX_BITS) & (group[g + i] != group[g + j])
+            a.append(x[hit])
+            b.append(y[hit])
+            k.append(key[g][hit])
     for s, n in zip(begin[size > 4].tolist(), size[size > 4].tolist(), strict=True):
         x, c = fp[s : s + n], group[s : s + n]
         if n <= 256:
             d = (np.bitwise_count((x[:, None] ^ x).view(np.uint64)) <= MAX_BITS) & (c[:, None] != c)
             if not d.any():
                 continue
-        out.extend((a, b, int(key[s]) >> SEED_BITS) for a, b in forest(x, c))
-    return out
+        if found := forest(x, c):
+            e = np.array(found, np.int64)
+            a.append(e[:, 0])
+            b.append(e[:, 1])
+            k.append(np.full(len(e), key[s]))
+    return _once(*(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, k)))
+
+
+def _once(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> list[tuple[int, int, int]]:
+    """Links found under the least key of their ends, as (a, b, seed)."""
+    mine = least_key(a, b) == key & ((1 << SEED_BITS) - 1)
+    return list(zip(np.minimum(a, b)[mine].tolist(), np.maximum(a, b)[mine].tolist(), (key[mine] >> SEED_BITS).tolist(), strict=True))
 
 
 #: Bits of a key below the number of its fingerprint, where texts have several.
@@ -203,7 +239,6 @@ class _Meeting:
 
     def __init__(self, block: int):
         self.block, self.hot, self.number = block, None, 0
-        self.seen: set[tuple[int, int, int]] = set()
 
     def overflow(self, key: int, fp: np.ndarray) -> list[tuple]:
         if key != self.hot:
@@ -229,11 +264,7 @@ class _Meeting:
             keep = np.repeat(~large, size)
             key, fp, group = key[keep], fp[keep], group[keep]
         if len(key):
-            new = {(min(a, b), max(a, b), seed) for a, b, seed in _links(key, fp, group)} - self.seen
-            out += [(0, a, b, seed) for a, b, seed in new]
-            self.seen |= new
-            if len(self.seen) > 1 << 17:
-                self.seen.clear()  # it only spares repeats
+            out += [(0, a, b, seed) for a, b, seed in _links(key, fp, group)]
         return out
 
 
@@ -293,9 +324,10 @@ def links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
     def block_pair(t: pa.Table) -> pa.Table:
-        e = forest(np.unique(t.column("fp").to_numpy()))
-        seed = t.column("key")[0].as_py() >> SEED_BITS
-        return pa.table({"a": pa.array([x for x, _ in e], pa.int64()), "b": pa.array([y for _, y in e], pa.int64()), "seed": pa.array([seed] * len(e), pa.int32())})
+        e = np.array(forest(np.unique(t.column("fp").to_numpy())), np.int64).reshape(-1, 2)
+        found = _once(e[:, 0], e[:, 1], np.full(len(e), t.column("key")[0].as_py()))
+        cols = list(zip(*found, strict=True)) if found else [[], [], []]
+        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64()), "seed": pa.array(cols[2], pa.int32())})
 
     return met.filter("kind = 0").select("a", "b", F.col("block").alias("seed")).unionAll(pairs.groupBy("key", "i", "j").applyInArrow(block_pair, "a long, b long, seed int"))
 
@@ -407,7 +439,7 @@ def _similar_links(classes: DataFrame, first: int, last: int, similarity: float,
     least = one.groupBy("seed", "fp").agg(F.min(F.struct("node", "root")).alias("l"), F.count("*").alias("n"))
     least = stage(least.select("seed", "fp", F.col("l.node").alias("least"), F.col("l.root").alias("least_root"), "n"), "prints")
     same = one.join(least.filter("n > 1"), ["seed", "fp"]).filter("root <> least_root").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    near = links(least.select("fp", "seed", F.hash("least_root").alias("known")), block).distinct()  # a link is found under many keys
+    near = links(least.select("fp", "seed", F.hash("least_root").alias("known")), block)
     ends = [least.select("seed", F.col("fp").alias(c), F.col("least").alias(f"n{c}")) for c in "ab"]
     near = near.join(ends[0], ["seed", "a"]).join(ends[1], ["seed", "b"]).select(F.col("na").alias("a"), F.col("nb").alias("b"))
     pairs = same.unionAll(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()

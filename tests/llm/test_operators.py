@@ -113,6 +113,20 @@ def test_keys_meet_within_four_bits():
     assert all(a & b for a, b in zip(*sets, strict=True))
 
 
+def test_least_key_is_the_least_in_common():
+    rng = np.random.default_rng(4)
+    u = rng.integers(0, 2**63, 300, dtype=np.int64)
+    v = u.copy()
+    for i in range(len(v)):
+        for b in rng.choice(64, rng.integers(0, 12), replace=False):
+            v[i] ^= np.uint64(1 << int(b)).astype(np.int64)
+    sets = [[set() for _ in x] for x in (u, v)]
+    for s, x in zip(sets, (u, v), strict=True):
+        for r, k in zip(*near_dup.keys(x), strict=True):
+            s[r].add(int(k))
+    assert near_dup.least_key(u, v).tolist() == [min(a & b, default=-1) for a, b in zip(*sets, strict=True)]
+
+
 def components(fps):
     root = list(range(len(fps)))
 
