@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-import uuid
-import weakref
 from collections.abc import Callable
 
 import numpy as np
@@ -14,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from featlake.sources.files import shared_dir, stage
+
+__all__ = ["bounded_sample", "fold", "held_out", "map_batches", "shared_dir", "slabs", "stage", "string_buffers", "table"]
+
 #: One row of each stratum is broadcast up to this many strata, and joined by a shuffle beyond.
 MOST_STRATA = 10_000
 #: ASCII white space of the word contracts: x20 and x09 to x0D.
@@ -24,31 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of this machine only where that is unset (tests, local mode)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    here = getattr(spark, "_featlake_shared", None)
-    if here is None:
-        here = spark._featlake_shared = tempfile.mkdtemp(prefix="featlake-")
-        weakref.finalize(spark, shutil.rmtree, here, True)
-    return f"file://{here}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again.
-
-    This cuts the lineage: what follows survives lost executors without running what came before.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/featlake/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows of an Arrow batch: what a Python worker holds of whole texts at a time.
 ARROW_ROWS = 2000
 
