@@ -343,8 +343,10 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, block: int = B
     return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For groups by similarity: words of a shingle, the similarity, fingerprints of a text, bins of its sketch.
-SIMILAR_SHINGLE, SIMILARITY, FINGERPRINTS, BINS = 5, 0.8, 4, 256
+#: For groups by similarity: words of a shingle, the similarity, bands of MinHashes of a text and hashes in each.
+SIMILAR_SHINGLE, SIMILARITY, BANDS, WIDTH = 5, 0.8, 20, 6
+#: Texts, and shingles of texts, that one side of a meeting holds.
+MEMBERS, MEMBER_SHINGLES = 1024, 1 << 21
 
 
 def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
@@ -354,94 +356,101 @@ def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def sketch(text: bytes, shingle: int = SIMILAR_SHINGLE) -> tuple[list[int], bytes]:
-    """FINGERPRINTS SimHashes of the distinct words of a text, and a one-permutation MinHash of its word shingles.
+_TURNS = _mixed(np.arange(2 * BANDS * WIDTH, dtype=np.uint64), SEED).reshape(2, -1, 1)
 
-    The hashes of shingles fall in BINS bins by their upper bits; each keeps 16 bits of its least hash, zero if empty.
-    """
-    of = xxhash.xxh64_intdigest
+
+def shingle_hashes(text: bytes, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """The distinct hashes of the word shingles of a text, ascending; none if it has no words."""
     words = text.lower().split()
     if not words:
-        return [0] * FINGERPRINTS, bytes(2 * BINS)
-    single = np.array([of(w, SEED) for w in set(words)], np.uint64)
-    prints = []
-    for seed in range(FINGERPRINTS):
-        votes = np.zeros(64, np.int64)
-        for s in range(0, len(single), 1 << 14):
-            votes += np.unpackbits(_mixed(single[s : s + (1 << 14)], seed).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        prints.append(int(np.packbits(2 * votes > len(single), bitorder="little").view(np.int64)[0]))
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
     k = min(shingle, len(words))
     starts, ends = (end - size)[: len(words) - k + 1].tolist(), end[k - 1 :].tolist()
-    h = np.sort(np.fromiter((of(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts)))
-    bin_ = (h >> np.uint64(56)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], bin_[1:] != bin_[:-1])))
-    out = np.zeros(BINS, "<u2")
-    out[bin_[first]] = ((h[first] >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.uint16) | 1
-    return prints, out.tobytes()
+    of = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((of(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts)))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """BANDS keys of a set of shingle hashes, each made of WIDTH MinHashes; none of an empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * WIDTH, _FAR)
+    for s in range(0, len(hashes), 1024):
+        least = np.minimum(least, ((hashes[s : s + 1024] ^ _TURNS[0]) * (_TURNS[1] | np.uint64(1))).min(1))
+    keys = [xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, WIDTH))]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
 def sketches(documents: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """doc_id, prints (array of longs) and bins of every document."""
+    """doc_id, digest (of the set of shingles), size (of that set) and band keys of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests, sizes, bands = [], [], []
+            for x in b.column(1):
+                h = shingle_hashes((x.as_py() or "").encode(), shingle)
+                digests.append(xxhash.xxh3_128_digest(h.tobytes()))
+                sizes.append(len(h))
+                bands.append(band_keys(h))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "digest", "size", "bands"])
+
+    return map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, digest binary, size long, bands array<long>")
+
+
+def _shingle_sets(documents: DataFrame, nodes: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """node and hashes (its set of shingle hashes) of the texts of the classes of some nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = [sketch((x or "").encode(), shingle) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p for p, _ in done], pa.list_(pa.int64())), pa.array([s for _, s in done], pa.binary())], ["doc_id", "prints", "bins"])
+            for s in range(0, b.num_rows, 256):
+                part = b.slice(s, 256)
+                sets = [shingle_hashes((x.as_py() or "").encode(), shingle).tobytes() for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], ["node", "digest", "hashes"])
 
-    return map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, prints array<long>, bins binary")
+    texts = documents.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
+    found = map_batches(texts, run, "node long, digest binary, hashes binary").join(classes.select("node", "digest"), ["node", "digest"], "left_semi")
+    return stage(found.dropDuplicates(["node", "digest"]).select("node", "hashes"), "shingle_sets")
 
 
 def _alike(similarity: float):
-    """Pairs whose sketches' similarity is at most one standard deviation below what is asked."""
-    bar = similarity - (similarity * (1 - similarity) / BINS) ** 0.5
+    """Pairs whose sets of shingles are as alike as asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u2").reshape(-1, BINS) for k in ("x", "y"))
-                some = ((x > 0) | (y > 0)).sum(1)
-                share = ((x == y) & (x > 0)).sum(1) / np.maximum(1, some)
-                yield b.select(["a", "b"]).filter(pa.array((share >= bar) | (some == 0)))
+            hit = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                hit.append(_reaches(both, len(x) + len(y), similarity))
+            yield b.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     return run
 
 
-def similar_groups(documents: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, block: int = BLOCK) -> DataFrame:
+def _reaches(both, sizes, similarity: float):
+    return both >= similarity * (sizes - both) - 1e-9
+
+
+def similar_groups(documents: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, block: int = MEMBERS) -> DataFrame:
     """doc_id and group_id (the least doc_id of its group) of every document with an id.
 
-    Texts as alike as `similarity` (Jaccard, of word shingles) differ in few of their distinct words, so at least one of
-    several fingerprints of these is nearly sure to be within MAX_BITS bits. Each fingerprint's links are candidates,
-    verified on the texts' sketches; groups are the components of the links that pass. Texts with equal fingerprints
-    and sketches are one class, and of texts that share one fingerprint each is held against the least.
+    Candidates are texts with an equal band of MinHashes of their shingles: of texts alike in 0.8 a share of
+    1 - (1 - 0.8^6)^20 = 0.998 have one. Links are the candidates whose sets of shingles are as alike as `similarity`
+    (Jaccard), groups the components of the links. Texts with equal sets are one class.
     """
     rows = stage(sketches(documents, shingle).filter("doc_id is not null"), "sketches")
-    classes = stage(rows.groupBy("prints", "bins").agg(F.min("doc_id").alias("node")), "sketch_classes")
-    first = _similar_links(classes.withColumn("root", F.col("node")), 0, 1, similarity, block)
-    # what the first fingerprint has connected needs no more links, so a large group sends few with the others
-    rooted = _rooted(classes, first)
-    rest = _similar_links(rooted, 1, FINGERPRINTS, similarity, block)
-    of = _rooted(classes, first.unionAll(rest)).select("prints", "bins", F.col("root").alias("group_id"))
-    return rows.join(of, ["prints", "bins"]).select("doc_id", "group_id")
-
-
-def _rooted(classes: DataFrame, edges: DataFrame) -> DataFrame:
-    """classes with the least node of their component (root)."""
-    return stage(classes.join(connected_components(edges), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-
-
-def _similar_links(classes: DataFrame, first: int, last: int, similarity: float, block: int) -> DataFrame:
-    """(a, b): verified links by the fingerprints first to last - 1 between nodes of different roots."""
-    prints = F.slice("prints", first + 1, last - first)
-    one = classes.select(F.posexplode(prints).alias("seed", "fp"), "node", "root")
-    least = one.groupBy("seed", "fp").agg(F.min(F.struct("node", "root")).alias("l"), F.count("*").alias("n"))
-    least = stage(least.select("seed", "fp", F.col("l.node").alias("least"), F.col("l.root").alias("least_root"), "n"), "prints")
-    same = one.join(least.filter("n > 1"), ["seed", "fp"]).filter("root <> least_root").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    near = links(least.select("fp", "seed", F.hash("least_root").alias("known")), block)
-    ends = [least.select("seed", F.col("fp").alias(c), F.col("least").alias(f"n{c}")) for c in "ab"]
-    near = near.join(ends[0], ["seed", "a"]).join(ends[1], ["seed", "b"]).select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    pairs = same.unionAll(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
-    bins = [classes.select(F.col("node").alias(c), F.col("bins").alias(n)) for c, n in (("a", "x"), ("b", "y"))]
-    return stage(map_batches(pairs.join(bins[0], "a").join(bins[1], "b").select("a", "b", "x", "y"), _alike(similarity), "a long, b long"), "similar")
+    classes = stage(rows.groupBy("digest", "size", "bands").agg(F.min("doc_id").alias("node")), "sketch_classes")
+    each = classes.select(F.explode("bands").alias("key"), "node", "size")
+    shared = each.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    members = stage(each.join(shared, "key"), "members")
+    sets = _shingle_sets(documents, members.select("node").distinct(), classes, shingle)
+    # each against the least of its key: all there is to compare in most, and one component of most large ones
+    pairs = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    sides = [sets.select(F.col("node").alias(c), F.col("hashes").alias(h)) for c, h in (("a", "x"), ("b", "y"))]
+    first = stage(map_batches(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y"), _alike(similarity), "a long, b long"), "similar")
+    roots = connected_components(first).select("node", "root")
+    of = classes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("group_id"))
+    return rows.select("doc_id", "digest").join(of, "digest").select("doc_id", "group_id")
