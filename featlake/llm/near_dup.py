@@ -452,5 +452,47 @@ def similar_groups(documents: DataFrame, similarity: float = SIMILARITY, shingle
     sides = [sets.select(F.col("node").alias(c), F.col("hashes").alias(h)) for c, h in (("a", "x"), ("b", "y"))]
     first = stage(map_batches(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y"), _alike(similarity), "a long, b long"), "similar")
     roots = connected_components(first).select("node", "root")
+    rest = stage(_meetings(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), sets, similarity, block), "similar")
+    roots = connected_components(first.unionAll(rest)).select("node", "root")
     of = classes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("group_id"))
     return rows.select("doc_id", "digest").join(of, "digest").select("doc_id", "group_id")
+
+
+def _meetings(members: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(a, b): links that connect all members of a key that are alike and of different roots.
+
+    Keys of two are settled against their least member already. A key of more than `block` members, or of very long
+    ones, is dealt as pairs of blocks.
+    """
+    of_key = members.groupBy("key").agg(F.count("*").alias("_n"), F.sum("size").alias("_size"), F.min("root").alias("_low"), F.max("root").alias("_high"))
+    of_key = of_key.filter("_n > 2 and _low <> _high").select("key", F.ceil(F.greatest(F.col("_n") / block, F.col("_size") / MEMBER_SHINGLES)).alias("blocks"))
+    mine = members.select("key", "node", "root").join(of_key, "key").withColumn("i", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = mine.withColumn("j", F.explode(F.expr("if(blocks = 1, array(0L), array_remove(sequence(0L, blocks - 1), i))")))
+    dealt = dealt.select("key", "node", "root", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+
+    def meet(t: pa.Table) -> pa.Table:
+        found = alike(t.column("node").to_numpy(), t.column("root").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("hashes")], similarity)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return dealt.join(sets, "node").groupBy("key", "i", "j").applyInArrow(meet, "a long, b long")
+
+
+def alike(node: np.ndarray, root: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that connect whatever is connected by pairs of sets as alike as asked; sets of one root are so already."""
+    group, out = root.copy(), []
+    size = np.array([len(x) for x in sets])
+    first = np.cumsum(size) - size
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    here = np.zeros(at.max() + 1, bool)
+    for i in range(len(sets)):
+        if (group == group[i]).all():
+            continue
+        mine = at[first[i] : first[i] + size[i]]
+        here[mine] = True
+        both = np.add.reduceat(here[at], first, dtype=np.int64)
+        here[mine] = False
+        for j in np.flatnonzero(_reaches(both, size + size[i], similarity)).tolist():
+            if group[j] != group[i]:
+                out.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+                group[group == group[j]] = group[i]
+    return out

@@ -41,3 +41,45 @@ def test_recall_of_block_edits(spark, edit):
             alike.append(i)
     got = groups(spark, texts)
     assert len(alike) > 80 and np.mean([got[i] == got[1000 + i] for i in alike]) > 0.97
+
+
+def test_links_under_a_key_whose_least_text_fails(spark):
+    """Two texts alike in 0.8 that meet only under keys with a third, which is like neither and has the least id."""
+    texts, found = {}, 0
+    keys = lambda w: set(near_dup.band_keys(near_dup.shingle_hashes(" ".join(w).encode())))
+    for _ in range(5000):
+        least = words(200)
+        one = least[:60] + words(24) + least[84:]
+        two = one[:-20] + words(20)
+        if similarity(one, two) < 0.8 or similarity(least, one) >= 0.8 or similarity(least, two) >= 0.8:
+            continue
+        if (met := keys(one) & keys(two)) and met <= keys(least):
+            texts |= {10 * found: least, 10 * found + 1: one, 10 * found + 2: two}
+            found += 1
+        if found == 3:
+            break
+    got = groups(spark, texts)
+    assert found == 3 and all(got[i] == i - (i % 10 == 2) for i in texts)
+
+
+@pytest.mark.parametrize("block", [near_dup.MEMBERS, 3])
+def test_chain_of_alike_texts(spark, block):
+    base = words(600)
+    got = groups(spark, {99 - i: base[10 * i : 10 * i + 200] for i in range(30)} | {0: words(200)}, block=block)
+    assert got.pop(0) == 0 and set(got.values()) == {70}
+
+
+def test_meeting_equals_all_pairs():
+    sets = [np.unique(RNG.integers(0, 60, 40).astype(np.uint64)) for _ in range(60)]
+    node = np.arange(60)
+    for bar in (0.4, 0.5, 0.6):
+        pairs = [(i, j) for i in range(60) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= bar * len(np.union1d(sets[i], sets[j]))]
+        found = near_dup.alike(node, node, sets, bar)
+        assert len(found) < 60
+        roots = []
+        for links in (pairs, found):
+            g = node.copy()
+            for i, j in links:
+                g[g == g[i]] = g[j]
+            roots.append([int(np.flatnonzero(g == x)[0]) for x in g])
+        assert roots[0] == roots[1]
