@@ -83,3 +83,14 @@ def test_meeting_equals_all_pairs():
                 g[g == g[i]] = g[j]
             roots.append([int(np.flatnonzero(g == x)[0]) for x in g])
         assert roots[0] == roots[1]
+
+
+def test_bar_is_exact(spark):
+    texts, alike = {}, {}
+    for i in range(200):
+        w = words(300)
+        texts[i], texts[1000 + i] = w, w[: 260 + i % 20] + words(40 - i % 20)
+        alike[i] = similarity(w, texts[1000 + i])
+    got = groups(spark, texts)
+    assert sum(0.76 < x < 0.8 for x in alike.values()) > 40
+    assert not any(got[i] == got[1000 + i] for i, x in alike.items() if x < 0.8)
