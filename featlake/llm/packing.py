@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from featlake.llm.common import map_batches, stage
 
 LENGTH, OPEN, END = 2048, 32, 1
+#: Fixed value: the added tokens of byte_bpe_50k.json, which it finds inside texts whether or not it adds any itself.
+SPECIAL = {"<|endoftext|>": 50256}
 #: Partitions whose leftovers are merged in one task.
 GROUP = 64
 
@@ -36,10 +38,11 @@ _encoders: dict[str, tiktoken.Encoding] = {}
 
 
 def encoder(path: str, pattern: str) -> tiktoken.Encoding:
-    """Encoder of a rank file; special tokens' strings are ordinary text."""
+    """Encoder of a rank file; SPECIAL's strings in a text are the tokens of these ids, unless the file ranks such an id."""
     if path not in _encoders:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-        _encoders[path] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        ids = set(ranks.values())
+        _encoders[path] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={k: v for k, v in SPECIAL.items() if v not in ids})
     return _encoders[path]
 
 
@@ -162,7 +165,7 @@ def pack(documents: DataFrame, vocabulary: tuple[str, str] | None = None, open_w
         of = encoder(path, pattern)
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = of.encode_ordinary(text.as_py() or "")
+                ids = of.encode(text.as_py() or "", allowed_special="all")
                 ids.append(END)
                 p.add(doc, np.array(ids, "<u4"))
             if p.out:
