@@ -6,7 +6,6 @@ import io
 import os
 import zipfile
 
-import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -62,10 +61,7 @@ def npy_scan(spark, d):
     npy.register(spark)
     folder = S.fresh(spark, "npy").removeprefix("file://")  # memory maps need a mounted path
     os.makedirs(folder, exist_ok=True)
-    rows = V.table(spark, d, "embeddings").filter("vec_id < 100000").orderBy("vec_id").select("embedding").collect()  # the writer of a test file
-    x = np.array([r[0] for r in rows], np.float32)
-    for i, part in enumerate(np.array_split(x, 3)):
-        np.save(f"{folder}/shard-{i:03d}.npy", part)
+    npy.write(V.table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", folder)
     return spark.read.format("npy").option("rows", 64).load(folder).select("global_row", F.round(F.get("embedding", F.lit(2)).cast("double"), 5).alias("x"))
 
 

@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
@@ -38,6 +39,38 @@ class NpyReader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([pa.array([os.path.basename(part.path)] * n), pa.array(ids), vectors], ["shard", "global_row", "embedding"])
 
 
+#: Rows of a shard that write() makes.
+SHARD = 1 << 16
+
+
+def write(vectors: DataFrame, order: str, vector: str, folder: str) -> None:
+    """Write a column of vectors as shards whose names sort in the rows' order; each task writes those of its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, shard, held, n = TaskContext.get().partitionId(), 0, [], 0
+
+        def flush() -> None:
+            nonlocal shard, held, n
+            if held:
+                path = f"{folder}/shard-{part:06d}-{shard:06d}.npy"
+                with open(f"{path}.{TaskContext.get().taskAttemptId()}", "wb") as f:
+                    np.save(f, np.concatenate(held))
+                os.replace(f.name, path)  # a task that runs again writes the same rows
+                shard, held, n = shard + 1, [], 0
+
+        for b in batches:
+            if b.num_rows:
+                v = b.column(0)
+                held.append(v.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(b.num_rows, -1))
+                n += b.num_rows
+            if n >= SHARD:
+                flush()
+        flush()
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64())], ["shards"])
+
+    vectors.orderBy(order).select(vector).mapInArrow(run, "shards long").collect()  # one number a partition
+
+
 class Npy(DataSource):
     """spark.read.format("npy").load(folder): shard, global_row (running over the sorted shards), embedding."""
 
