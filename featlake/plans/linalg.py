@@ -47,7 +47,7 @@ def _found(spark, d):
     e = V.table(spark, d, "embeddings")
     atoms = np.array([r["embedding"] for r in e.filter("vec_id < 96").orderBy("vec_id").collect()], np.float64)  # 96 rows
     atoms /= np.linalg.norm(atoms, axis=1, keepdims=True)
-    return L.sparse_reconstruction(e.filter("vec_id between 100 and 199").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), atoms, 0.5, 24)
+    return L.sparse_reconstruction(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), atoms, 0.5, 24)
 
 
 @query("L14_matching_pursuit")
