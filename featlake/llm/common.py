@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from featlake.sources.files import shared_dir, stage
 
-__all__ = ["bounded_sample", "fold", "held_out", "map_batches", "shared_dir", "slabs", "stage", "string_buffers", "table"]
+__all__ = ["bounded_sample", "columns", "crops", "fold", "held_out", "map_batches", "replaced", "shared_dir", "slabs", "stage", "string_buffers", "table", "unused"]
 
 #: One row of each stratum is broadcast up to this many strata, and joined by a shuffle beyond.
 MOST_STRATA = 10_000
@@ -24,16 +24,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of an Arrow batch: what a Python worker holds of whole texts at a time.
-ARROW_ROWS = 2000
+#: Rows and bytes of an Arrow batch: what a Python worker holds of whole texts at a time, one row at least.
+ARROW_ROWS, ARROW_BYTES = 2000, 1 << 24
 
 
 def map_batches(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
-    """df.mapInArrow with batches of at most ARROW_ROWS rows (the session's setting, if that is lower, stays)."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
-        conf.set(name, str(ARROW_ROWS))
-    return df.mapInArrow(run, schema)
+    """df.mapInArrow with batches of at most ARROW_ROWS rows and about ARROW_BYTES bytes.
+
+    Batches have the columns by position, named c0 and so on, as Spark's own takes no name with a dot or backtick. The bounds are settings of the session, which Spark reads when the rows are computed; lower ones stay.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        if not 0 < _bytes(conf.get(name)) <= most:
+            conf.set(name, str(most))
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(run, schema)
+
+
+def _bytes(setting: str) -> int:
+    """A setting's number, whatever unit it is given in: 0 where that is not a plain number."""
+    return int(setting) if setting.lstrip("-").isdigit() else 0
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns by their exact names, dots and backticks included."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores after it as make it unlike all columns of df, in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def replaced(df: DataFrame, documents: DataFrame, text: Column) -> DataFrame:
+    """The columns of documents out of df, with text in place of theirs and n_chars, if there, set to its length."""
+    new = {"text": text}
+    if "n_chars" in documents.columns:
+        new["n_chars"] = F.length(F.coalesce(text, F.lit(""))).cast(documents.schema["n_chars"].dataType)
+    return df.select(*(new[c].alias(c) if c in new else F.col(quoted(c)) for c in documents.columns))
+
+
+def crops(text: Column, key: Column, most: int) -> Column:
+    """At most `most` code points of text, cut at a place that a hash of key gives: what may be sent to the driver."""
+    room = F.greatest(F.lit(0), F.length(text) - most)
+    return F.substr(text, (F.pmod(F.xxhash64(key), room + 1) + 1).cast("int"), F.lit(most))
 
 
 def fold(doc_id: str | Column = "doc_id") -> Column:

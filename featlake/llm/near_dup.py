@@ -425,7 +425,7 @@ def _alike(similarity: float):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 hit.append(_reaches(both, len(x) + len(y), similarity))
-            yield b.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+            yield b.select(b.schema.names[:2]).filter(pa.array(hit, pa.bool_()))
 
     return run
 

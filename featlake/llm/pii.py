@@ -25,6 +25,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from featlake.llm.common import replaced, unused
+
 BASE = ("email", "ip", "card", "phone")
 FURTHER = ("account", "secret", "mailbox")
 KINDS = BASE + FURTHER
@@ -262,29 +264,34 @@ def _kept(kind: str, text: Column) -> Column:
     return F.transform(m, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("k"), s["end"].alias("end")))
 
 
-def with_spans(documents: DataFrame) -> DataFrame:
-    """The documents with a column per kind, `_email` and so on: its spans in order."""
+def with_spans(documents: DataFrame, name: str) -> DataFrame:
+    """The documents with one column more, `name`: a struct of each kind's spans in order."""
     text = F.coalesce("text", F.lit(""))
-    return documents.withColumns({f"_{k}": _kept(k, text) for k in KINDS})
+    return documents.withColumn(name, F.struct(*(_kept(k, text).alias(k) for k in KINDS)))
+
+
+def _ordered(of: Column, kinds: tuple[str, ...]) -> Column:
+    return F.array_sort(F.concat(*(of[k] for k in kinds)))
 
 
-def _joined(kinds: tuple[str, ...]) -> Column:
+def _joined(of: Column, kinds: tuple[str, ...]) -> Column:
     names = F.array(*(F.lit(k) for k in KINDS))
-    all_ = F.array_sort(F.concat(*(F.col(f"_{k}") for k in kinds)))
-    return F.array_join(F.transform(all_, lambda s: F.concat_ws(":", F.get(names, s["k"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(F.transform(_ordered(of, kinds), lambda s: F.concat_ws(":", F.get(names, s["k"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def spans(documents: DataFrame) -> DataFrame:
     """doc_id, counts and digest of the base kinds, and all spans (the columns of the contract)."""
-    d = with_spans(documents.select("doc_id", "text"))
-    counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in BASE]
-    return d.select("doc_id", *counts, F.sha2(_joined(BASE).cast("binary"), 256).alias("base_sha256"), _joined(KINDS).alias("spans"))
+    d = with_spans(documents.select("doc_id", "text"), "found")
+    of = F.col("found")
+    counts = [F.size(of[k]).cast("long").alias(f"n_{k}") for k in BASE]
+    return d.select("doc_id", *counts, F.sha2(_joined(of, BASE).cast("binary"), 256).alias("base_sha256"), _joined(of, KINDS).alias("spans"))
 
 
 def redact(documents: DataFrame) -> DataFrame:
     """The documents with each span, overlapping ones as one, replaced by the first one's kind in brackets."""
-    d = with_spans(documents)
-    ordered = F.array_sort(F.concat(*(F.col(f"_{k}") for k in KINDS)))
+    found, new = unused(documents, "found"), unused(documents, "redacted")
+    d = with_spans(documents, found)
+    ordered = _ordered(F.col(found), KINDS)
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     text = F.coalesce("text", F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -292,6 +299,4 @@ def redact(documents: DataFrame) -> DataFrame:
         F.struct(s["end"].alias("at"), F.array_append(F.array_append(a["out"], F.substr(text, a["at"] + 1, s["start"] - a["at"])), F.get(names, s["k"])).alias("out"))
     )
     done = F.aggregate(ordered, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1)))
-    out = F.when(F.size(ordered) > 0, done).otherwise(F.col("text"))
-    cols = {"text": out} | ({"n_chars": F.length(F.coalesce(out, F.lit(""))).cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {})
-    return d.withColumns(cols).select(*documents.columns)
+    return replaced(d.withColumn(new, F.when(F.size(ordered) > 0, done).otherwise(F.col("text"))), documents, F.col(new))

@@ -168,12 +168,12 @@ def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, with their own columns, that the classifier does not reject."""
-    model = fit(documents, labels)
+    model, text = fit(documents, labels), documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                raw, at = string_buffers(b.column(b.schema.get_field_index("text")))
+                raw, at = string_buffers(b.column(text))
                 yield b.filter(pa.array(probability(pooled(raw, at, model), model) >= ACCEPT))
 
     return map_batches(documents, run, documents.schema)
