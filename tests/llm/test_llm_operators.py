@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -361,13 +362,13 @@ def test_chat_parts(spark):
 # search
 
 
-@pytest.mark.parametrize(("block", "chunk"), [(8192, 2048), (60, 3)])
-def test_top_k_equals_brute_force(spark, block, chunk):
+@pytest.mark.parametrize("block", [8192, 60])
+def test_top_k_equals_brute_force(spark, block):
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding")
     p = e.toPandas()
     v = np.floor(256 * np.stack(p.embedding).astype(float)).astype(int)
     bad = spark.createDataFrame([(9001, None), (9002, [float("nan")] * 64), (9003, [None] * 64), (9004, [1.0]), (None, [0.5] * 64), (9050, [0.0] * 64)], "vec_id long, embedding array<float>")
-    r = topk.top_neighbours(e.unionAll(bad).repartition(3), block=block, chunk=chunk).toPandas().sort_values(["query_id", "rank"])
+    r = topk.top_neighbours(e.unionAll(bad).repartition(3), block=block).toPandas().sort_values(["query_id", "rank"])
     v, ids = np.vstack([v, np.zeros((1, 64), int)]), np.append(p.vec_id.to_numpy(), 9050)
     assert set(r.query_id) == {i for i in ids if i % 50 == 0}
     for q in np.flatnonzero(ids % 50 == 0):
@@ -383,30 +384,85 @@ def test_top_k_small_and_empty(spark):
     assert topk.top_neighbours(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("block", "lengths"), [(8192, 1000), (4, 2)])
+def test_top_k_of_components_of_any_size_and_lengths(spark, block, lengths, monkeypatch):
+    """Finite components from the least to the largest, ties beyond the range of a long, vectors of several lengths."""
+    monkeypatch.setattr(topk, "MOST_LENGTHS", lengths)
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=4) * 10.0 ** rng.integers(-3, 5 * (i % 7) + 1)).tolist()) for i in range(70)]
+    rows += [(100, [1e7, 0.0, 0.0, 0.0]), (150, [1.7e308, -1.7e308, 5e-324, 0.0]), (200, [3.4e38] * 4), (250, []), (251, []), (252, []), (300, [1.0]), (301, [-2.5]), (302, [3e9]), (350, [0.1, 0.2])]
+    got = topk.top_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), block=block)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got.collect()}
+    whole = {i: [int(256 * Fraction(x) // 1) for x in v] for i, v in rows}
+    want = {}
+    for q in (i for i in whole if i % 50 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in whole if i != q and len(whole[i]) == len(whole[q]))
+        want |= {(q, k + 1): (i, max(-(1 << 63), min((1 << 63) - 1, -s))) for k, (s, i) in enumerate(scores[:5])}
+    assert got == want and (250, 2) in got and (350, 1) not in got
+
+
 # document fingerprints
 
 
-def test_edited_pairs(spark, docs, none):
-    d = docs.select("doc_id", "text").unionAll(spark.createDataFrame([(50_000, None), (70_000, "one two three four five six"), (70_001, "one two three four five six"), (None, "last")], "doc_id long, text string"))
-    t = [(r["doc_id"], r["text"] or "") for r in d.collect()]
-    t.sort(key=lambda x: (x[0] is not None, x[0] or 0), reverse=True)
-    got = {r["doc_id"]: r for r in simhash.edited_pairs(d, width=64).collect()}
-    assert len(got) == len(t)
+def simhash_of(text):
+    """SimHash term by term and bit by bit; Spark's hash of several strings goes on from the hash of those before."""
+    import xxhash
+
+    words, votes = re.findall(r"[^\x20\x09-\x0D]+", text.lower()), [0] * 64
+    for k, w in enumerate(words):
+        h = 42
+        for x in words[k : k + 3]:
+            h = xxhash.xxh64_intdigest(x.encode(), h)
+        for bit in range(64):
+            votes[bit] += min(8, len(w)) * (1 if h >> bit & 1 else -1)
+    return sum(1 << bit for bit in range(64) if votes[bit] > 0)
+
+
+def check_pairs(rows, got, every=100):
+    """rows: (doc_id, text); got: rows of edited_pairs."""
+    t = sorted(((i, x or "") for i, x in rows), key=lambda r: (r[0] is None, -(r[0] or 0)))
+    groups = {}
+    for i, x in t:
+        groups.setdefault(i, []).append(x)
+    fps = {x: simhash_of(x) for _, x in t}
+    seen = {}
+    for r in got:
+        seen.setdefault(r["doc_id"], []).append(r)
+    assert {i: len(x) for i, x in seen.items()} == {i: len(x) for i, x in groups.items()}
+    like = lambda a, b: (64 - (a ^ b).bit_count()) / 64
     for k, (i, text) in enumerate(t):
+        if len(set(groups[i])) > 1 or len(set(groups[t[(k + 1) % len(t)][0]])) > 1:
+            continue  # their order is that of a hash
         after = t[(k + 1) % len(t)][1]
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
-        assert (got[i]["n_chars"], got[i]["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-    assert got[70_000]["fingerprint"] == got[70_001]["fingerprint"] and got[70_001]["near_next"] == 1.0
-    r = [x for x in got.values() if x["n_chars"] > 500]
-    assert np.mean([x["near_edited"] for x in r]) > np.mean([x["near_next"] for x in r]) + 0.1
+        near = None if i is None or i % every else sum((fps[text] ^ fps[x]).bit_count() <= 3 for _, x in t)
+        want = (len(text), hashlib.sha256(edited.encode()).hexdigest(), f"{fps[text]:016x}", f"{simhash_of(edited):016x}", like(fps[text], simhash_of(edited)), like(fps[text], fps[after]), near)
+        assert want in [tuple(r)[1:] for r in seen[i]]
+
+
+def test_edited_pairs_equal_brute_force(spark, docs, none):
+    base = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    rows = base + [(50_000, None), (70_000, "one two three four five six"), (70_001, "one two three four five six"), (None, "last"), (80_000, "x y " * 40), (80_001, "x y " * 40 + "z"), (100, "é 😀 é")]
+    rows += [(90_000, base[0][1])] * 5 + [(90_100, base[0][1])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.edited_pairs(d.repartition(3), every=10).collect()
+    check_pairs(rows, got, every=10)
+    assert {r["n_within"] for r in got if r["doc_id"] == 90_000} == {sum((simhash_of(base[0][1]) ^ simhash_of(x or "")).bit_count() <= 3 for _, x in rows)}
     assert simhash.edited_pairs(none).count() == 0
 
 
-def test_ring_of_one_and_repeats(spark, edge):
+def test_ring_of_one_repeats_and_nulls(spark, edge):
     one = spark.createDataFrame([(3, "abc def")], "doc_id long, text string")
     assert simhash.edited_pairs(one).first()["near_next"] == 1.0
-    assert simhash.edited_pairs(edge).count() == len(EDGE)
+    got = simhash.edited_pairs(edge).collect()
+    check_pairs([(r[0], r[1]) for r in EDGE], got)
+    same = [(None, "a b c d")] * 3
+    check_pairs(same, simhash.edited_pairs(spark.createDataFrame(same, "doc_id long, text string")).collect())
+    tied = [(5, t) for t in ("a b", "c d", "a b", "e")] + [(4, "z")]
+    got = simhash.edited_pairs(spark.createDataFrame(tied, "doc_id long, text string")).collect()
+    # in whatever order the ties stand, each text is followed by the others in one ring
+    assert len(got) == 5 and sum(r["near_next"] == 1.0 for r in got) == 1
 
 
 def test_block_tables_find_all_within_radius(spark):
