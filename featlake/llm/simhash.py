@@ -5,11 +5,14 @@ with a weight that grows with the length of its first word. A document's votes a
 of longs holds two counters of 32 bits each, so 32 sums give all 64 and partial aggregation leaves one row a document
 and task. Permuted block tables find fingerprints within a radius: of radius + 1 + SPARE blocks at least 1 + SPARE are
 equal in two fingerprints that close, so the tables are keyed by the combinations of 1 + SPARE blocks and every
-meeting is verified on all 64 bits.
+meeting is verified on all 64 bits, under the first table that the two share.
+
+The ring of documents is made of keys (id and hash of the text), sorted by range partitions whose ends are joined.
+Each text then moves once, and the part of it that its predecessor needs once more.
 
 Defined cases: null text counts as empty; a text without words has fingerprint zero; rows that repeat a doc_id stand
-one after the other in the ring, ordered by a hash of their texts; null ids come after all others; a single row is
-its own next document; an empty table gives an empty result.
+one after the other in the ring, ordered by a hash of their texts (equal rows side by side); null ids come after all
+others; a single row is its own next document; an empty table gives an empty result; further columns do not matter.
 """
 
 from __future__ import annotations
@@ -23,11 +26,9 @@ from featlake.llm.common import SPACES, stage
 
 TERM = 3
 MOST_WEIGHT = 8
-#: Ids of a bucket of the ring; a bucket's rows are sorted in one task.
-BUCKET = 4096
-#: Buckets whose list is broadcast (24 bytes each); beyond, it is joined by a shuffle.
-MOST_BUCKETS = 1_000_000
 RADIUS, SPARE = 3, 1
+#: Rows whose doc_id is divisible by EVERY ask the block tables; tables' keys are split in SALTS.
+EVERY, SALTS = 100, 8
 
 
 def _terms(text: Column) -> Column:
@@ -74,48 +75,77 @@ def likeness(a: str, b: str) -> Column:
     return (F.lit(64) - F.bit_count(F.col(a).bitwiseXOR(F.col(b)))) / F.lit(64.0)
 
 
-def ring(documents: DataFrame, width: int = BUCKET) -> DataFrame:
-    """Each row as (doc_id, k, text, next_id, next_k, next_text): the next by descending doc_id, the first after the last.
+def ring(keys: DataFrame) -> DataFrame:
+    """The rows of keys (doc_id, th, n and others, one row a document) with the key of the next and the one before.
+
+    The next is that of the next smaller doc_id, after the last the first. No task sorts more than a range partition,
+    but for the list of partitions.
+    """
+    order = [F.col("doc_id").desc_nulls_last(), F.col("th").asc()]
+    parts = stage(keys.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ring")
+    key = F.struct("doc_id", "th", "n")
+    w = Window.partitionBy("part").orderBy(*order)
+    near = parts.withColumns({"after": F.lead(key).over(w), "before": F.lag(key).over(w)})
+    # one row for each partition
+    place = F.struct(F.col("doc_id").isNull(), -F.col("doc_id").cast("decimal(20,0)"), "th")
+    ends = parts.groupBy("part").agg(F.min_by(key, place).alias("first"), F.max_by(key, place).alias("last"))
+    line = Window.orderBy("part")
+    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = ends.select(F.col("part").alias("p"), F.coalesce(F.lead("first").over(line), F.first("first").over(whole)).alias("to"), F.coalesce(F.lag("last").over(line), F.last("last").over(whole)).alias("from"))
+    near = near.join(ends, F.col("part") == F.col("p"))
+    return near.withColumns({"after": F.coalesce("after", "to"), "before": F.coalesce("before", "from")}).drop("part", "p", "to", "from")
+
+
+def _same(a: str, b: str) -> Column:
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
+
+
+def _half(n: Column) -> Column:
+    return F.floor(n / 2).cast("int")
+
+
+def edited_pairs(documents: DataFrame, every: int = EVERY) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness (the columns of the contract).
 
-    k numbers the rows of one doc_id. Rows are ordered within buckets of `width` ids, which moves each text once. The
-    rows of a bucket's highest id also go, as guests, to the end of the bucket before it in the ring; so nothing is
-    sorted in one place but the list of buckets.
+    n_within: for rows whose doc_id is divisible by `every`, the number of all rows whose fingerprint is within RADIUS
+    bits of theirs, found by the block tables, themselves included; null for others.
     """
-    d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    d = d.withColumn("b", F.floor(F.col("doc_id") / F.lit(width)))
-    heads = stage(d.groupBy("b").agg(F.max("doc_id").alias("head")), "buckets")
-    order = Window.orderBy(F.col("b").desc_nulls_last())
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = F.coalesce(F.lag(F.struct("b")).over(order), F.last(F.struct("b")).over(whole)).getField("b")
-    to = heads.select(F.col("b").alias("h_b"), "head", before.alias("to"))
-    if heads.count() <= MOST_BUCKETS:
-        to = F.broadcast(to)
-    here = F.struct(F.col("b").alias("slot"), F.lit(False).alias("guest"))
-    there = F.struct(F.col("to").alias("slot"), F.lit(True).alias("guest"))
-    d = d.join(to, d["b"].eqNullSafe(F.col("h_b")) & d["doc_id"].eqNullSafe(F.col("head")), "left")
-    d = d.select("doc_id", "text", F.inline(F.when(F.col("h_b").isNotNull() | (F.col("b").isNull()), F.array(here, there)).otherwise(F.array(here))))
-    d = d.repartition("slot")
-    own = Window.partitionBy("slot", "guest", "doc_id").orderBy(F.xxhash64("text"))
-    d = d.withColumn("k", F.row_number().over(own))
-    w = Window.partitionBy("slot").orderBy("guest", F.col("doc_id").desc_nulls_last(), "k")
-    rows = d.withColumns({"next_id": F.lead("doc_id").over(w), "next_k": F.lead("k").over(w), "next_text": F.lead("text").over(w)})
-    return rows.filter("not guest").select("doc_id", "k", "text", "next_id", "next_k", "next_text")
-
-
-def edited_pairs(documents: DataFrame, width: int = BUCKET) -> DataFrame:
-    """Fingerprints of every document and of its edited text, and their likeness (the columns of the contract)."""
-    half = "cast(floor(length(text) / 2) as int)"
-    edited = F.concat(F.expr(f"substring(text, 1, length(text) - {half})"), F.expr(f"substring(next_text, 1, {half})"))
-    r = ring(documents, width).withColumn("edited", edited)
-    facts = ["doc_id", "k", "next_id", "next_k", "n_chars", "edited_sha256"]
-    texts = F.explode(F.array(F.struct(F.lit(0).alias("e"), F.col("text").alias("t")), F.struct(F.lit(1).alias("e"), F.col("edited").alias("t"))))
-    both = r.select("doc_id", "k", "next_id", "next_k", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), texts.alias("x"))
-    fps = fingerprints(both.select(*facts, "x.e", "x.t"), [*facts, "e"], "t")
-    fps = stage(fps.groupBy(*facts).agg(F.max(F.when(F.col("e") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("e") == 1, F.col("fp"))).alias("efp")), "fingerprints")
-    n = fps.select(F.col("doc_id").alias("n_id"), F.col("k").alias("n_k"), F.col("fp").alias("nfp"))
-    out = fps.join(n, F.col("next_id").eqNullSafe(F.col("n_id")) & (F.col("next_k") == F.col("n_k")))
+    d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    keys = d.groupBy("doc_id", "th").agg(F.count("*").alias("copies"), F.max(F.length("text")).alias("n"))
+    keys = stage(ring(keys).select(F.struct("doc_id", "th").alias("own"), "copies", "n", "after", "before"), "ring")
+    texts = d.groupBy("doc_id", "th").agg(F.first("text").alias("text")).select(F.struct("doc_id", "th").alias("own"), "text")
+    both = texts.alias("t").join(keys.alias("r"), _same("t.own", "r.own")).select("r.own", "copies", "n", "after", "before", "text")
+    heads = both.select(F.col("before").alias("of"), F.substring("text", 1, _half(F.col("before.n"))).alias("head"))
+    r = both.join(heads, _same("own", "of"))
+    half = _half(F.col("n"))
+    start = F.substring("text", 1, F.col("n") - half)
+    own = F.concat(start, F.substring("text", 1, half))  # of all copies but the last: the next is equal
+    kinds = F.array(*(F.struct(F.lit(e).alias("e"), t.alias("t")) for e, t in enumerate((F.col("text"), F.concat(start, "head"), own))))
+    r = r.select("own", "copies", "n", "after", F.explode(F.when(F.col("copies") > 1, kinds).otherwise(F.slice(kinds, 1, 2))).alias("x"))
+    facts = ["doc_id", "th", "e"]
+    rows = r.select("own.doc_id", "own.th", "x.e", "copies", "n", "after", F.sha2(F.col("x.t").cast("binary"), 256).alias("sha"), F.col("x.t").alias("t"))
+    fps = fingerprints(rows, [*facts, "copies", "n", "after", "sha"], "t")
+    at = lambda e, c: F.max(F.when(F.col("e") == e, F.col(c)))
+    fps = fps.groupBy("doc_id", "th", "copies", "n", "after").agg(at(0, "fp").alias("fp"), *(at(e, c).alias(f"{c}{e}") for e in (1, 2) for c in ("fp", "sha")))
+    fps = stage(fps, "fingerprints")
+    n = fps.select(F.struct("doc_id", "th").alias("next"), F.col("fp").alias("nfp"))
+    out = fps.join(n, _same("after", "next"))
+    asks = (F.col("doc_id") % every == 0) & F.col("doc_id").isNotNull()
+    within = count_within(fps.filter(asks), fps, "copies")
+    out = out.join(within, (F.col("query") == F.col("fp")) & asks, "left")
+    last = F.struct(F.lit(1).cast("long").alias("times"), F.col("sha1").alias("sha"), F.col("fp1").alias("efp"), F.col("nfp").alias("nfp"))
+    others = F.struct((F.col("copies") - 1).alias("times"), F.col("sha2").alias("sha"), F.col("fp2").alias("efp"), F.col("fp").alias("nfp"))
+    out = out.select("doc_id", "n", "fp", "n_within", F.inline(F.when(F.col("copies") > 1, F.array(last, others)).otherwise(F.array(last))))
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", hex16("fp").alias("fingerprint"), hex16("efp").alias("edited_fingerprint"), likeness("fp", "efp").alias("near_edited"), likeness("fp", "nfp").alias("near_next")
+        "doc_id",
+        F.col("n").cast("long").alias("n_chars"),
+        F.col("sha").alias("edited_sha256"),
+        hex16("fp").alias("fingerprint"),
+        hex16("efp").alias("edited_fingerprint"),
+        likeness("fp", "efp").alias("near_edited"),
+        likeness("fp", "nfp").alias("near_next"),
+        "n_within",
     )
 
 
@@ -126,14 +156,44 @@ def _blocks(n: int) -> list[tuple[int, int]]:
 
 
 def tables(fps: DataFrame, radius: int = RADIUS, spare: int = SPARE) -> DataFrame:
-    """(fp, t, v): the key v of each fingerprint in every permuted block table t."""
+    """The columns of fps (fp among them) with t and v: its key in every permuted block table t."""
     blocks = _blocks(radius + 1 + spare)
     keys = []
     for t, chosen in enumerate(combinations(blocks, 1 + spare)):
-        m = sum(((1 << w) - 1) << a for a, w in chosen)
-        m -= 1 << 64 if m >> 63 else 0
-        keys.append(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("v")))
-    return fps.select("fp", F.inline(F.array(*keys)))
+        keys.append(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(_mask(chosen)).alias("v")))
+    return fps.select(*fps.columns, F.inline(F.array(*keys)))
+
+
+def _mask(blocks) -> Column:
+    m = sum(((1 << w) - 1) << a for a, w in blocks)
+    return F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
+
+
+def _first_table(radius: int, spare: int) -> Column:
+    """Whether t is the first of the tables in which query and fp have equal keys: no block before its last is equal but its own."""
+    blocks = _blocks(radius + 1 + spare)
+    apart = F.col("query").bitwiseXOR(F.col("fp"))
+    out = F.lit(True)
+    for t, chosen in enumerate(combinations(range(len(blocks)), 1 + spare)):
+        others = [k for k in range(chosen[-1]) if k not in chosen]
+        if others:
+            none = F.lit(True)
+            for k in others:
+                none = none & (apart.bitwiseAND(_mask([blocks[k]])) != 0)
+            out = F.when(F.col("t") == t, none).otherwise(out)
+    return out
+
+
+def _met(q: DataFrame, x: DataFrame, radius: int, spare: int) -> DataFrame:
+    """Pairs of a query and a row of x within the radius, each under its first table; x's keys are split in SALTS."""
+    salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).alias("salt")
+    some = tables(x, radius, spare)
+    some = some.select(*some.columns, salt)
+    asked = tables(q, radius, spare).withColumnRenamed("fp", "query").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    d = F.bit_count(F.col("query").bitwiseXOR(F.col("fp")))
+    on = (F.col("q.t") == F.col("x.t")) & (F.col("q.v") == F.col("x.v")) & (F.col("q.salt") == F.col("x.salt"))
+    joined = asked.alias("q").join(some.alias("x"), on & (d <= radius))
+    return joined.select(F.col("q.t").alias("t"), "query", *(F.col(f"x.{c}") for c in x.columns)).filter(_first_table(radius, spare)).drop("t")
 
 
 def within_radius(queries: DataFrame, fps: DataFrame, radius: int = RADIUS, spare: int = SPARE) -> DataFrame:
@@ -141,8 +201,11 @@ def within_radius(queries: DataFrame, fps: DataFrame, radius: int = RADIUS, spar
 
     Equal fingerprints are one class on either side: members of a class are found by their fingerprint, not paired.
     """
-    q = tables(queries.select("fp").distinct(), radius, spare).withColumnRenamed("fp", "query")
-    x = tables(fps.select("fp").distinct(), radius, spare)
-    d = F.bit_count(F.col("query").bitwiseXOR(F.col("fp")))
-    met = q.join(x, ["t", "v"]).filter(d <= radius)
-    return met.select("query", "fp", d.cast("int").alias("distance")).distinct()
+    met = _met(queries.select("fp").distinct(), fps.select("fp").distinct(), radius, spare)
+    return met.select("query", "fp", F.bit_count(F.col("query").bitwiseXOR(F.col("fp"))).cast("int").alias("distance"))
+
+
+def count_within(queries: DataFrame, fps: DataFrame, weight: str, radius: int = RADIUS, spare: int = SPARE) -> DataFrame:
+    """(query, n_within): for each distinct fingerprint of queries the sum of weight over the rows of fps within radius bits."""
+    members = fps.groupBy("fp").agg(F.sum(weight).cast("long").alias("m"))
+    return _met(queries.select("fp").distinct(), members, radius, spare).groupBy("query").agg(F.sum("m").alias("n_within"))
