@@ -35,11 +35,30 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/featlake/{uuid.uuid4().hex}/{name}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again; cuts the lineage."""
-    path = fresh(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Shuffle files of a query go as it ends, not when the driver happens to collect its garbage.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, name: str, files: int | None = None, path: str | None = None, order: str | None = None) -> DataFrame:
+    """df written as Parquet in the shared folder and read again; cuts the lineage and frees the shuffles before it.
+
+    files: the most files (and tasks) of small results, from parts_for(); order: a column by which each file is sorted.
+    """
+    spark, path = df.sparkSession, path or fresh(df.sparkSession, name)
+    rows = df if files is None else df.coalesce(files)
+    rows = rows if order is None else rows.sortWithinPartitions(order)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        rows.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before) if before is not None else spark.conf.unset(CLEAN)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def parts_for(rows: int, each: int = 250_000, least: int = 24) -> int:
+    """Files for a known number of rows: `each` rows a file, but not under `least` files, so that small results have tasks too."""
+    return max(least, -(-rows // each))
 
 
 def strings(columns: list[str]) -> T.StructType:
