@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlake.llm.common import stage
+from featlake.llm.common import parts_for, stage
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -35,5 +35,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == seen or now[0] == 0:
             break
         seen = now
-        e = stage(_small_star(_large_star(e)), "stars")
+        e = stage(_small_star(_large_star(e)), "stars", parts_for(now[0]))
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from featlake.llm.common import columns, map_batches, replaced, shared_dir, slabs, stage, string_buffers, unused
+from featlake.llm.common import columns, map_batches, parts_for, replaced, shared_dir, slabs, stage, string_buffers, unused
 
 WINDOW, GRAM = 20, 8
 SLAB = 1 << 18
@@ -49,7 +49,9 @@ LONG_WORD = 256
 #: more for each entry up to its most; beyond, more windows are verified in vain.
 LEAST_BITS, MOST_BITS, BITS_EACH = 20, 29, 16
 #: Runs at which the log is compacted, and batches of a table.
-FANOUT, BATCHES = 3, 4
+FANOUT, BATCHES = 3, 3
+#: Documents for each file of a run, and of a batch's first windows.
+ROWS_EACH = 50_000
 #: Windows of a batch of rows that are held to drop repeats among them.
 MOST_HELD = 1 << 19
 
@@ -201,12 +203,15 @@ class Log:
             out = self.read(n) if out is None else out.unionAll(self.read(n))
         return out
 
-    def append(self, documents: DataFrame) -> DataFrame:
-        """Write the sorted run of a batch; it takes part in the log from commit() on."""
-        run = entries(documents).groupBy("h").agg((F.sum("n") > 1).alias("many")).sortWithinPartitions("h")
+    def _write(self, run: DataFrame, name: str, files: int) -> DataFrame:
+        """A run of distinct entries as sorted files; its shuffle goes with the write."""
+        return stage(run, name, files, f"{self.path}/{name}", "h")
+
+    def append(self, documents: DataFrame, files: int) -> DataFrame:
+        """Write the sorted run of a batch, in `files` files; it takes part in the log from commit() on."""
         self.fresh = f"run-{len(self.names):05d}-{uuid.uuid4().hex[:8]}"
-        run.write.parquet(f"{self.path}/{self.fresh}")
-        return self.read(self.fresh)
+        self.files = files
+        return self._write(entries(documents).groupBy("h").agg((F.sum("n") > 1).alias("many")), self.fresh, files)
 
     def commit(self, fanout: int = FANOUT) -> None:
         self.names.append(self.fresh)
@@ -215,16 +220,15 @@ class Log:
 
     def compact(self) -> None:
         """Merge all runs into one; the old ones stay on disk for readers that began before."""
-        merged = self.history().groupBy("h").agg((F.max("many") | (F.count("*") > 1)).alias("many")).sortWithinPartitions("h")
+        merged = self.history().groupBy("h").agg((F.max("many") | (F.count("*") > 1)).alias("many"))
         name = f"merged-{uuid.uuid4().hex[:8]}"
-        merged.write.parquet(f"{self.path}/{name}")
+        self._write(merged, name, self.files * len(self.names))
         self.names = [name]
 
 
-def _bitmap(repeated: DataFrame) -> np.ndarray:
-    """Bits of the repeated entries (staged); at most 2 ** MOST_BITS / 32768 rows of 4 kB reach the driver."""
-    n = repeated.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, (n * BITS_EACH).bit_length()))
+def _bitmap(repeated: DataFrame, most: int) -> np.ndarray:
+    """Bits of the repeated entries, of which there are `most` at most; 2 ** MOST_BITS / 32768 rows of 4 kB or fewer reach the driver."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (most * BITS_EACH).bit_length()))
     p = F.expr(f"(h & {(1 << bits) - 1}) + 1")
     rows = repeated.select(p.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
     out = np.zeros((1 << bits) >> 3, np.uint8)
@@ -363,17 +367,18 @@ def dedupe_batch(log: Log, batch: DataFrame, earlier: DataFrame | None, text: bo
     text: give the kept text; one without removed words stays as it is, white space included.
     told_apart: tell rows of one doc_id apart by their texts; not needed where ids are unique.
     """
-    run = log.append(batch)
+    size = batch.count()
+    run = log.append(batch, parts_for(size, ROWS_EACH))
     repeated = run.filter("many").select("h")
     if (history := log.history()) is not None:
         repeated = repeated.unionAll(run.filter("not many").select("h").hint("merge").join(history.select("h"), "h", "left_semi"))
-    bitmap = _bitmap(stage(repeated, "repeated"))
+    bitmap = _bitmap(repeated, run.count())
     log.commit()
     found = candidates(batch, bitmap, told_apart)
     if earlier is not None:
         found = found.unionAll(candidates(earlier, bitmap, told_apart))
     first = found.repartition("w").sortWithinPartitions("w", F.expr("x & 4294967295"), "doc_id", "th", "x").mapInArrow(_earliest, "doc_id long, th long, pos int")
-    firsts = stage(first.groupBy(F.col("doc_id").alias("id"), "th").agg(F.collect_list("pos").alias("firsts")), "firsts")
+    firsts = stage(first.groupBy(F.col("doc_id").alias("id"), "th").agg(F.collect_list("pos").alias("firsts")), "firsts", parts_for(size, ROWS_EACH))
     rows = batch.select(F.struct(*columns(batch)).alias("row"), F.coalesce("text", F.lit("")).alias("body"), F.col("doc_id").cast("long").alias("key"))
     of = F.xxhash64("body") if told_apart else F.lit(0).cast("long")
     joined = rows.join(firsts, F.col("key").eqNullSafe(F.col("id")) & (of == F.col("th")), "left").select("row.*", "body", "firsts")

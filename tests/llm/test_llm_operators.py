@@ -233,7 +233,7 @@ def test_substring_edges(edge, none):
 def test_log_compacts(spark, docs):
     log = substring.Log(spark)
     for k in range(substring.FANOUT):
-        log.append(docs.filter(F.col("doc_id") % substring.FANOUT == k))
+        log.append(docs.filter(F.col("doc_id") % substring.FANOUT == k), 3)
         log.commit()
     assert len(log.names) == 1
     whole = substring.entries(docs).groupBy("h").agg((F.sum("n") > 1).alias("many"))
