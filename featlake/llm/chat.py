@@ -3,9 +3,11 @@
 A message holds typed content parts. A visitor flattens them in order: text is escaped; an image, audio or document
 part becomes a numbered placeholder and an attachment reference with its expanded token count. The template marks
 turns; a text cannot hold a control string, as one backslash goes in between `<` and `|` of each (after those that
-stand there already), which the reader takes out again.
+stand there already), which the reader takes out again. The loss mask stands beside the formatted text as runs of code
+points, three for each message: its head, its body and its end mark; bodies of LOSS_ROLE are under the mask.
 
-Defined cases: null text, role and parts count as empty; rows that tie on turn are ordered by role and then by text,
+Defined cases: null text, role and parts count as empty; rows that tie on turn are ordered by role and then by text
+(the text as given, not as escaped; messages of several parts by their parts in order),
 repeated rows stand side by side; a null turn comes first; rows of a null conv_id form a conversation of their own;
 roles of any characters come back as they were; an empty table gives an empty result.
 """
@@ -59,35 +61,46 @@ def _attachments(parts: Column) -> Column:
     return F.filter(numbered, lambda p: F.coalesce(p["type"], F.lit("text")) != "text")
 
 
+def _plain(parts: Column) -> Column:
+    """The parts with nulls filled in, so that they sort by type, text, reference and tokens."""
+    return F.transform(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: F.struct(F.coalesce(p["type"], F.lit("text")).alias("type"), F.coalesce(p["text"], F.lit("")).alias("text"), p["ref"].alias("ref"), p["tokens"].alias("tokens")))
+
+
 def format_chats(messages: DataFrame) -> DataFrame:
-    """conv_id, formatted, attachments, expanded_tokens of every conversation.
+    """conv_id, formatted, loss_mask, attachments, expanded_tokens of every conversation.
 
-    messages: conv_id, turn, role and parts (array of type, text, ref, tokens). Attachments carry the message they
-    stand in; expanded_tokens is the sum of their token counts.
+    messages: conv_id, turn, role and parts (array of type, text, ref, tokens). loss_mask: runs (length, loss) over
+    the code points of formatted. Attachments carry the message they stand in; expanded_tokens is the sum of their
+    token counts.
     """
-    parts = F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>"))
-    m = messages.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), _visit(parts).alias("body"), _attachments(parts).alias("files")).alias("m"))
+    m = messages.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), _plain(F.col("parts")).alias("parts")).alias("m"))
     turns = m.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("ms"))
-    block = lambda x: F.concat(F.lit(START), escape_role(x["role"]), F.lit("\n"), x["body"], F.lit(f"{END}\n"))
-    files = F.flatten(F.transform("ms", lambda x, i: F.transform(x["files"], lambda f: F.struct(i.alias("message"), f["position"].alias("position"), f["type"].alias("type"), f["ref"].alias("ref"), f["tokens"].alias("tokens")))))
-    return turns.select(
+    block = lambda x: F.struct(F.concat(F.lit(START), escape_role(x["role"]), F.lit("\n")).alias("head"), _visit(x["parts"]).alias("body"), (x["role"] == LOSS_ROLE).alias("loss"))
+    files = F.flatten(F.transform("ms", lambda x, i: F.transform(_attachments(x["parts"]), lambda f: F.struct(i.alias("message"), f["position"].alias("position"), f["type"].alias("type"), f["ref"].alias("ref"), f["tokens"].alias("tokens")))))
+    end = f"{END}\n"
+    run = lambda n, loss: F.struct(n.cast("int").alias("length"), loss.alias("loss"))
+    blocks = turns.select("conv_id", F.transform("ms", block).alias("blocks"), files.alias("attachments"))
+    return blocks.select(
         "conv_id",
-        F.array_join(F.transform("ms", block), "").alias("formatted"),
-        files.alias("attachments"),
-        F.aggregate(files, F.lit(0).cast("long"), lambda a, f: a + f["tokens"]).alias("expanded_tokens"),
+        F.array_join(F.transform("blocks", lambda b: F.concat(b["head"], b["body"], F.lit(end))), "").alias("formatted"),
+        F.flatten(F.transform("blocks", lambda b: F.array(run(F.length(b["head"]), F.lit(False)), run(F.length(b["body"]), b["loss"]), run(F.lit(len(end)), F.lit(False))))).alias("loss_mask"),
+        "attachments",
+        F.aggregate("attachments", F.lit(0).cast("long"), lambda a, f: a + f["tokens"]).alias("expanded_tokens"),
     )
 
 
 def read_back(chats: DataFrame) -> DataFrame:
-    """The columns of chats with turns, read from the formatted text: array of role, text and loss (under the loss mask)."""
+    """The columns of chats with turns, read from the output: role and text from formatted, learned (the text under the mask, unescaped) by loss_mask."""
     pieces = F.split("formatted", r"<\|im_end\|>\n", -1)
     pieces = F.slice(pieces, 1, F.size(pieces) - 1)  # nothing stands after the last mark
 
-    def turn(p: Column) -> Column:
+    def turn(p: Column, i: Column) -> Column:
         body = F.substr(p, F.lit(len(START) + 1))
         cut = F.instr(body, "\n")
         role = unescape_role(F.substr(body, F.lit(1), cut - 1))
-        return F.struct(role.alias("role"), unescape(F.substr(body, cut + 1)).alias("text"), (role == LOSS_ROLE).alias("loss"))
+        head, masked = F.get(F.col("loss_mask"), 3 * i), F.get(F.col("loss_mask"), 3 * i + 1)
+        learned = F.when(masked["loss"], unescape(F.substr(p, head["length"] + 1, masked["length"]))).otherwise("")
+        return F.struct(role.alias("role"), unescape(F.substr(body, cut + 1)).alias("text"), learned.alias("learned"))
 
     return chats.withColumn("turns", F.transform(pieces, turn))
 
@@ -96,7 +109,7 @@ def digests(chats: DataFrame) -> DataFrame:
     """The contract's columns, from what read_back reads."""
     r = read_back(chats)
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learned = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
+    learned = F.array_join(F.transform("turns", lambda t: t["learned"]), "")
     r = r.select("conv_id", F.size("turns").cast("long").alias("n_turns"), whole.alias("whole"), learned.alias("learned"), F.length("formatted").cast("long").alias("formatted_chars"))
     return r.select(
         "conv_id",

@@ -5,7 +5,8 @@ response in a window is kept, a softmax layer gives each window's class scores,
 the largest mean log-probability over its windows, weighted by their bytes.
 
 Defined cases: null text and text without a letter give `und` with score 0; repeated rows get the same answer; an
-empty table gives an empty result; with no labelled row to learn from every text gives `und`.
+empty table gives an empty result; with no labelled row to learn from every text gives `und`; beyond FIT_LANGS
+languages those of fewest documents are not learned.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlake.llm.common import bounded_sample, fold, held_out, map_batches, slabs, string_buffers
+from featlake.llm.common import bounded_sample, crops, fold, held_out, map_batches, slabs, string_buffers
 
 WINDOW, EMBED, PER_WIDTH = 256, 6, 10
 WIDTHS = (2, 3, 4)
@@ -27,6 +28,8 @@ FILTERS = PER_WIDTH * len(WIDTHS)
 PAD = 256
 #: Documents of each language that the model is fitted on, at most, and windows of each document an epoch looks at.
 FIT_PER_LANG, FIT_WINDOWS = 400, 2
+#: Languages that are learned, those of most documents, and code points of a document that reach the driver.
+FIT_LANGS, FIT_CHARS = 256, 16384
 EPOCHS, BATCH, RATE, SEED = 12, 64, 0.01, 11
 SLAB = 1 << 17
 UND = "und"
@@ -142,12 +145,14 @@ def predict(raw: np.ndarray, at: np.ndarray, m: Model) -> tuple[list[str], np.nd
     return [UND if u else names[k] for u, k in zip(und, best, strict=True)], p
 
 
-def fit(documents: DataFrame, per_lang: int = FIT_PER_LANG) -> Model:
-    """Train on a bounded, reproducible sample of each language outside the held-out fold."""
-    ids = documents.select("doc_id", F.col("lang").alias("_y")).filter(F.col("_y").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 2))
-    ids = bounded_sample(ids.distinct(), "doc_id", "_y", per_lang)
-    # at most per_lang rows of each language, so the broadcast is bounded
-    rows = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "_y", "text").collect()
+def fit(documents: DataFrame, per_lang: int = FIT_PER_LANG, langs: int = FIT_LANGS) -> Model:
+    """Train on a bounded, reproducible sample of each language outside the held-out fold; repeated ids count once a language."""
+    known = documents.select("doc_id", F.col("lang").cast("string").alias("y")).filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 2))
+    most = known.groupBy("y").count().orderBy(F.desc("count"), "y").limit(langs).select("y")
+    ids = bounded_sample(known.join(F.broadcast(most), "y").distinct(), "doc_id", "y", per_lang)
+    # at most langs * per_lang rows, so the broadcast and what reaches the driver are bounded
+    part = crops(F.col("text"), F.col("doc_id"), FIT_CHARS).alias("part")
+    rows = documents.select("doc_id", F.col("lang").cast("string").alias("y"), "text").join(F.broadcast(ids), ["doc_id", "y"]).select("doc_id", "y", part).groupBy("doc_id", "y").agg(F.min("part").alias("part")).collect()
     rows = sorted((r[0], r[1], r[2]) for r in rows if r[2] and LETTER.search(r[2]))
     return train([r[2].encode() for r in rows], [r[1] for r in rows])
 

@@ -2,11 +2,12 @@
 
 Each partition keeps OPEN windows open. A document's ids come in order; whole windows are emitted as they are, and the
 rest goes to the open window that it fills best. When it fits none, the fullest window is emitted: what it lacks is cut
-from the piece, so that it is full. What is left open at the end of the partitions is merged: groups of partitions
-run their leftovers together and cut them at every window, and the rests of the groups meet once more; the last rest is
-cut at powers of two. So no sequence is padded, and a document is cut only where a window ends.
+from the piece, so that it is full. What is left open at the end of the partitions is merged in a tree: GROUP neighbours
+run their leftovers together and cut them at every window, GROUP of the rests meet in the next round and so on; the
+last rest is cut at powers of two. So no sequence is padded, a document is cut only where a window ends, and no task
+holds the leftovers of more than GROUP tasks.
 
-sequence_id is made from the partition and a counter, offset is gapless from 0 in each sequence.
+sequence_id is made from the round, the partition or group, and a counter; offset is gapless from 0 in each sequence.
 
 Defined cases: null and empty texts are one end mark; very long texts are cut in as many windows as they need and are
 tokenized in one piece; repeated rows are packed like others; an empty table gives an empty result; a null doc_id
@@ -26,13 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlake.llm.common import map_batches, stage
+from featlake.llm.common import map_batches, parts_for, stage
 
 LENGTH, OPEN, END = 2048, 32, 1
 #: Fixed value: the added tokens of byte_bpe_50k.json, which it finds inside texts whether or not it adds any itself.
 SPECIAL = {"<|endoftext|>": 50256}
-#: Partitions whose leftovers are merged in one task.
-GROUP = 64
+#: Partitions, or rests of the round before, whose leftovers are merged in one task.
+GROUP = 8
 
 _encoders: dict[str, tiktoken.Encoding] = {}
 
@@ -143,14 +144,13 @@ def _merge(rows: list[tuple], first_sequence: int, last: bool, part: int, length
     return [(*x, None, part) for x in p.out]
 
 
-def _merged(last: bool, length: int):
+def _merged(level: int, last: bool, length: int):
     def run(key: tuple, t: pa.Table) -> pa.Table:
         cols = t.select(["part", "doc_id", "start", "ids", "doc_tokens"]).to_pydict()
         rows = sorted(zip(*cols.values(), strict=True), key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2]))
         pieces = [(d, s, np.frombuffer(i, "<u4"), n) for _, d, s, i, n in rows]
         part = key[0].as_py()
-        first = (1 << 62 if last else 1 << 61) + (part << 24)
-        return pa.Table.from_batches([_arrow(_merge(pieces, first, last, part, length), _SCHEMA)])
+        return pa.Table.from_batches([_arrow(_merge(pieces, level << 56 | part << 24, last, part, length), _SCHEMA)])
 
     return run
 
@@ -176,8 +176,11 @@ def pack(documents: DataFrame, vocabulary: tuple[str, str] | None = None, open_w
             yield _arrow(rows, _SCHEMA)
 
     done = stage(map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, OPENED), "pieces")
-    left = done.filter("sequence_id is null").withColumn("g", F.expr(f"part div {group}"))
-    once = stage(left.groupBy("g").applyInArrow(_merged(False, length), OPENED), "merged")
-    rest = once.filter("sequence_id is null").withColumn("g", F.lit(0).cast("long"))
-    end = rest.groupBy("g").applyInArrow(_merged(True, length), OPENED)
-    return done.filter("sequence_id is not null").select(*_NAMES).unionAll(once.filter("sequence_id is not null").select(*_NAMES)).unionAll(end.select(*_NAMES))
+    out, open_rows = done.filter("sequence_id is not null").select(*_NAMES), done.filter("sequence_id is null")
+    parts, level = (open_rows.agg(F.max("part")).first()[0] or 0) + 1, 0
+    while level == 0 or parts > 1:
+        parts, level = -(-parts // group), level + 1
+        merged = open_rows.withColumn("g", F.expr(f"part div {group}")).groupBy("g").applyInArrow(_merged(level, parts == 1, length), OPENED)
+        merged = stage(merged, "merged", parts_for(parts))
+        out, open_rows = out.unionAll(merged.filter("sequence_id is not null").select(*_NAMES)), merged.filter("sequence_id is null")
+    return out

@@ -1,13 +1,16 @@
 """SentencePiece encoding and decoding by a shared-prefix Viterbi pass.
 
-The vocabulary is a BPE one: its scores rank merges, and the best sum of scores would not be its segmentation. The
-forward pass therefore keeps, at each place of a word, the one last piece of the word's prefix: the piece t that ends
-there whose predecessor p (the last piece of the shorter prefix) stays beside it, that is, p + t merge to p and t again.
-The last pieces of a prefix depend on nothing after it, so the distinct marked words of a batch are sorted, which lays
-out their trie depth first, and each word goes on from the prefix it shares with the one before it.
+The distinct marked words of a batch are sorted, which lays out their trie depth first, and each word goes on from the
+forward scores of the prefix that it shares with the one before it. At each place the pass keeps the best last piece:
+
+* with a unigram vocabulary the one whose path has the highest sum of scores (Viterbi; of equals the longest piece);
+* with a BPE vocabulary, whose scores rank merges and whose best sum is not its segmentation, the piece t whose
+  predecessor p (the last piece of the shorter prefix) stays beside it, that is, p + t merge to p and t again. There is
+  just one, and as with scores it depends on nothing after it.
 
 A text is its marked form (a mark in front, each space as a mark) cut before each mark that follows another
-character; no piece spans such a cut. Characters outside the vocabulary are bytes.
+character; no piece spans such a cut (a vocabulary with one that does is refused). Characters outside the vocabulary
+are bytes, or the unknown piece where it has no bytes.
 
 Defined cases: null counts as empty, without pieces, and decodes to the empty text; a text's own U+2581 decodes to a
 space, as in the format; repeated rows give the same; an empty table gives an empty result.
@@ -35,27 +38,74 @@ MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
 #: Marked words whose pieces a task remembers, and how long a word may be to be remembered.
 REMEMBERED, LONGEST = 600_000, 64
+#: Pairs of pieces whose standing side by side a task remembers.
+PAIRS = 2_000_000
+#: Fixed values of the format: how far below the least score an unknown character is, and the two kinds of model.
+UNKNOWN_PENALTY, UNIGRAM, BPE = 10.0, 1, 2
+#: Fixed value: what the unknown piece decodes to.
+UNKNOWN_TEXT = " \u2047 "
+
+
+def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a serialized message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = message[at]
+            out, shift, at = out | (byte & 127) << shift, shift + 7, at + 1
+            if byte < 128:
+                return out
+
+    while at < len(message):
+        tag = varint()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, varint()
+            continue
+        size = varint() if kind == 2 else 8 if kind == 1 else 4
+        yield tag >> 3, message[at : at + size]
+        at += size
+
+
+def kind_of(model: bytes) -> int:
+    """Kind of a serialized model: field 3 of its trainer's settings, which are field 2; unigram where nothing is said."""
+    for number, value in _fields(model):
+        if number == 2:
+            return next((v for n, v in _fields(value) if n == 3), UNIGRAM)
+    return UNIGRAM
 
 
 class Pieces:
-    """A SentencePiece BPE vocabulary with byte fallback."""
+    """A SentencePiece vocabulary, unigram or BPE."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        kind = kind_of(sp.serialized_model_proto())
+        if kind not in (UNIGRAM, BPE):
+            raise ValueError(f"{path} is neither a unigram nor a BPE vocabulary")
+        self.unigram = kind == UNIGRAM
         n = sp.get_piece_size()
         self.text = [sp.id_to_piece(i) for i in range(n)]
+        self.unknown = sp.unk_id()
+        self.silent = {i for i in range(n) if sp.is_control(i)}
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+        if any(re.search(f"[^{MARK}]{MARK}", self.text[i]) for i in plain):
+            raise ValueError(f"{path} has pieces of several words")
         self.id = {self.text[i]: i for i in plain}
-        self.rank = {i: -sp.get_score(i) for i in plain}
+        self.score = {i: sp.get_score(i) for i in plain}
+        self.low = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
         byte = [i for i in range(n) if sp.is_byte(i)]
         self.byte = {int(self.text[i][3:5], 16): i for i in byte}
         self.of_byte = {i: b for b, i in self.byte.items()}
         #: Finds all pieces that end at each place, longest first; those that no merging gives are left out.
         self.ends = ahocorasick.Automaton()
         for t, i in self.id.items():
-            if len(t) == 1 or self.merge(t) == [t]:
+            if self.unigram or len(t) == 1 or self.merge(t) == [t]:
                 self.ends.add_word(t, (i, len(t)))
         self.ends.make_automaton()
         self.stable: dict[int, bool] = {}
@@ -70,7 +120,7 @@ class Pieces:
             if i >= 0 and right[i] >= 0:
                 s = part[i] + part[right[i]]
                 if (k := self.id.get(s)) is not None:
-                    heapq.heappush(heap, (self.rank[k], i, s))
+                    heapq.heappush(heap, (-self.score[k], i, s))
 
         for i in range(len(part)):
             offer(i)
@@ -92,6 +142,8 @@ class Pieces:
         key = p << 20 | t
         known = self.stable.get(key)
         if known is None:
+            if len(self.stable) >= PAIRS:
+                self.stable.clear()
             a, b = self.text[p], self.text[t]
             known = self.stable[key] = self.merge(a + b) == [a, b]
         return known
@@ -123,23 +175,55 @@ class Pieces:
             done += 1
             last[done] = (-1, 1)
 
+    def forward_best(self, word: str, best: list[tuple[int, int, float]], start: int) -> None:
+        """Fill best[start + 1:] with the last piece (id, length) and the score of the best path to each place, given those before."""
+        done, low, score = start, self.low, self.score
+
+        def close(end: int) -> None:
+            """Settle a place at which all pieces are known: an unknown character only where no piece of one character ends."""
+            if not single and (top is None or best[end - 1][2] + low > top[2]):
+                best[end] = (-1, 1, best[end - 1][2] + low)
+            else:
+                best[end] = top
+
+        top, single = None, False
+        for at, (t, size) in self.ends.iter(word):
+            end = at + 1
+            if end <= start:
+                continue
+            while done + 1 < end:
+                done += 1
+                close(done)
+                top, single = None, False
+            path = best[end - size][2] + score[t]
+            if top is None or path > top[2]:
+                top = (t, size, path)
+            single = single or size == 1
+        while done < len(word):
+            done += 1
+            close(done)
+            top, single = None, False
+
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids (little-endian unsigned 32-bit) of distinct marked words, in one pass over their sorted order."""
-        out, before, last = {}, "", [(0, 0)]
+        out, before, last = {}, "", [(0, 0, 0.0)]
+        step = self.forward_best if self.unigram else self.forward
         for w in sorted(words):
             n, most = 0, min(len(w), len(before))
             while n < most and w[n] == before[n]:
                 n += 1
             del last[n + 1 :]
             last += [(-1, 1)] * (len(w) - n)
-            self.forward(w, last, n)
+            step(w, last, n)
             found, at = [], len(w)
             while at:
-                t, size = last[at]
-                if t < 0:
-                    found += [self.byte[b] for b in reversed(w[at - 1].encode())]
-                else:
+                t, size = last[at][:2]
+                if t >= 0:
                     found.append(t)
+                elif self.byte:
+                    found += [self.byte[b] for b in reversed(w[at - 1].encode())]
+                elif not found or found[-1] != self.unknown:  # unknown characters side by side are one piece
+                    found.append(self.unknown)
                 at -= size
             found.reverse()
             out[w] = struct.pack(f"<{len(found)}I", *found)
@@ -150,7 +234,12 @@ class Pieces:
         out = bytearray()
         for i in ids:
             b = self.of_byte.get(i)
-            out += self.text[i].encode() if b is None else bytes([b])
+            if b is not None:
+                out.append(b)
+            elif i == self.unknown:
+                out += UNKNOWN_TEXT.encode()
+            elif i not in self.silent:
+                out += self.text[i].encode()
         text = out.decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 

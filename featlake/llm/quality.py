@@ -7,7 +7,8 @@ bound memory.
 
 Defined cases: null and empty text count as one chunk of padding and get the score of that; repeated rows get the
 same score; an empty table gives an empty result; further columns are kept out of the result of `score`.
-Training without rows of both labels gives the constant score of the prior (0.5 without any row).
+Training without rows of both labels gives the constant score of the prior (0.5 without any row); ids that are marked
+both ways are not learned from, and rows that repeat an id count once there.
 """
 
 from __future__ import annotations
@@ -19,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlake.llm.common import bounded_sample, fold, held_out, map_batches, slabs, string_buffers
+from featlake.llm.common import bounded_sample, crops, fold, held_out, map_batches, slabs, string_buffers
 
 WIDTH, STRIDE, EMBED, FILTERS = 16, 8, 6, 24
 PAD = 256
 #: Documents of each label that the model is fitted on, at most.
 FIT_PER_LABEL = 1000
-#: Bytes of each document that an epoch looks at, cut at a random place.
-CROP = 4096
+#: Code points of each of them that reach the driver, and bytes of these that an epoch looks at, cut at a random place.
+FIT_CHARS, CROP = 16384, 4096
 EPOCHS, BATCH, RATE, SEED = 24, 32, 0.01, 7
 SLAB = 1 << 17
 ACCEPT = 0.7
@@ -36,7 +37,7 @@ Model = dict[str, np.ndarray]
 
 def chunk_starts(n_bytes: int) -> int:
     """Number of chunks of a document: one at each STRIDE bytes until its end is covered, at least one."""
-    return max(1, -(-(n_bytes - WIDTH) // STRIDE) + 1) if n_bytes else 1
+    return max(1, -(-(n_bytes - WIDTH) // STRIDE) + 1)
 
 
 def _padded(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +66,9 @@ def pooled(raw: np.ndarray, at: np.ndarray, m: Model) -> np.ndarray:
     out = np.full((len(at) - 1, m["conv"].shape[1]), -np.inf, np.float32)
     for a, b in slabs(at, SLAB):
         step = SLAB if b - a == 1 else max(1, int(at[b] - at[a]))
-        for s in range(int(at[a]), max(int(at[b]), int(at[a]) + 1), step):
+        # no piece starts where only padding would be left to cover
+        end = int(at[a]) + chunk_starts(int(at[b] - at[a])) * STRIDE if b - a == 1 else int(at[a]) + 1
+        for s in range(int(at[a]), end, step):
             # a long document goes through in pieces that overlap by a chunk
             piece = raw[s : min(int(at[b]), s + step + WIDTH)] if b - a == 1 else raw[at[a] : at[b]]
             inner = np.array([0, len(piece)]) if b - a == 1 else at[a : b + 1] - at[a]
@@ -139,11 +142,13 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
 
 def fit(documents: DataFrame, labels: DataFrame, per_label: int = FIT_PER_LABEL) -> Model:
     """Train on a bounded, reproducible sample of labelled rows outside the held-out fold."""
-    marked = labels.select("doc_id", F.col("quality").alias("_y")).filter(F.col("_y").isin(0, 1) & F.col("doc_id").isNotNull() & (fold() != 2))
-    ids = bounded_sample(marked.distinct(), "doc_id", "_y", per_label)
-    # at most 2 * per_label rows, so the broadcast is bounded
-    rows = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "_y", "text").collect()
-    rows.sort(key=lambda r: (r[0], r[1], r[2] or ""))
+    marked = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold() != 2))
+    marked = marked.groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("most")).filter("y = most").select("doc_id", "y")
+    ids = bounded_sample(marked, "doc_id", "y", per_label)
+    # at most 2 * per_label rows, so the broadcast and what reaches the driver are bounded
+    part = crops(F.col("text"), F.col("doc_id"), FIT_CHARS).alias("part")
+    rows = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "y", part).groupBy("doc_id", "y").agg(F.min("part").alias("part")).collect()
+    rows.sort(key=lambda r: r[0])
     return train([(r[2] or "").encode() for r in rows], [r[1] for r in rows])
 
 
