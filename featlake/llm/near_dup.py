@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlake.llm.common import map_batches, stage
+from featlake.llm.common import map_batches, parts_for, stage
 from featlake.llm.graph import connected_components
 
 MAX_BITS = 4
@@ -335,7 +335,7 @@ def links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint (hex), component_id (least doc_id reachable over links) of every row of documents."""
     fps = stage(fingerprints(documents, shingle), "fingerprints")
-    classes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    classes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes", parts_for(fps.count()))
     roots = connected_components(links(classes, block)).select(F.col("node").alias("fp"), "root")
     rooted = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     components = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -347,6 +347,8 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, block: int = B
 SIMILAR_SHINGLE, SIMILARITY, BANDS, WIDTH = 5, 0.8, 20, 6
 #: Texts, and shingles of texts, that one side of a meeting holds.
 MEMBERS, MEMBER_SHINGLES = 1024, 1 << 21
+#: Documents for each file of a staged result.
+ROWS_EACH = 10_000
 
 
 def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
@@ -400,7 +402,7 @@ def sketches(documents: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
     return map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, digest binary, size long, bands array<long>")
 
 
-def _shingle_sets(documents: DataFrame, nodes: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+def _shingle_sets(documents: DataFrame, nodes: DataFrame, classes: DataFrame, shingle: int, files: int) -> DataFrame:
     """node and hashes (its set of shingle hashes) of the texts of the classes of some nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,7 +414,7 @@ def _shingle_sets(documents: DataFrame, nodes: DataFrame, classes: DataFrame, sh
 
     texts = documents.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
     found = map_batches(texts, run, "node long, digest binary, hashes binary").join(classes.select("node", "digest"), ["node", "digest"], "left_semi")
-    return stage(found.dropDuplicates(["node", "digest"]).select("node", "hashes"), "shingle_sets")
+    return stage(found.dropDuplicates(["node", "digest"]).select("node", "hashes"), "shingle_sets", files)
 
 
 def _alike(similarity: float):
@@ -442,17 +444,18 @@ def similar_groups(documents: DataFrame, similarity: float = SIMILARITY, shingle
     (Jaccard), groups the components of the links. Texts with equal sets are one class.
     """
     rows = stage(sketches(documents, shingle).filter("doc_id is not null"), "sketches")
-    classes = stage(rows.groupBy("digest", "size", "bands").agg(F.min("doc_id").alias("node")), "sketch_classes")
+    files = parts_for(rows.count(), ROWS_EACH)
+    classes = stage(rows.groupBy("digest", "size", "bands").agg(F.min("doc_id").alias("node")), "sketch_classes", files)
     each = classes.select(F.explode("bands").alias("key"), "node", "size")
     shared = each.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    members = stage(each.join(shared, "key"), "members")
-    sets = _shingle_sets(documents, members.select("node").distinct(), classes, shingle)
+    members = stage(each.join(shared, "key"), "members", files)
+    sets = _shingle_sets(documents, members.select("node").distinct(), classes, shingle, files)
     # each against the least of its key: all there is to compare in most, and one component of most large ones
     pairs = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     sides = [sets.select(F.col("node").alias(c), F.col("hashes").alias(h)) for c, h in (("a", "x"), ("b", "y"))]
-    first = stage(map_batches(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y"), _alike(similarity), "a long, b long"), "similar")
+    first = stage(map_batches(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y"), _alike(similarity), "a long, b long"), "similar", files)
     roots = connected_components(first).select("node", "root")
-    rest = stage(_meetings(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), sets, similarity, block), "similar")
+    rest = stage(_meetings(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), sets, similarity, block), "similar", files)
     roots = connected_components(first.unionAll(rest)).select("node", "root")
     of = classes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("group_id"))
     return rows.select("doc_id", "digest").join(of, "digest").select("doc_id", "group_id")
