@@ -76,28 +76,24 @@ def likeness(a: str, b: str) -> Column:
 
 
 def ring(keys: DataFrame) -> DataFrame:
-    """The rows of keys (doc_id, th, n and others, one row a document) with the key of the next and the one before.
+    """The rows of keys (doc_id, th, key, n and others, one row a document) with key and n of the one before, and the key of the next.
 
     The next is that of the next smaller doc_id, after the last the first. No task sorts more than a range partition,
     but for the list of partitions.
     """
     order = [F.col("doc_id").desc_nulls_last(), F.col("th").asc()]
     parts = stage(keys.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ring")
-    key = F.struct("doc_id", "th", "n")
+    one = F.struct("key", "n")
     w = Window.partitionBy("part").orderBy(*order)
-    near = parts.withColumns({"after": F.lead(key).over(w), "before": F.lag(key).over(w)})
+    near = parts.withColumn("before", F.lag(one).over(w))
     # one row for each partition
     place = F.struct(F.col("doc_id").isNull(), -F.col("doc_id").cast("decimal(20,0)"), "th")
-    ends = parts.groupBy("part").agg(F.min_by(key, place).alias("first"), F.max_by(key, place).alias("last"))
+    ends = parts.groupBy("part").agg(F.max_by(one, place).alias("last"))
     line = Window.orderBy("part")
     whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = ends.select(F.col("part").alias("p"), F.coalesce(F.lead("first").over(line), F.first("first").over(whole)).alias("to"), F.coalesce(F.lag("last").over(line), F.last("last").over(whole)).alias("from"))
-    near = near.join(ends, F.col("part") == F.col("p"))
-    return near.withColumns({"after": F.coalesce("after", "to"), "before": F.coalesce("before", "from")}).drop("part", "p", "to", "from")
-
-
-def _same(a: str, b: str) -> Column:
-    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
+    ends = ends.select(F.col("part").alias("p"), F.coalesce(F.lag("last").over(line), F.last("last").over(whole)).alias("from"))
+    near = near.join(F.broadcast(ends), F.col("part") == F.col("p"))
+    return near.withColumn("before", F.coalesce("before", "from")).drop("part", "p", "from")
 
 
 def _half(n: Column) -> Column:
@@ -111,28 +107,28 @@ def edited_pairs(documents: DataFrame, every: int = EVERY) -> DataFrame:
     bits of theirs, found by the block tables, themselves included; null for others.
     """
     d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    keys = d.groupBy("doc_id", "th").agg(F.count("*").alias("copies"), F.max(F.length("text")).alias("n"))
-    keys = stage(ring(keys).select(F.struct("doc_id", "th").alias("own"), "copies", "n", "after", "before"), "ring")
-    texts = d.groupBy("doc_id", "th").agg(F.first("text").alias("text")).select(F.struct("doc_id", "th").alias("own"), "text")
-    both = texts.alias("t").join(keys.alias("r"), _same("t.own", "r.own")).select("r.own", "copies", "n", "after", "before", "text")
-    heads = both.select(F.col("before").alias("of"), F.substring("text", 1, _half(F.col("before.n"))).alias("head"))
-    r = both.join(heads, _same("own", "of"))
+    # rows equal in id and text are one class; all that follows is dealt by this one column
+    d = d.withColumn("key", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.hex("th")))
+    keys = d.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("th").alias("th"), F.count("*").alias("copies"), F.max(F.length("text")).alias("n"))
+    keys = stage(ring(keys).select("key", "doc_id", "copies", "n", "before"), "ring")
+    texts = d.groupBy("key").agg(F.first("text").alias("text"))
+    both = texts.join(keys, "key")
+    heads = both.select(F.col("before.key").alias("of"), F.substring("text", 1, _half(F.col("before.n"))).alias("head"))
+    r = both.join(heads, F.col("key") == F.col("of"))
     half = _half(F.col("n"))
     start = F.substring("text", 1, F.col("n") - half)
     own = F.concat(start, F.substring("text", 1, half))  # of all copies but the last: the next is equal
     kinds = F.array(*(F.struct(F.lit(e).alias("e"), t.alias("t")) for e, t in enumerate((F.col("text"), F.concat(start, "head"), own))))
-    r = r.select("own", "copies", "n", "after", F.explode(F.when(F.col("copies") > 1, kinds).otherwise(F.slice(kinds, 1, 2))).alias("x"))
-    facts = ["doc_id", "th", "e"]
-    rows = r.select("own.doc_id", "own.th", "x.e", "copies", "n", "after", F.sha2(F.col("x.t").cast("binary"), 256).alias("sha"), F.col("x.t").alias("t"))
-    fps = fingerprints(rows, [*facts, "copies", "n", "after", "sha"], "t")
+    r = r.select("key", F.explode(F.when(F.col("copies") > 1, kinds).otherwise(F.slice(kinds, 1, 2))).alias("x"))
+    rows = r.select("key", "x.e", F.unhex(F.sha2(F.col("x.t").cast("binary"), 256)).alias("sha"), F.col("x.t").alias("t"))
+    fps = fingerprints(rows, ["key", "e", "sha"], "t")
     at = lambda e, c: F.max(F.when(F.col("e") == e, F.col(c)))
-    fps = fps.groupBy("doc_id", "th", "copies", "n", "after").agg(at(0, "fp").alias("fp"), *(at(e, c).alias(f"{c}{e}") for e in (1, 2) for c in ("fp", "sha")))
-    fps = stage(fps, "fingerprints")
-    n = fps.select(F.struct("doc_id", "th").alias("next"), F.col("fp").alias("nfp"))
-    out = fps.join(n, _same("after", "next"))
-    asks = (F.col("doc_id") % every == 0) & F.col("doc_id").isNotNull()
-    within = count_within(fps.filter(asks), fps, "copies")
-    out = out.join(within, (F.col("query") == F.col("fp")) & asks, "left")
+    fps = stage(fps.groupBy("key").agg(at(0, "fp").alias("fp"), *(at(e, c).alias(f"{c}{e}") for e in (1, 2) for c in ("fp", "sha"))), "fingerprints")
+    facts = fps.join(keys, "key")
+    small = stage(fps.select("key", "fp").join(keys.select("key", "doc_id", "copies", F.col("before.key").alias("of")), "key"), "small")
+    asked = small.filter(F.col("doc_id") % every == 0)
+    within = asked.join(count_within(asked, small, "copies"), F.col("query") == F.col("fp")).select(F.col("key").alias("asked"), "n_within")
+    out = facts.join(small.select("of", F.col("fp").alias("nfp")), F.col("key") == F.col("of")).join(within, F.col("key") == F.col("asked"), "left")
     last = F.struct(F.lit(1).cast("long").alias("times"), F.col("sha1").alias("sha"), F.col("fp1").alias("efp"), F.col("nfp").alias("nfp"))
     others = F.struct((F.col("copies") - 1).alias("times"), F.col("sha2").alias("sha"), F.col("fp2").alias("efp"), F.col("fp").alias("nfp"))
     out = out.select("doc_id", "n", "fp", "n_within", F.inline(F.when(F.col("copies") > 1, F.array(last, others)).otherwise(F.array(last))))
@@ -140,7 +136,7 @@ def edited_pairs(documents: DataFrame, every: int = EVERY) -> DataFrame:
     return out.select(
         "doc_id",
         F.col("n").cast("long").alias("n_chars"),
-        F.col("sha").alias("edited_sha256"),
+        F.lower(F.hex("sha")).alias("edited_sha256"),
         hex16("fp").alias("fingerprint"),
         hex16("efp").alias("edited_fingerprint"),
         likeness("fp", "efp").alias("near_edited"),
@@ -186,14 +182,14 @@ def _first_table(radius: int, spare: int) -> Column:
 
 def _met(q: DataFrame, x: DataFrame, radius: int, spare: int) -> DataFrame:
     """Pairs of a query and a row of x within the radius, each under its first table; x's keys are split in SALTS."""
-    salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).alias("salt")
     some = tables(x, radius, spare)
-    some = some.select(*some.columns, salt)
+    some = some.withColumn("at", F.xxhash64("t", "v", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))).drop("v")
     asked = tables(q, radius, spare).withColumnRenamed("fp", "query").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    d = F.bit_count(F.col("query").bitwiseXOR(F.col("fp")))
-    on = (F.col("q.t") == F.col("x.t")) & (F.col("q.v") == F.col("x.v")) & (F.col("q.salt") == F.col("x.salt"))
-    joined = asked.alias("q").join(some.alias("x"), on & (d <= radius))
-    return joined.select(F.col("q.t").alias("t"), "query", *(F.col(f"x.{c}") for c in x.columns)).filter(_first_table(radius, spare)).drop("t")
+    asked = asked.select("query", F.xxhash64("t", "v", "salt").alias("at"))
+    near = F.bit_count(F.col("query").bitwiseXOR(F.col("fp"))) <= radius
+    # rows of the queries compress so well that their size in a shuffle says nothing of a broadcast
+    joined = asked.hint("merge").join(some, (asked["at"] == some["at"]) & near & _first_table(radius, spare))
+    return joined.select("query", *x.columns)
 
 
 def within_radius(queries: DataFrame, fps: DataFrame, radius: int = RADIUS, spare: int = SPARE) -> DataFrame:
