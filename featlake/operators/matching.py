@@ -8,12 +8,16 @@ membership follows this rule.
 from __future__ import annotations
 
 from collections import deque
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from featlake.operators.graph import connected_components
+from featlake.sources.files import stage
+
 
 def maximum_matching(adjacency: dict[int, list[int]]) -> dict[int, int]:
     """Hopcroft-Karp: src to dst of a maximum matching; sources and neighbours go in ascending order."""
@@ -76,20 +80,11 @@ def vertex_cover(adjacency: dict[int, list[int]], match: dict[int, int]) -> tupl
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges with the least source of their component (column component), by repeated minima over both ends."""
-    e = edges.select("graph", "src", "dst").distinct().withColumn("component", F.col("src"))
-    before = None
-    while True:
-        from featlake.sources.files import stage
-
-        by_src = e.groupBy("graph", "src").agg(F.min("component").alias("component"))
-        e = e.drop("component").join(by_src, ["graph", "src"])
-        by_dst = e.groupBy("graph", "dst").agg(F.min("component").alias("component"))
-        e = stage(e.drop("component").join(by_dst, ["graph", "dst"]).select("graph", "src", "dst", "component"), "components")
-        now = tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(graph, src, dst, component))")).first())
-        if now == before:
-            return e
-        before = now
+    """edges with a number of their component (column component), alike within a graph; ids are below 2^62."""
+    e = edges.select("graph", "src", "dst").distinct()
+    ends = e.select("graph", (F.col("src") * 2).alias("a"), (F.col("dst") * 2 + 1).alias("b"))
+    roots = connected_components(ends, ["graph"]).select("graph", (F.col("node") / 2).cast("long").alias("src"), F.col("root").alias("component"), (F.col("node") % 2 == 0).alias("is_src"))
+    return e.join(roots.filter("is_src").drop("is_src"), ["graph", "src"]).select("graph", "src", "dst", "component")
 
 
 ASSIGNED = "graph string, src long, dst long, in_cover int"
@@ -123,6 +118,36 @@ def uncovered(edges: DataFrame, assigned: DataFrame) -> DataFrame:
     return edges.select(F.col("graph").cast("string").alias("graph"), "src", "dst").join(s, ["graph", "src"], "left_anti").join(d, ["graph", "dst"], "left_anti")
 
 
+def _candidates(edges: DataFrame, budget: int) -> DataFrame:
+    """The edges to at most `budget` neighbours of each end, chosen by a hash; all of those of fewer."""
+    out = None
+    for end, other in (("src", "dst"), ("dst", "src")):
+        w = Window.partitionBy("graph", end).orderBy(F.xxhash64("graph", "src", "dst"), other)
+        few = edges.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= budget).drop("n")
+        out = few if out is None else out.union(few)
+    return out.distinct()
+
+
+def certified(edges: DataFrame, budget: int = 32, growth: int = 4) -> tuple[DataFrame, list[int]]:
+    """(assignments, budgets tried): a maximum matching found on candidate edges and proven on all of them.
+
+    While the cover of the candidates' matching leaves an edge of the whole graph out, the budget grows; from the
+    largest degree on all edges are candidates. That changes the time taken, not the size of the matching.
+    """
+    e = stage(edges.select(F.col("graph").cast("string").alias("graph"), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct(), "edges")
+    degrees = [e.groupBy("graph", end).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0 for end in ("src", "dst")]
+    tried = []
+    while True:
+        whole = budget >= max(degrees)
+        tried.append(budget)
+        found = stage(assignments(e if whole else _candidates(e, budget)), "tried")
+        if uncovered(e, found).isEmpty():
+            return found, tried
+        if whole:
+            raise ValueError("a matching of the whole graph is not maximum")
+        budget *= growth
+
+
 def invalid_witness(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     """Rows of chosen (graph, src, dst) that break a rule: not an edge, or a source or target used twice."""
     stray = chosen.select("graph", "src", "dst").join(edges.select("graph", "src", "dst"), ["graph", "src", "dst"], "left_anti").withColumn("why", F.lit("not an edge"))
@@ -145,6 +170,33 @@ def hall_triple(a: set, b: set, c: set) -> bool:
     return all(len(set().union(*x)) >= len(x) for x in ([a], [b], [c], [a, b], [a, c], [b, c], [a, b, c]))
 
 
+def has_triple(a: Column, b: Column, c: Column) -> Column:
+    """hall_triple for arrays; the three least members of each set are enough, as no union is asked for more than three."""
+    size = lambda *x: F.size(reduce(F.array_union, x))
+    return (F.size(a) >= 1) & (F.size(b) >= 1) & (F.size(c) >= 1) & (size(a, b) >= 2) & (size(a, c) >= 2) & (size(b, c) >= 2) & (size(a, b, c) >= 3)
+
+
+def largest_weight_assignment(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(src, dst, score) of an assignment of largest total cosine between dictionaries a and b (id, vec).
+
+    It is solved in one task, which holds the product of the two sizes in numbers: dictionaries, not corpora.
+    """
+    rows = a.select(F.lit(0).alias("side"), "id", "vec").unionByName(b.select(F.lit(1).alias("side"), "id", "vec"))
+
+    def solve(t: pa.Table) -> pa.Table:
+        side, ids = t.column("side").to_numpy(), t.column("id").to_numpy()
+        v = np.array(t.column("vec").to_pylist(), np.float64)
+        order = np.lexsort((ids, side))
+        side, ids, v = side[order], ids[order], v[order]
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        x, y = ids[side == 0], ids[side == 1]
+        s = v[side == 0] @ v[side == 1].T
+        pairs = maximum_weight(s) if len(x) and len(y) else []
+        return pa.table({"src": pa.array([int(x[i]) for i, _ in pairs], pa.int64()), "dst": pa.array([int(y[j]) for _, j in pairs], pa.int64()), "score": pa.array([float(s[i, j]) for i, j in pairs], pa.float64())})
+
+    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(solve, "src long, dst long, score double")
+
+
 def maximum_weight(weights: np.ndarray) -> list[tuple[int, int]]:
     """(row, column) of an assignment of all rows of largest total weight (rows <= columns), by shortest paths."""
     cost = -np.asarray(weights, float)
