@@ -5,6 +5,7 @@ A missing entry is a zero: rates, moments and medians count the rows and feature
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from featlake.operators.order import at_ranks, quantiles
+
 
 def long_form(vectors: DataFrame, row: str, vector: str) -> DataFrame:
     """(row_id, feature, value) of the positive components of a vector column."""
@@ -112,7 +115,8 @@ def row_stats(acts: DataFrame, rows: DataFrame) -> DataFrame:
 def describe(df: DataFrame, column: str, points: tuple[float, ...] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
     """Mean, deviation (population), least, percentiles (linear) and largest of a column."""
     c = F.col(column).cast("double")
-    return df.agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("least"), *(F.percentile(c, p).alias(f"p{round(100 * p)}") for p in points), F.max(c).alias("largest"))
+    found = quantiles(df, column, {f"p{round(100 * p)}": p for p in points})
+    return df.agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("least"), F.max(c).alias("largest")).join(found).select("mean", "std", "least", *found.columns, "largest")  # one row each
 
 
 def histogram(df: DataFrame, column: str, edges: list[float]) -> DataFrame:
@@ -142,24 +146,33 @@ def subtract_moments(full: DataFrame, part: DataFrame) -> DataFrame:
 
 def pooled_median(acts: DataFrame) -> DataFrame:
     """The exact median of all positive values; an even count gives the midpoint."""
-    return acts.agg(F.count("*").alias("n"), F.percentile(F.col("value").cast("double"), 0.5).alias("median"))
+    return acts.agg(F.count("*").alias("n")).join(quantiles(acts, "value", {"median": 0.5}))  # one row each
+
+
+#: Rows that bracket a median, those of least hash.
+CALIBRATION = 10_000
 
 
-def pooled_median_bracketed(acts: DataFrame, accuracy: int = 1000) -> DataFrame:
-    """The same median in two passes: an approximate bracket, then exact ranks inside it alone.
+def pooled_median_bracketed(acts: DataFrame, sample: int = CALIBRATION) -> DataFrame:
+    """The same median in two passes: a bracket from a bounded sample, then exact ranks inside it alone.
 
-    Only the values of the bracket are sorted, about two in `accuracy` of all.
+    Only the values inside are counted and ordered. Should the sample mislead, so that the ranks lie outside, the
+    bracket is widened to all values.
     """
     v = F.col("value").cast("double")
-    n, around = acts.agg(F.count("*"), F.percentile_approx(v, [0.5 - 2 / accuracy, 0.5 + 2 / accuracy], accuracy * 10)).first()
+    n = acts.count()
     if not n:
         return acts.agg(F.count("*").alias("n"), F.max(v).alias("median"))
-    low, high = around
-    below = acts.filter(v < low).count()
-    w = Window.orderBy("v")
-    inside = acts.filter((v >= low) & (v <= high)).select(v.alias("v")).groupBy("v").agg(F.count("*").alias("m")).withColumn("upto", F.sum("m").over(w) + below)
-    at = lambda k: F.min(F.when(F.col("upto") >= k, F.col("v")))
-    return inside.agg(F.lit(n).cast("long").alias("n"), ((at((n + 1) // 2) + at(n // 2 + 1)) / 2).alias("median"))
+    ranks = [(n - 1) // 2, n // 2]
+    some = [r[0] for r in acts.select(v.alias("v"), F.xxhash64("row_id", "feature").alias("h")).orderBy("h", "v").limit(sample).select("v").collect()]
+    some.sort()
+    reach = 3 * math.isqrt(len(some)) + 1
+    low, high = some[max(0, len(some) // 2 - reach)], some[min(len(some) - 1, len(some) // 2 + reach)]
+    below, upto = acts.agg(F.count_if(v < low), F.count_if(v <= high)).first()
+    if not below <= ranks[0] <= ranks[1] < upto:
+        low, high, below = -math.inf, math.inf, 0
+    a, b = at_ranks(acts.select(v.alias("v")).filter((v >= low) & (v <= high)), "v", [r - below for r in ranks])
+    return acts.sparkSession.createDataFrame([(n, (a + b) / 2)], "n long, median double")
 
 
 def counts_above(acts: DataFrame, level: Column, *by: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from featlake.operators.order import placed
+
 
 def category_targets(rows: DataFrame, row: str, levels: list[str], least: int) -> tuple[DataFrame, DataFrame]:
     """(targets, membership): categories `level:value` held by at least `least` rows; blanks are none.
@@ -35,8 +37,8 @@ def wide_to_long(species: DataFrame, key: str, ranks: list[str]) -> DataFrame:
 def eligible_categories(species: DataFrame, key: str, ranks: list[str], least: int) -> DataFrame:
     """(category_index, level, category, category_id, n_species) of categories of at least `least` distinct keys."""
     n = wide_to_long(species, key, ranks).groupBy("level", "category").agg(F.countDistinct(key).alias("n_species")).filter(F.col("n_species") >= least)
-    w = Window.orderBy("level", "category")
-    return n.withColumn("category_index", F.row_number().over(w) - 1).withColumn("category_id", F.concat_ws(":", "level", "category"))
+    laid = placed(n, [F.col("level").asc(), F.col("category").asc()], "category_index")
+    return laid.withColumn("category_id", F.concat_ws(":", "level", "category"))
 
 
 def taxon_membership(names: DataFrame, pairs: DataFrame, categories: DataFrame, ranks: list[str]) -> DataFrame:

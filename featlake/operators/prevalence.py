@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from featlake.operators.order import quantiles
+
 
 def average_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Rank from 1 with ties averaged, in each group of `by`.
@@ -29,21 +31,21 @@ def auc(df: DataFrame, value: str, positive: str, by: list[str]) -> DataFrame:
 
 def effect(df: DataFrame, value: str, positive: str) -> DataFrame:
     """Medians of the selected and of the others, and their ratio."""
-    med = lambda k: F.percentile(F.when(F.col(positive) == k, F.col(value).cast("double")), 0.5)
-    return df.agg(med(1).alias("selected"), med(0).alias("others")).withColumn("ratio", F.when(F.col("others") != 0, F.col("selected") / F.col("others")))
+    med = lambda k, n: quantiles(df.filter(F.col(positive) == k), value, {n: 0.5})
+    return med(1, "selected").join(med(0, "others")).withColumn("ratio", F.when(F.col("others") != 0, F.col("selected") / F.col("others")))
 
 
 def quantile_bins(df: DataFrame, value: str, n: int) -> DataFrame:
     """A bin column, 0 to n - 1, by the linear quantiles of the value; a value on a cut goes to the upper bin."""
     v = F.col(value).cast("double")
-    cuts = df.agg(*(F.percentile(v, i / n).alias(f"_c{i}") for i in range(1, n)))
+    cuts = quantiles(df, value, {f"_c{i}": i / n for i in range(1, n)})
     out = df.join(F.broadcast(cuts))  # one row
     return out.withColumn("bin", sum(((v >= F.col(f"_c{i}")).cast("int") for i in range(1, n)), F.lit(0))).drop(*(f"_c{i}" for i in range(1, n)))
 
 
 def curve(binned: DataFrame, value: str, positive: str) -> DataFrame:
-    g = binned.groupBy("bin").agg(F.count("*").alias("n"), F.percentile(F.col(value).cast("double"), 0.5).alias("median"), F.sum(F.col(positive).cast("long")).alias("selected"))
-    return g.withColumn("rate", F.col("selected") / F.col("n"))
+    g = binned.groupBy("bin").agg(F.count("*").alias("n"), F.sum(F.col(positive).cast("long")).alias("selected"))
+    return g.join(quantiles(binned, value, {"median": 0.5}, ["bin"]), "bin").withColumn("rate", F.col("selected") / F.col("n"))
 
 
 def conditional_auc(binned: DataFrame, value: str, positive: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from featlake.operators.order import placed, running
+
 
 def hash_order(seed: int, *keys: str | Column) -> Column:
     """Digest of seed and keys, joined by a zero character; hex order is digest order."""
@@ -16,10 +18,19 @@ def hash_order(seed: int, *keys: str | Column) -> Column:
 
 
 def stratified_half(rows: DataFrame, key: str, stratum: str, seed: int) -> DataFrame:
-    """A split column: half of each stratum is `train`, the odd row included, the rest `test`."""
-    n = F.count("*").over(Window.partitionBy(stratum))
-    rn = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_order(seed, stratum, key), key))
-    return rows.withColumn("split", F.when(rn <= F.floor((n + 1) / 2), "train").otherwise("test"))
+    """A split column: half of each stratum is `train`, the odd row included, the rest `test`; null strata are one too."""
+    first = rows.withColumns({"__s": F.coalesce(F.col(stratum).cast("string"), F.lit("\0")), "__h": hash_order(seed, stratum, key)})
+    laid = placed(first, [F.col("__h").asc(), F.col(key).asc()], "__p", ["__s"])
+    sizes = rows.groupBy(F.coalesce(F.col(stratum).cast("string"), F.lit("\0")).alias("__s")).agg(F.count("*").alias("__n"))
+    out = laid.join(sizes, "__s").withColumn("split", F.when(F.col("__p") < F.floor((F.col("__n") + 1) / 2), "train").otherwise("test"))
+    return out.select(*rows.columns, "split")
+
+
+def half(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """A split column: half of all rows, the odd one included, is `train`."""
+    laid = placed(rows.withColumn("__h", hash_order(seed, key)), [F.col("__h").asc(), F.col(key).asc()], "__p")
+    n = rows.count()
+    return laid.withColumn("split", F.when(F.col("__p") < -(-n // 2), "train").otherwise("test")).select(*rows.columns, "split")
 
 
 def fixed_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -37,10 +48,30 @@ def largest_remainder(counts: DataFrame, stratum: str, total: int) -> DataFrame:
 
 
 def proportional_sample(rows: DataFrame, key: str, stratum: str, total: int, seed: int) -> DataFrame:
-    """A sample of total rows with each stratum in proportion."""
+    """A sample of total rows, each stratum (no nulls) in proportion to its size."""
     take = largest_remainder(rows.groupBy(stratum).agg(F.count("*").alias("n")), stratum, total).select(stratum, "take")
-    rn = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_order(seed, stratum, key), key))
-    return rows.withColumn("rn", rn).join(take, stratum).filter(F.col("rn") <= F.col("take")).drop("rn", "take")
+    laid = placed(rows.withColumn("__h", hash_order(seed, stratum, key)), [F.col("__h").asc(), F.col(key).asc()], "__p", [stratum])
+    return laid.join(take, stratum).filter(F.col("__p") < F.col("take")).select(*rows.columns)
+
+
+def shard_batches(rows: DataFrame, shard: str, row: str, draws: int, batch: int, seed: int) -> DataFrame:
+    """(draw, shard, row, place): `draws` batches, each of `batch` neighbouring rows (all, if fewer) of a shard.
+
+    Shards are drawn with a chance in proportion to their rows, with replacement, a batch's first row evenly among those
+    that leave it whole, and its rows are shuffled; every draw follows from a hash, so that all runs agree. Shards'
+    sizes and `draws` are lists of fixed size; rows are met by shard and range.
+    """
+    sizes = rows.groupBy(F.col(shard).alias("shard")).agg(F.count("*").alias("n"))
+    ends = running(sizes, [F.col("shard").asc()], "n", "start")
+    total = rows.count()
+    unit = lambda *k: F.conv(F.substr(hash_order(seed, *k), F.lit(1), F.lit(13)), 16, 10).cast("double") / float(1 << 52)
+    drawn = rows.sparkSession.range(draws).select(F.col("id").alias("draw")).withColumn("at", F.floor(unit("draw", F.lit("shard")) * total))
+    met = F.broadcast(drawn).join(ends, (F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + F.col("n")))  # `draws` rows
+    met = met.select("draw", "shard", F.floor(unit("draw", F.lit("row")) * (F.greatest(F.lit(0), F.col("n") - batch) + 1)).alias("first"))
+    inside = placed(rows.select(F.col(shard).alias("shard"), F.col(row).alias("row")), [F.col("row").asc()], "p", ["shard"])
+    out = inside.join(F.broadcast(met), "shard").filter((F.col("p") >= F.col("first")) & (F.col("p") < F.col("first") + batch))
+    w = Window.partitionBy("draw").orderBy(hash_order(seed, "draw", "row"), "row")
+    return out.select("draw", "shard", "row", (F.row_number().over(w) - 1).alias("place"))
 
 
 #: Right-closed activation bins, the last open-ended.

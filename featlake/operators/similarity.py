@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from featlake.operators.order import at_ranks
+from featlake.operators.sampling import hash_order
+from featlake.sources.files import children, stage
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -30,28 +35,90 @@ def normalised(dictionary: DataFrame, vector: str = "vec") -> DataFrame:
 TILE = 4096
 
 
-def cosine_edges(a: DataFrame, b: DataFrame, threshold: float, absolute: bool = False, tile: int = TILE) -> DataFrame:
-    """(src, dst, score): pairs of a (id, vec) and b (id, vec) with cosine >= threshold, compared in float32.
+def tiled(a: DataFrame, b: DataFrame, run: Callable, schema: str, tile: int = TILE) -> DataFrame:
+    """run(ids of a, matrix of a, ids of b, matrix of b), a table, for each pair of tiles of a and b (id, vec).
 
-    Both sides are cut in tiles by a hash of the id; each pair of tiles is one matrix product in one task, so the join
-    holds two tiles at a time and emits only edges.
+    Both sides are cut in tiles by a hash of the id; each pair of tiles is one task, which holds those two alone.
     """
     na, nb = (max(1, -(-x.count() // tile)) for x in (a, b))
-    cut = lambda df, n, side: normalised(df.select("id", "vec")).select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(side))
+    cut = lambda df, n, side: df.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(side))
     left = cut(a, na, "i").select("i", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("j"), F.lit(0).alias("side"), "id", "vec")
     right = cut(b, nb, "j").select(F.explode(F.sequence(F.lit(0), F.lit(na - 1))).alias("i"), "j", F.lit(1).alias("side"), "id", "vec")
+
+    def matrix(t: pa.Table, mine: np.ndarray) -> np.ndarray:
+        v = t.column("vec").filter(pa.array(mine)).combine_chunks()
+        return v.flatten().to_numpy().reshape(len(v), -1) if len(v) else np.zeros((0, 0))
+
+    def of_pair(t: pa.Table) -> pa.Table:
+        side, ids = t.column("side").to_numpy(), t.column("id").to_numpy()
+        if (side == 0).all() or (side == 1).all():
+            return empty
+        return run(ids[side == 0], matrix(t, side == 0), ids[side == 1], matrix(t, side == 1))
+
+    empty = pa.schema([pa.field(n, k) for n, k in _arrow_types(schema)]).empty_table()
+    return left.unionByName(right).groupBy("i", "j").applyInArrow(of_pair, schema)
+
+
+def _arrow_types(schema: str) -> list[tuple[str, pa.DataType]]:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
+    return [(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")]
+
+
+def cosine_edges(a: DataFrame, b: DataFrame, threshold: float, absolute: bool = False, tile: int = TILE) -> DataFrame:
+    """(src, dst, score): pairs of a (id, vec) and b (id, vec) with cosine >= threshold, compared in float32.
+
+    One matrix product for each pair of tiles, which emits only edges.
+    """
     t32 = np.float32(threshold)
 
-    def tiles(t: pa.Table) -> pa.Table:
-        side = t.column("side").to_numpy()
-        ids = t.column("id").to_numpy()
-        vec = t.column("vec").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        s = vec[side == 0] @ vec[side == 1].T if (side == 0).any() and (side == 1).any() else np.zeros((0, 0))
-        m = np.abs(s) if absolute else s
-        i, j = np.nonzero(m.astype(np.float32) >= t32)
-        return pa.table({"src": pa.array(ids[side == 0][i]), "dst": pa.array(ids[side == 1][j]), "score": pa.array(s[i, j])})
+    def edges(x: np.ndarray, vx: np.ndarray, y: np.ndarray, vy: np.ndarray) -> pa.Table:
+        s = vx @ vy.T
+        i, j = np.nonzero((np.abs(s) if absolute else s).astype(np.float32) >= t32)
+        return pa.table({"src": pa.array(x[i]), "dst": pa.array(y[j]), "score": pa.array(s[i, j])})
+
+    return tiled(normalised(a.select("id", "vec")), normalised(b.select("id", "vec")), edges, "src long, dst long, score double", tile)
 
-    return left.unionByName(right).groupBy("i", "j").applyInArrow(tiles, "src long, dst long, score double")
+
+#: Bins of the first pass of a median of cosines.
+BINS = 1 << 14
+
+
+def cosine_median(a: DataFrame, tile: int = TILE) -> tuple[int, float]:
+    """Number of pairs of different rows of a (id, vec) and the exact median of their cosines.
+
+    The first pass counts the pairs' scores in bins, tile by tile; the second emits only those of the bins that hold
+    the middle ranks.
+    """
+    unit = normalised(a.select("id", "vec"))
+    unit = stage(unit, "unit")
+
+    def scores(x: np.ndarray, vx: np.ndarray, y: np.ndarray, vy: np.ndarray) -> np.ndarray:
+        return (vx @ vy.T)[x[:, None] < y]
+
+    def bins(s: np.ndarray) -> np.ndarray:
+        return np.clip(((s + 1) * (BINS / 2)).astype(np.int64), 0, BINS - 1)
+
+    def count(*t: np.ndarray) -> pa.Table:
+        n = np.bincount(bins(scores(*t)), minlength=BINS)
+        k = np.flatnonzero(n)
+        return pa.table({"bin": pa.array(k), "n": pa.array(n[k])})
+
+    total = np.zeros(BINS, np.int64)
+    for r in tiled(unit, unit, count, "bin long, n long", tile).groupBy("bin").agg(F.sum("n").alias("n")).collect():  # BINS rows at most
+        total[r["bin"]] = r["n"]
+    n, upto = int(total.sum()), np.cumsum(total)
+    if not n:
+        return 0, float("nan")
+    low, high = (int(np.searchsorted(upto, r, "right")) for r in ((n - 1) // 2, n // 2))
+
+    def inside(*t: np.ndarray) -> pa.Table:
+        s = scores(*t)
+        k = bins(s)
+        return pa.table({"score": pa.array(s[(k >= low) & (k <= high)])})
+
+    before = int(upto[low] - total[low])
+    x, y = at_ranks(tiled(unit, unit, inside, "score double", tile), "score", [(n - 1) // 2 - before, n // 2 - before])
+    return n, (x + y) / 2
 
 
 def exclusive(edges: DataFrame, strict: float, competitor: float) -> DataFrame:
@@ -96,22 +163,71 @@ def nearest_centre(vectors: DataFrame, centres: np.ndarray, row: str, vector: st
     return vectors.select(F.col(row).cast("long").alias("row_id"), F.col(vector)).mapInArrow(run, "row_id long, centre int")
 
 
-def lloyd(vectors: DataFrame, centres: np.ndarray, row: str, vector: str, steps: int) -> tuple[np.ndarray, list[float]]:
-    """Centres after `steps` rounds from given ones and the mean squared distance before each; an empty centre stays."""
-    history = []
-    dim = centres.shape[1]
-    for _ in range(steps):
-        near = nearest_centre(vectors, centres, row, vector)
-        x = vectors.select(F.col(row).alias("row_id"), F.posexplode(vector).alias("i", "x")).join(near, "row_id")
-        sums = x.groupBy("centre", "i").agg(F.sum(F.col("x").cast("double")).alias("s"), F.sum(F.col("x").cast("double") * F.col("x")).alias("q"), F.count("*").alias("n")).collect()  # centres x dim rows
-        total, new = 0.0, centres.astype(np.float64).copy()
-        n = sum(r["n"] for r in sums) / dim
-        for r in sums:
-            c = centres[r["centre"], r["i"]]
-            total += r["q"] - 2 * c * r["s"] + r["n"] * c * c
-            new[r["centre"], r["i"]] = r["s"] / r["n"]
-        history.append(total / max(1.0, n))
-        centres = new
+def _sums(vectors: DataFrame, centres: np.ndarray, vector: str) -> DataFrame:
+    """(centre, n, q, i, s): rows of each centre, their squared distances, and the sums of their components, added up in each partition first."""
+    c = centres.astype(np.float64)
+    half, k = (c * c).sum(1), len(c)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n, q = np.zeros_like(c), np.zeros(k, np.int64), np.zeros(k)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
+            near = (2 * x @ c.T - half).argmax(1)
+            order = np.argsort(near, kind="stable")
+            at, first = np.unique(near[order], return_index=True)
+            total[at] += np.add.reduceat(x[order], first, axis=0)
+            n += np.bincount(near, minlength=k)
+            q += np.bincount(near, ((x - c[near]) ** 2).sum(1), k)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(q[some]), pa.array(total[some].tolist(), pa.list_(pa.float64()))], ["centre", "n", "q", "s"])
+
+    parts = vectors.select(vector).mapInArrow(run, "centre long, n long, q double, s array<double>")
+    return parts.select("centre", "n", "q", F.posexplode("s").alias("i", "s")).groupBy("centre", "i").agg(F.sum("n").alias("n"), F.sum("q").alias("q"), F.sum("s").alias("s"))
+
+
+def lloyd(vectors: DataFrame, centres: np.ndarray, vector: str) -> tuple[np.ndarray, float]:
+    """New centres after one round and the sum of squared distances to the given ones; a centre without rows stays.
+
+    Partitions add up first; centres times dimensions numbers reach the driver, the size of the model.
+    """
+    new, objective = centres.astype(np.float64).copy(), 0.0
+    for r in _sums(vectors, centres, vector).collect():
+        new[r["centre"], r["i"]] = r["s"] / r["n"]
+        objective += r["q"] if r["i"] == 0 else 0.0
+    return new, objective
+
+
+def k_means(vectors: DataFrame, row: str, vector: str, k: int, steps: int, seed: int, folder: str | None = None, start: np.ndarray | None = None) -> tuple[np.ndarray, list[float]]:
+    """Centres after `steps` rounds over all rows and the objective of each round.
+
+    Centres begin as the k rows of least hash under the seed, or at `start` (a warm start). With a folder each round is
+    written there, with a digest of what the fit depends on; a fit that finds rounds of its own goes on from the last
+    of them, and refuses a folder of another.
+    """
+    spark = vectors.sparkSession
+    of = f"{k} {seed} {vectors.count()} {'' if start is None else hashlib.sha256(np.ascontiguousarray(start, np.float64).tobytes()).hexdigest()}"
+    plan = hashlib.sha256(of.encode()).hexdigest()
+    history: list[float] = []
+    centres = None
+    for name in children(spark, folder) if folder else []:
+        done = sorted(spark.read.parquet(f"{folder}/{name}").collect(), key=lambda r: r["centre"])  # k rows
+        if done[0]["plan"] != plan:
+            raise ValueError(f"{folder} holds the rounds of another fit")
+        centres = np.array([r["vec"] for r in done])
+        history.append(done[0]["objective"])
+    if centres is None and start is not None:
+        centres = np.asarray(start, np.float64)
+    if centres is None:
+        first = vectors.select(row, vector).orderBy(hash_order(seed, row), row).limit(k).collect()  # k rows, the size of the model
+        centres = np.array([r[1] for r in first], np.float64)
+    while len(history) < steps:
+        centres, objective = lloyd(vectors, centres, vector)
+        history.append(objective)
+        if folder:
+            rows = [(c, v.tolist(), objective, plan) for c, v in enumerate(centres)]
+            spark.createDataFrame(rows, "centre int, vec array<double>, objective double, plan string").write.mode("overwrite").parquet(f"{folder}/round-{len(history):05d}")
     return centres, history
 
 
@@ -154,9 +270,26 @@ def centred_sketch(sketch: DataFrame, ones: DataFrame, moments: DataFrame, n: Co
     return grid.join(sketch, ["feature", "bucket"], "left").select("feature", "bucket", ((F.coalesce("value", F.lit(0.0)) - F.col("s1") / n * F.col("one")) / F.sqrt("var")).alias("value"))
 
 
-def sketch_candidates(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
-    """The k dst features of largest sketch product for each src, smaller id first among equals."""
-    x = a.select(F.col("feature").alias("src"), "bucket", F.col("value").alias("x"))
-    y = b.select(F.col("feature").alias("dst"), "bucket", F.col("value").alias("y"))
-    dots = x.join(y, "bucket").groupBy("src", "dst").agg(F.sum(F.col("x") * F.col("y")).alias("score"))
-    return top_neighbours(dots.withColumn("score", F.round("score", 9)), k)
+def sketch_candidates(a: DataFrame, b: DataFrame, k: int, tile: int = TILE) -> DataFrame:
+    """The k dst features of largest sketch product for each src, smaller id first among equals.
+
+    Sketches are laid out as vectors and multiplied tile by tile; a tile emits about k of each src.
+    """
+    width = a.unionByName(b).agg(F.max("bucket")).first()[0]
+
+    def vectors(x: DataFrame) -> DataFrame:
+        m = x.groupBy(F.col("feature").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m"))
+        return m.select("id", F.transform(F.sequence(F.lit(0), F.lit(width or 0)), lambda i: F.coalesce(F.try_element_at("m", i.cast(x.schema["bucket"].dataType)), F.lit(0.0))).alias("vec"))
+
+    def best(x: np.ndarray, vx: np.ndarray, y: np.ndarray, vy: np.ndarray) -> pa.Table:
+        s = vx @ vy.T
+        if s.shape[1] > k:  # all that may be among the k best once scores are rounded
+            bar = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+            i, j = np.nonzero(s >= bar[:, None] - 2e-9)
+        else:
+            i, j = np.indices(s.shape).reshape(2, -1)
+        return pa.table({"src": pa.array(x[i]), "dst": pa.array(y[j]), "score": pa.array(s[i, j])})
+
+    dots = tiled(vectors(a), vectors(b), best, "src long, dst long, score double", tile)
+    kind = a.schema["feature"].dataType
+    return top_neighbours(dots.select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"), F.round("score", 9).alias("score")), k)

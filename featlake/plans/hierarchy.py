@@ -135,13 +135,13 @@ def dimension(spark, d):
     return s.join(F.broadcast(dim), s["s_nationkey"] == dim["n_nationkey"], "left").select("s_suppkey", F.coalesce("r_name", F.lit("")).alias("region"))
 
 
-@query("E10_taxon_membership", "SELECT DISTINCT 'nation:' || n_name AS category_id, s_suppkey AS row_id FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey < 10 UNION SELECT DISTINCT 'nation:' || n_name, c_custkey + 1000000 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey < 10")
+@query("E10_taxon_membership", "SELECT DISTINCT 'nation:' || n_name AS category_id, s_suppkey AS row_id FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION SELECT DISTINCT 'nation:' || n_name, c_custkey + 1000000 FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def taxa(spark, d):
     s, c, n = V.table(spark, d, "supplier"), V.table(spark, d, "customer"), V.table(spark, d, "nation")
     names = s.select(F.col("s_suppkey").alias("row_id"), F.lit("common").alias("kind"), F.col("s_name").alias("text")).unionAll(c.select(F.col("c_custkey") + 1000000, F.lit("scientific"), F.col("c_name")))
     a = s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(F.lit("-").alias("scientific"), F.col("s_suppkey").alias("common_row"), F.col("n_name").alias("nation"))
     b = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.col("c_name").alias("scientific"), F.lit(-1).cast("long").alias("common_row"), F.col("n_name").alias("nation"))
-    wanted = n.filter("n_nationkey < 10").select(F.concat(F.lit("nation:"), "n_name").alias("category_id"))
+    wanted = n.select(F.concat(F.lit("nation:"), "n_name").alias("category_id"))
     return H.taxon_membership(names, a.unionAll(b), wanted, ["nation"])
 
 
@@ -152,9 +152,9 @@ def eligible(spark, d):
     return c.join(big, c["c_nationkey"] == big["s_nationkey"], "left_semi").select("c_custkey")
 
 
-@query("E12_parent_resolution", "WITH g AS (SELECT CAST(p_size AS VARCHAR) AS child, list_distinct(list(split_part(p_type, ' ', 1) || p_size % 3)) AS p, count(*) AS n FROM part WHERE p_partkey % 11 = 0 GROUP BY 1) SELECT child, p[1] AS parent FROM g WHERE len(p) = 1")
+@query("E12_parent_resolution", "WITH g AS (SELECT p_brand || '/' || p_size AS child, list_distinct(list(split_part(p_type, ' ', 1))) AS p FROM part GROUP BY 1) SELECT child, p[1] AS parent FROM g WHERE len(p) = 1")
 def parents(spark, d):
-    p = V.table(spark, d, "part").filter("p_partkey % 11 = 0").select(F.col("p_size").cast("string").alias("child"), F.concat(F.split("p_type", " ")[0], (F.col("p_size") % 3).cast("string")).alias("parent"))
+    p = V.table(spark, d, "part").select(F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string")).alias("child"), F.split("p_type", " ")[0].alias("parent"))
     names = p.select(F.col("child").alias("category")).unionAll(p.select("parent")).distinct()
     return H.unambiguous_parents(p, names)
 

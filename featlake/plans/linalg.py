@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from featlake.operators import linalg as L
+from featlake.operators import recovery as R
 from featlake.plans.registry import query
-from featlake.plans.similarity import edges
+from featlake.plans.similarity import COS, dictionary
 from featlake.sources import views as V
 
 GRAM = "WITH x AS (SELECT vec_id, CAST(label AS VARCHAR) AS grp, CAST(i - 1 AS INTEGER) AS i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings CROSS JOIN (SELECT unnest(range(1, 65)) AS i) t)"
@@ -62,16 +63,26 @@ def histogram(spark, d):
 
 @query("L16_projection")
 def projection(spark, d):
-    e = V.table(spark, d, "embeddings").filter("vec_id < 200")
-    g = e.select((F.col("vec_id") % 10).alias("grp"), (F.col("vec_id") < 10).alias("is_target"), F.col("embedding").alias("vec"))
+    """Families of twenty vectors: the first on the span of the others."""
+    e = V.table(spark, d, "embeddings")
+    g = e.select(F.expr("vec_id div 20").alias("grp"), (F.col("vec_id") % 20 == 0).alias("is_target"), F.col("embedding").alias("vec"))
     return L.projections(g).select("grp", "members", F.round("explained", 5).alias("explained"), F.round("cosine", 5).alias("cosine"))
 
 
-@query("L20_geometric_recovery")
+@query("L20_geometric_recovery", COS + " SELECT atom, round(similarity, 6) AS similarity, nearest, CAST(similarity >= 0.3 AS INTEGER) AS recovered FROM (SELECT src AS atom, abs(score) AS similarity, dst AS nearest, row_number() OVER (PARTITION BY src ORDER BY abs(score) DESC, dst) AS r FROM cos) WHERE r = 1")
 def geometric(spark, d):
-    e = edges(spark, d, 0.25, True)
-    n = V.table(spark, d, "embeddings").filter("vec_id % 2 = 0").count()
-    return e.agg(F.countDistinct("src").alias("recovered")).withColumn("share", F.col("recovered") / F.lit(n))
+    """Flat recovery: the learned atom nearest to each known one."""
+    found = R.nearest_atoms(dictionary(spark, d, 0), dictionary(spark, d, 1))
+    return found.select(F.col("id").alias("atom"), F.round("similarity", 6).alias("similarity"), "nearest", (F.col("similarity") >= 0.3).cast("int").alias("recovered"))
+
+
+@query("L20_family_recovery")
+def family_recovery(spark, d):
+    """Recovery of families: known atoms by threes, a parent and two children, who are compared without the parent's share."""
+    a = dictionary(spark, d, 0).select(F.expr("id div 2 div 3").alias("family"), F.expr("id div 2 % 3").alias("part"), "vec")
+    bars = (0.2, 0.25, 0.3)
+    f = R.families(a, dictionary(spark, d, 1), bars)
+    return f.select("family", *(F.round(c, 5).alias(c) for c in ("parent", "child_a", "child_b")), *(F.col("recovered")[i].cast("int").alias(f"family_{round(100 * t)}") for i, t in enumerate(bars)))
 
 
 @query("M08_synthetic_latents")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from featlake.operators import probes as P
+from featlake.operators import recovery as R
 from featlake.plans.registry import query
 from featlake.sources import views as V
+from featlake.sources.files import stage
 
 BASE = f"""WITH {V.ACTS}, {V.SPLIT}, tr AS (SELECT * FROM split WHERE split = 'train'), te AS (SELECT * FROM split WHERE split = 'test'),
 c AS (SELECT DISTINCT t.label AS category, a.feature, a.value FROM acts a JOIN tr t ON t.row_id = a.row_id),
@@ -86,7 +88,33 @@ def confusion(spark, d):
     return c.withColumn("precision", F.round(P.safe_ratio(F.col("tp") * 1.0, F.col("tp") + F.col("fp")), 6))
 
 
-@query("L21_activation_recovery", f"WITH {V.ACTS}, t AS (SELECT unnest([0.02, 0.05, 0.1, 0.2, 0.3]) AS threshold), fired AS (SELECT a.*, t.threshold FROM acts a JOIN t ON a.value > CAST(t.threshold AS FLOAT)), pr AS (SELECT feature, threshold, count(*) AS predicted FROM fired GROUP BY ALL), tp AS (SELECT e.label AS category, f.feature, f.threshold, count(*) AS tp FROM fired f JOIN embeddings e ON e.vec_id = f.row_id GROUP BY ALL), pos AS (SELECT label AS category, count(*) AS positives FROM embeddings GROUP BY label), c AS (SELECT category, feature, threshold, 2.0::DOUBLE * tp / (predicted + positives) AS f1 FROM tp JOIN pr USING (feature, threshold) JOIN pos USING (category)) SELECT category, feature, CAST(threshold AS DOUBLE) AS threshold, round(f1, 6) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY category, feature ORDER BY f1 DESC, threshold) AS r FROM c) WHERE r = 1")
+#: F1 of every label and feature at each threshold, on the rows for training; the best of each, and the best feature.
+CHOSEN = f"""WITH {V.ACTS}, {V.SPLIT}, t AS (SELECT unnest(range(16)) AS h, unnest([{', '.join(map(str, R.ACTIVATION_THRESHOLDS))}]) AS threshold), a AS (SELECT acts.*, split.label, split.split FROM acts JOIN split USING (row_id)),
+fired AS (SELECT a.*, t.h FROM a JOIN t ON a.value > CAST(t.threshold AS FLOAT)), pp AS (SELECT split, feature, h, count(*) AS pp FROM fired GROUP BY ALL), tp AS (SELECT split, label AS target, feature, h, count(*) AS tp FROM fired GROUP BY ALL), pos AS (SELECT split, label AS target, count(*) AS pos FROM split GROUP BY ALL),
+f AS (SELECT pos.split, pos.target, pp.feature, pp.h, 2.0::DOUBLE * coalesce(tp, 0) / greatest(1, pos + pp) AS f1 FROM pos JOIN pp USING (split) LEFT JOIN tp ON tp.split = pos.split AND tp.target = pos.target AND tp.feature = pp.feature AND tp.h = pp.h),
+best AS (SELECT target, feature, h, f1 FROM f WHERE split = 'train' AND f1 > 0 QUALIFY row_number() OVER (PARTITION BY target, feature ORDER BY f1 DESC, h) = 1), neuron AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY target ORDER BY f1 DESC, feature) = 1)"""
+
+
+def _selected(spark, d):
+    acts, s = V.acts(spark, d), V.split(spark, d)
+    member = s.select("row_id", F.col("label").alias("target"), "split")
+    inside = lambda k: (acts.join(s.filter(F.col("split") == k).select("row_id"), "row_id", "left_semi"), member.filter(F.col("split") == k).drop("split"))
+    return inside("train"), inside("test")
+
+
+@query("L21_activation_recovery", CHOSEN + " SELECT n.target, n.feature, CAST(t.threshold AS DOUBLE) AS threshold, round(n.f1, 6) AS f1, round(coalesce(f.f1, 0), 6) AS test_f1 FROM neuron n JOIN t USING (h) LEFT JOIN f ON f.split = 'test' AND f.target = n.target AND f.feature = n.feature AND f.h = n.h")
 def recovery(spark, d):
-    member = V.rows(spark, d).select("row_id", F.col("label").alias("category"))
-    return P.fixed_threshold_best(V.acts(spark, d), member, [0.02, 0.05, 0.1, 0.2, 0.3]).select("category", "feature", "threshold", F.round("f1", 6).alias("f1"))
+    """Sixteen thresholds on one half of the rows, the chosen pairs on the other."""
+    train, test = _selected(spark, d)
+    chosen = R.best_neurons(R.select_activations(*train), train[1])
+    out = R.evaluate_pairs(chosen, *test)
+    return out.select("target", "feature", R.threshold_of(F.col("h")).alias("threshold"), F.round("f1", 6).alias("f1"), F.round("test_f1", 6).alias("test_f1"))
+
+
+@query("L21_distinct_recovery")
+def distinct_recovery(spark, d):
+    """A feature of its own for as many labels as can have one at each goal, and its F1 on the other half."""
+    train, test = _selected(spark, d)
+    selected = stage(R.select_activations(*train), "selected")
+    parts = [R.evaluate_pairs(R.distinct_neurons(selected, g), *test).select(F.lit(g).alias("goal"), "target", "f1", "test_f1") for g in (0.18, 0.2)]
+    return parts[0].unionAll(parts[1]).groupBy("goal").agg(F.count("*").alias("matched"), F.round(F.min("f1"), 6).alias("least_f1"))

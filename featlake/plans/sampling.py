@@ -49,9 +49,9 @@ def merged_reservoir(spark, d):
     return S.merge_reservoirs(_reservoir(a.filter("row_id % 2 = 0")), _reservoir(a.filter("row_id % 2 = 1")), 5).select("feature", "bin", "slot", "row_id")
 
 
-@query("J16_priority", f"WITH {V.ACTS}, src AS (SELECT *, {KEY} AS key FROM acts WHERE feature < 3), {_splitmix_sql('key')} SELECT feature, row_id, CAST(z::HUGEINT - 9223372036854775808::HUGEINT AS BIGINT) AS priority FROM h3")
+@query("J16_priority", f"WITH {V.ACTS}, src AS (SELECT *, {KEY} AS key FROM acts), {_splitmix_sql('key')} SELECT feature, row_id, CAST(z::HUGEINT - 9223372036854775808::HUGEINT AS BIGINT) AS priority FROM h3")
 def priority(spark, d):
-    return V.acts(spark, d).filter("feature < 3").select("feature", "row_id", hashing.priority(1729, 5, F.col("feature"), F.col("row_id")).alias("priority"))
+    return V.acts(spark, d).select("feature", "row_id", hashing.priority(1729, 5, F.col("feature"), F.col("row_id")).alias("priority"))
 
 
 @query("G09_first_occurrence", "SELECT doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
@@ -90,32 +90,35 @@ def winner(spark, d):
     return best.select("row_id", F.when(F.col("b.score") > 1e-9, -F.col("b.minus")).alias("winner"))
 
 
-@query("M04_balanced_selection", f"WITH {V.ACTS}, g AS (SELECT feature, row_id, CASE WHEN value > 0.1::FLOAT THEN 'high' ELSE 'low' END AS band FROM acts WHERE feature < 8), r AS (SELECT *, row_number() OVER (PARTITION BY feature, band ORDER BY sha256('3' || chr(0) || row_id), row_id) AS k FROM g) SELECT feature, band, row_id FROM r WHERE k <= 4")
+@query("M04_balanced_selection", f"WITH {V.ACTS}, g AS (SELECT feature, row_id, CASE WHEN value > 0.1::FLOAT THEN 'high' ELSE 'low' END AS band FROM acts), r AS (SELECT *, row_number() OVER (PARTITION BY feature, band ORDER BY sha256('3' || chr(0) || row_id), row_id) AS k FROM g) SELECT feature, band, row_id FROM r WHERE k <= 4")
 def balanced(spark, d):
-    g = V.acts(spark, d).filter("feature < 8").withColumn("band", F.when(F.col("value") > F.lit(0.1).cast("float"), "high").otherwise("low"))
+    g = V.acts(spark, d).withColumn("band", F.when(F.col("value") > F.lit(0.1).cast("float"), "high").otherwise("low"))
     w = Window.partitionBy("feature", "band").orderBy(S.hash_order(3, "row_id"), "row_id")
     return g.withColumn("k", F.row_number().over(w)).filter("k <= 4").select("feature", "band", "row_id")
 
 
-@query("M05_calibration_sample")
+@query("M05_calibration_sample", f"WITH {V.ACTS} SELECT count(*) AS n, round(quantile_cont(CAST(value AS DOUBLE), 0.5), 9) AS median FROM acts")
 def calibration(spark, d):
-    a = V.acts(spark, d)
-    sample = a.filter(F.pmod(F.xxhash64("row_id", "feature"), F.lit(8)) == 0)
-    return sample.agg(F.count("*").alias("n"), F.percentile_approx(F.col("value").cast("double"), [0.49, 0.51], 1000).alias("bracket"))
+    """A bounded sample brackets the median; the exact ranks inside the bracket alone decide, whatever the sample."""
+    from featlake.operators.activations import pooled_median_bracketed
+
+    return pooled_median_bracketed(V.acts(spark, d)).select("n", F.round("median", 9).alias("median"))
 
 
 @query("M06_species_split", "SELECT p_partkey, CASE WHEN row_number() OVER (ORDER BY sha256('11' || chr(0) || p_partkey), p_partkey) <= (count(*) OVER () + 1) // 2 THEN 'train' ELSE 'test' END AS split FROM part")
 def species_split(spark, d):
-    p = V.table(spark, d, "part").select("p_partkey")
-    half = -(-p.count() // 2)
-    # range partitions by digest, then counts of partitions, would give the same; the key list alone is ordered here
-    train = p.orderBy(S.hash_order(11, "p_partkey"), "p_partkey").limit(half).withColumn("split", F.lit("train"))
-    return p.join(train, "p_partkey", "left").select("p_partkey", F.coalesce("split", F.lit("test")).alias("split"))
+    return S.half(V.table(spark, d, "part").select("p_partkey"), "p_partkey", 11)
+
+
+def _unit_sql(*keys):
+    return "(('0x' || substring(sha256('21'" + "".join(f" || chr(0) || {k}" for k in keys) + "), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
 
 
-@query("M07_shard_sampling", "SELECT source, count(*) AS n FROM documents WHERE doc_id // 128 % 2 = 0 GROUP BY source")
+@query("M07_shard_sampling", f"""WITH r AS (SELECT source AS shard, doc_id AS row, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS p FROM documents), n AS (SELECT shard, count(*) AS n FROM r GROUP BY shard), e AS (SELECT shard, n, sum(n) OVER (ORDER BY shard) - n AS start FROM n),
+d AS (SELECT draw, floor({_unit_sql('draw', "'shard'")} * (SELECT count(*) FROM r)) AS spot FROM (SELECT unnest(range(12)) AS draw)), m AS (SELECT draw, shard, floor({_unit_sql('draw', "'row'")} * (greatest(0, n - 32) + 1)) AS first FROM d JOIN e ON spot >= start AND spot < start + n)
+SELECT draw, shard, row, CAST(row_number() OVER (PARTITION BY draw ORDER BY sha256('21' || chr(0) || draw || chr(0) || row), row) - 1 AS INTEGER) AS place FROM m JOIN r USING (shard) WHERE p >= first AND p < first + 32""")
 def shards(spark, d):
-    return V.table(spark, d, "documents").filter("(doc_id div 128) % 2 = 0").groupBy("source").agg(F.count("*").alias("n"))
+    return S.shard_batches(V.table(spark, d, "documents"), "source", "doc_id", 12, 32, 21)
 
 
 @query("M09_parameter_grid", "SELECT a.kind, CAST(w.width AS INTEGER) AS width, CAST(s.seed AS INTEGER) AS seed FROM (SELECT unnest(['flat', 'tree']) AS kind) a CROSS JOIN (SELECT unnest([512, 4096, 32768]) AS width) w CROSS JOIN (SELECT unnest(range(78)) AS seed) s")

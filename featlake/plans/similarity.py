@@ -10,6 +10,7 @@ from featlake.operators import activations as A
 from featlake.operators import similarity as S
 from featlake.plans.registry import query
 from featlake.sources import views as V
+from featlake.sources.files import fresh
 
 COS = f"WITH {V.DICTS}"
 
@@ -33,9 +34,9 @@ def normalise(spark, d):
     return e.select("id", F.round(S.norm(F.col("vec")), 5).alias("norm"))
 
 
-@query("A24_dictionary_load", "SELECT vec_id AS id, round(embedding[1] / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS first FROM embeddings WHERE vec_id < 128")
+@query("A24_dictionary_load", "SELECT vec_id AS id, round(embedding[1] / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS first FROM embeddings")
 def dictionary_load(spark, d):
-    e = V.table(spark, d, "embeddings").filter("vec_id < 128").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    e = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     return S.normalised(e).select("id", F.round(F.get("vec", F.lit(0)), 6).alias("first"))
 
 
@@ -94,10 +95,10 @@ def best_means(spark, d):
     return b.agg(F.round(F.avg(F.coalesce(valid, F.lit(0.0))), 6).alias("zero_filled"), F.round(F.avg(valid), 6).alias("valid_only"), F.round(F.avg((F.col("score") >= 0.35).cast("double")), 6).alias("above"))
 
 
-@query("L17_cosine_median", "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 60), c AS (SELECT list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) AS s FROM v a JOIN v b ON a.vec_id < b.vec_id) SELECT count(*) AS n, round(quantile_cont(s, 0.5), 6) AS median FROM c")
+@query("L17_cosine_median", "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) AS s FROM v a JOIN v b ON a.vec_id < b.vec_id) SELECT count(*) AS n, round(quantile_cont(s, 0.5), 6) AS median FROM c")
 def cosine_median(spark, d):
-    e = V.table(spark, d, "embeddings").filter("vec_id < 60").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return S.cosine_edges(e, e, -1.0).filter("src < dst").agg(F.count("*").alias("n"), F.round(F.percentile("score", 0.5), 6).alias("median"))
+    n, median = S.cosine_median(V.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")))
+    return spark.createDataFrame([(n, round(median, 6))], "n long, median double")
 
 
 CENTRES = "WITH x AS (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT vec_id AS centre, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 10), s AS (SELECT x.row_id, CAST(c.centre AS INTEGER) AS centre, 2 * list_inner_product(x.v, c.v) - list_inner_product(c.v, c.v) AS score FROM x, c), near AS (SELECT row_id, centre FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, centre) AS r FROM s) WHERE r = 1)"
@@ -120,11 +121,20 @@ def centroid_counts(spark, d):
 
 @query("L12_lloyd_step", CENTRES + " SELECT n.centre, CAST(i - 1 AS INTEGER) AS i, round(avg(CAST(e.embedding[i] AS DOUBLE)), 6) AS x FROM near n JOIN embeddings e ON e.vec_id = n.row_id CROSS JOIN (SELECT unnest(range(1, 65)) AS i) t GROUP BY n.centre, i")
 def lloyd(spark, d):
-    new, _ = S.lloyd(V.table(spark, d, "embeddings"), _centres(spark, d), "vec_id", "embedding", 1)
+    new, _ = S.lloyd(V.table(spark, d, "embeddings"), _centres(spark, d), "embedding")
     rows = [(c, i, round(float(x), 6) + 0.0) for c, v in enumerate(new) for i, x in enumerate(v)]
     return spark.createDataFrame(rows, "centre int, i int, x double")
 
 
+@query("L12_k_means")
+def k_means(spark, d):
+    """A fit of eight rounds, stopped after three and taken up again from its folder: the objective of each round."""
+    e, folder = V.table(spark, d, "embeddings"), fresh(spark, "k_means")
+    S.k_means(e, "vec_id", "embedding", 10, 3, 17, folder)
+    _, history = S.k_means(e, "vec_id", "embedding", 10, 8, 17, folder)
+    return spark.createDataFrame([(k + 1, round(x, 5)) for k, x in enumerate(history)], "round int, objective double")
+
+
 #: Correlations of features 0-31 with 32-63 over rows, missing entries being zeros.
 PEARSON = f"""WITH {V.ACTS}, z AS (SELECT row_id, feature, CASE WHEN value > 0 THEN CAST(value AS DOUBLE) ELSE 0 END AS x FROM comp),
 p AS (SELECT a.feature AS src, b.feature AS dst, corr(a.x, b.x) AS score, sum(a.x * b.x) AS dots FROM z a JOIN z b ON a.row_id = b.row_id AND a.feature < 32 AND b.feature >= 32 GROUP BY a.feature, b.feature)"""

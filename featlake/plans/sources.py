@@ -89,12 +89,14 @@ def incomplete(spark, d):
     return S.incomplete(shards, spark.read.schema("shard string, status string").json(path).filter("status = 'complete'"), "shard")
 
 
-@query("A13_pruned_point_set", "SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT vec_id * 7 FROM embeddings WHERE vec_id < 40)")
+@query("A13_pruned_point_set", "SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT vec_id * 7 FROM embeddings)")
 def point_set(spark, d):
+    """Only files and row groups within the wanted range are read: their least and largest id are pushed to the scan."""
     path = S.fresh(spark, "catalog")
     S.write_sorted(V.table(spark, d, "documents").select("doc_id", "n_chars", "text"), path, "doc_id", 4)
-    wanted = V.table(spark, d, "embeddings").filter("vec_id < 40").select((F.col("vec_id") * 7).alias("doc_id"))
-    return spark.read.parquet(path).select("doc_id", "n_chars").join(F.broadcast(wanted), "doc_id")  # forty rows
+    wanted = V.table(spark, d, "embeddings").select((F.col("vec_id") * 7).alias("doc_id"))
+    low, high = wanted.agg(F.min("doc_id"), F.max("doc_id")).first()
+    return spark.read.parquet(path).select("doc_id", "n_chars").filter(F.col("doc_id").between(low, high)).join(wanted, "doc_id", "left_semi")
 
 
 @query("A14_pushed_in_filter", "SELECT doc_id, lang FROM documents WHERE doc_id IN (3, 77, 205, 901)")
@@ -102,12 +104,11 @@ def pushed(spark, d):
     return V.table(spark, d, "documents").filter(F.col("doc_id").isin(3, 77, 205, 901)).select("doc_id", "lang")
 
 
-@query("A15_text_resolution", "SELECT v.vec_id, coalesce(nullif(trim(d.text), ''), '[EMPTY]') AS text FROM embeddings v JOIN documents d ON d.doc_id = (v.vec_id * 3) % 500 WHERE v.label = 2")
+@query("A15_text_resolution", "SELECT v.vec_id, coalesce(nullif(trim(d.text), ''), '[EMPTY]') AS text FROM embeddings v JOIN documents d ON d.doc_id = v.vec_id * 3")
 def resolution(spark, d):
-    samples = V.rows(spark, d).filter("label = 2").select(F.col("row_id").alias("vec_id"))
-    metadata = V.rows(spark, d).select(F.col("row_id").alias("vec_id"), ((F.col("row_id") * 3) % 500).alias("doc_id"))
+    metadata = V.rows(spark, d).select(F.col("row_id").alias("vec_id"), (F.col("row_id") * 3).alias("doc_id"))
     docs = V.table(spark, d, "documents").select("doc_id", "text")
-    return samples.join(metadata, "vec_id").join(docs, "doc_id").select("vec_id", F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.lit(T.EMPTY)).alias("text"))
+    return V.rows(spark, d).select(F.col("row_id").alias("vec_id")).join(metadata, "vec_id").join(docs, "doc_id").select("vec_id", F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.lit(T.EMPTY)).alias("text"))
 
 
 @query("A16_jsonl_shards", "SELECT doc_id, lang FROM documents WHERE lang IN ('fr', 'es')")

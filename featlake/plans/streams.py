@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from featlake.operators import cooccurrence as C
@@ -13,20 +11,23 @@ from featlake.sources.files import fresh
 from featlake.streaming import streams as S
 
 
+#: Days of a file of the feed; a file's rows are in no order, so watermarks wait longer than that.
+DAYS, LATE = 6, "8 days"
+
+
 def events(spark, d):
+    """A feed of files in order of time, one written after the other, as the source takes them by their age."""
     e = V.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     folder = fresh(spark, "events")
-    e.repartitionByRange(6, "ts").write.parquet(folder)
+    cut = F.floor(F.unix_timestamp("ts") / (DAYS * 86400))
+    for k in sorted(r[0] for r in e.select(cut).distinct().collect() if r[0] is not None):  # one a file of the feed
+        e.filter(cut == k).write.mode("append").parquet(folder)
     return S.read_files(spark, folder, e.schema, 2)
 
 
-def name(prefix):
-    return f"{prefix}_{uuid.uuid4().hex[:8]}"
-
-
 @query("P01_mergeable_moments", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS s1, round(sum(value * value), 2) AS s2, max(value) AS largest FROM events GROUP BY event_type")
 def moments(spark, d):
-    out = S.drain(S.moments(events(spark, d), "event_type", F.col("value")), "complete", name("moments"))
+    out = S.drain(S.moments(events(spark, d), "event_type", F.col("value")), "complete")
     return out.select("event_type", "n", F.round("s1", 4).alias("s1"), F.round("s2", 2).alias("s2"), "largest")
 
 
@@ -56,7 +57,7 @@ def accumulate(spark, d):
 
 @query("P04_last_active", "SELECT event_type AS key, max(event_id) AS last, count(*) AS n FROM events GROUP BY event_type")
 def last_active(spark, d):
-    out = S.drain(S.last_seen(events(spark, d), "event_type", "event_id"), "update", name("last"))
+    out = S.drain(S.last_seen(events(spark, d), "event_type", "event_id"), "update")
     return out.groupBy("key").agg(F.max("last").alias("last"), F.max("n").alias("n"))
 
 
@@ -81,17 +82,17 @@ def additive(spark, d):
 
 @query("P07_tumbling_windows", "SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def tumbling(spark, d):
-    out = S.drain(S.windowed(events(spark, d), "ts", "1 day", "2 days", "event_type"), "complete", name("tumbling"))
+    out = S.drain(S.windowed(events(spark, d), "ts", "1 day", LATE, "event_type"), "complete")
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 @query("P07_sliding_windows", "SELECT strftime(s, '%Y-%m-%d %H') AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 12 HOUR]) AS s FROM events) GROUP BY 1")
 def sliding(spark, d):
-    out = S.drain(S.windowed(events(spark, d), "ts", "24 hours", "2 days", slide="12 hours"), "complete", name("sliding"))
+    out = S.drain(S.windowed(events(spark, d), "ts", "24 hours", LATE, slide="12 hours"), "complete")
     return out.select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "n")
 
 
 @query("P07_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k")
 def sessions(spark, d):
-    out = S.drain(S.sessions(events(spark, d), "ts", "6 hours", "2 days", "user_id"), "complete", name("sessions"))
+    out = S.drain(S.sessions(events(spark, d), "ts", "6 hours", LATE, "user_id"), "complete")
     return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")

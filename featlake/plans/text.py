@@ -8,6 +8,7 @@ from featlake.functions import color as K
 from featlake.functions import hashing as HS
 from featlake.functions import text as T
 from featlake.operators import sampling as SM
+from featlake.operators.order import placed
 from featlake.plans.registry import query
 from featlake.sources import views as V
 
@@ -25,18 +26,26 @@ def _simple(name, sql, column):
 
 
 t = lambda: F.col("text")
-_simple("J01_normalise_space", r"coalesce(nullif(trim(regexp_replace(text, '[\t-\r ]+', ' ', 'g')), ''), '[EMPTY]')", lambda: T.normalise_space(t()))
+ONE = f"trim(regexp_replace(text, '{T.WHITE}+', ' ', 'g'))"
+#: SQL of a focused excerpt of 40 characters around `the `.
+FOCUSED = f"""(SELECT CASE WHEN a < 0 THEN p ELSE CASE WHEN stop < length(p) THEN substring(head, 1, length(head) - 3) || '...' ELSE head END END FROM (SELECT *, CASE WHEN start > 0 THEN '...' || substring(p, CAST(start + 4 AS BIGINT), CAST(stop - start - 3 AS BIGINT)) ELSE substring(p, CAST(start + 1 AS BIGINT), CAST(stop - start AS BIGINT)) END AS head
+ FROM (SELECT *, greatest(0, stop - 40) AS start FROM (SELECT *, least(length(p), greatest(0, a - 20) + 40) AS stop FROM (SELECT p, instr(replace(replace(lower(p), 'ß', 'ss'), 'ς', 'σ'), 'the ') - 1 AS a FROM (SELECT coalesce(nullif({ONE}, ''), '[EMPTY]') AS p))))))"""
+#: One character after each text, by its id: the ends of every range and what stands beside them.
+_ENDS = [c for a, b in T.EXCLUDED_SCRIPTS for c in (a - 1, a, b, b + 1) if not 0xD800 <= c <= 0xDFFF]
+ODD = F.element_at(F.array(*(F.lit(chr(c)) for c in _ENDS)), (F.col("doc_id") % len(_ENDS) + 1).cast("int"))
+ODD_SQL = f"chr(([{', '.join(map(str, _ENDS))}])[doc_id % {len(_ENDS)} + 1])"
+_simple("J01_normalise_space", f"coalesce(nullif(trim(regexp_replace(text, '{T.WHITE}+', ' ', 'g')), ''), '[EMPTY]')", lambda: T.normalise_space(t()))
 _simple("J03_excerpt", "CASE WHEN length(text) <= 80 THEN text ELSE rtrim(substring(text, 1, 77), ' ') || '...' END", lambda: T.excerpt(t(), 80))
-_simple("J04_word_excerpt", "CASE WHEN length(text) <= 60 THEN text ELSE regexp_replace(substring(text, 1, 60), ' [^ ]*$', '') || '…' END", lambda: T.word_excerpt(t(), 60))
-_simple("J05_focused_excerpt", "CASE WHEN instr(lower(text), 'the ') > 0 THEN substring(text, greatest(1, instr(lower(text), 'the ') - 20), instr(lower(text), 'the ') + 4 + 20 - greatest(1, instr(lower(text), 'the ') - 20)) ELSE substring(text, 1, 40) END", lambda: T.focused_excerpt(t(), F.lit("the "), 20))
+_simple("J04_word_excerpt", f"CASE WHEN length({ONE}) <= 60 THEN {ONE} ELSE rtrim(regexp_replace(substring({ONE}, 1, 59), ' [^ ]*$', '')) || '…' END", lambda: T.word_excerpt(t(), 60))
+_simple("J05_focused_excerpt", FOCUSED, lambda: T.focused_excerpt(t(), F.lit("The "), 40))
 _simple("J08_sanitise", r"coalesce(nullif(regexp_replace(substring(text, 1, 10000), '^[\t-\r ]+|[\t-\r ]+$', '', 'g'), ''), '[EMPTY]')", lambda: T.sanitise(t(), 10000))
 _simple("J10_template", "'What is said in ' || lang || ' by ' || source || '?'", lambda: F.format_string("What is said in %s by %s?", "lang", "source"))
 _simple("J11_category_id", "lang || ':' || source", lambda: T.category_id(F.col("lang"), F.col("source")))
 _simple("J12_stable_id", "substring(sha1('docs' || chr(0) || text), 1, 24)", lambda: HS.stable_id("docs", t()))
 _simple("J13_sha256", "sha256(text)", lambda: F.sha2(t().cast("binary"), 256))
 _simple("J30_token_estimate", "CAST(ceil(length(text) / 3.5::DOUBLE) AS BIGINT)", lambda: T.token_estimate(t(), 3.5))
-_simple("J33_script", "CASE WHEN regexp_matches(text, '[Ѐ-ӿ]') THEN 'cyrillic' WHEN regexp_matches(text, '[Ͱ-Ͽ]') THEN 'greek' WHEN regexp_matches(text, '[一-鿿]') THEN 'cjk' WHEN regexp_matches(text, '[À-ɏ]') THEN 'latin-extended' ELSE 'latin' END", lambda: T.script(t()))
-_simple("C06_excluded_script", "CAST(regexp_matches(text, '[ᄀ-ᇿ぀-ヿ㄰-㆏㐀-䶿一-鿿가-힯]') AS INTEGER)", lambda: T.excluded_script(t()).cast("int"))
+_simple("J33_script", "CASE WHEN regexp_matches(text, '[Ѐ-ӿ]') THEN 'cyrillic' WHEN regexp_matches(text, '[Ͱ-Ͽ]') THEN 'greek' WHEN regexp_matches(text, '" + T.EXCLUDED + "') THEN 'cjk' WHEN regexp_matches(text, '[À-ɏ]') THEN 'latin-extended' ELSE 'latin' END", lambda: T.script(t()))
+_simple("C06_excluded_script", f"CAST(regexp_matches(text || {ODD_SQL}, '{T.EXCLUDED}') AS INTEGER)", lambda: T.excluded_script(F.concat("text", ODD)).cast("int"))
 _simple("C05_ascii_text", "CAST(regexp_full_match(lower(trim(source)), '[a-z]+') AS INTEGER)", lambda: T.ascii_word(F.col("source")).cast("int"))
 
 
@@ -90,13 +99,12 @@ def chromatic(spark, d):
     return colors(spark, d).filter(K.chromatic(p)).select("p_partkey")
 
 
-@query("H06_hue_order", COLORS + ", h AS (SELECT *, CASE WHEN s < 0.15 THEN 1 ELSE 0 END AS gray, greatest(r, g, b) AS m, greatest(r, g, b) - least(r, g, b) AS span FROM k), u AS (SELECT *, CASE WHEN span = 0 THEN 0::DOUBLE WHEN m = r THEN (CASE WHEN g >= b THEN 0 ELSE 6 END + (g - b) / CAST(span AS DOUBLE)) WHEN m = g THEN (b - r) / CAST(span AS DOUBLE) + 2 ELSE (r - g) / CAST(span AS DOUBLE) + 4 END / 6 AS hue FROM h) SELECT p_partkey, CAST(row_number() OVER (ORDER BY gray, round(hue, 9), p_partkey) AS INTEGER) AS place FROM u WHERE p_partkey <= 200")
+@query("H06_hue_order", COLORS + ", h AS (SELECT *, CASE WHEN s < 0.15 THEN 1 ELSE 0 END AS gray, greatest(r, g, b) AS m, greatest(r, g, b) - least(r, g, b) AS span FROM k), u AS (SELECT *, CASE WHEN span = 0 THEN 0::DOUBLE WHEN m = r THEN (CASE WHEN g >= b THEN 0 ELSE 6 END + (g - b) / CAST(span AS DOUBLE)) WHEN m = g THEN (b - r) / CAST(span AS DOUBLE) + 2 ELSE (r - g) / CAST(span AS DOUBLE) + 4 END / 6 AS hue FROM h) SELECT p_partkey, CAST(row_number() OVER (ORDER BY gray, round(hue, 9), p_partkey) AS INTEGER) AS place FROM u")
 def hue_order(spark, d):
-    from pyspark.sql import Window
-
     p = K.hsv_l(F.col("r"), F.col("g"), F.col("b"))
-    c = colors(spark, d).filter("p_partkey <= 200").select("p_partkey", (p["s"] < 0.15).cast("int").alias("gray"), F.round(p["h"], 9).alias("hue"))
-    return c.select("p_partkey", F.row_number().over(Window.orderBy("gray", "hue", "p_partkey")).alias("place"))
+    c = colors(spark, d).select("p_partkey", (p["s"] < 0.15).cast("int").alias("gray"), F.round(p["h"], 9).alias("hue"))
+    laid = placed(c, [F.col("gray").asc(), F.col("hue").asc(), F.col("p_partkey").asc()], "place")
+    return laid.select("p_partkey", (F.col("place") + 1).cast("int").alias("place"))
 
 
 @query("J26_date_sequence", "SELECT strftime(d, '%B') || ' ' || day(d) AS label, CAST(row_number() OVER (ORDER BY d) AS INTEGER) AS place FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-12-31', INTERVAL 1 DAY)) AS DATE) AS d)")
@@ -137,10 +145,15 @@ def predicates(spark, d):
     return V.table(spark, d, "documents").filter("lang = 'en' and source = 'src3' and n_chars > 100").select("doc_id")
 
 
-@query("C04_validity", "SELECT vec_id FROM embeddings WHERE vec_id BETWEEN 10 AND 400 AND embedding[1] >= 0.1::FLOAT AND isfinite(embedding[1])")
+@query("C04_validity", "SELECT vec_id FROM embeddings WHERE label BETWEEN 0 AND 8 AND embedding[1] >= 0.1::FLOAT AND isfinite(embedding[1])")
 def validity(spark, d):
     x = F.get("embedding", F.lit(0))
-    return V.table(spark, d, "embeddings").filter(F.col("vec_id").between(10, 400) & ~F.isnan(x) & (x >= F.lit(0.1).cast("float"))).select("vec_id")
+    return V.table(spark, d, "embeddings").filter(F.col("label").between(0, 8) & ~F.isnan(x) & (F.abs(x) != float("inf")) & (x >= F.lit(0.1).cast("float"))).select("vec_id")
+
+
+@query("J29_floor_float32", "SELECT l_orderkey, l_linenumber, CASE WHEN CAST(CAST(l_extendedprice / 7 AS FLOAT) AS DOUBLE) > l_extendedprice / 7 THEN nextafter(CAST(l_extendedprice / 7 AS FLOAT), '-infinity'::FLOAT) ELSE CAST(l_extendedprice / 7 AS FLOAT) END::DOUBLE AS y FROM lineitem")
+def floor_float32(spark, d):
+    return V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.floor_float32(F.col("l_extendedprice") / 7).cast("double").alias("y"))
 
 
 @query("C14_text_columns", "SELECT item_id AS id, 'text' AS column_name, text FROM benchmark")

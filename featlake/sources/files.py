@@ -61,6 +61,18 @@ def parts_for(rows: int, each: int = 250_000, least: int = 24) -> int:
     return max(least, -(-rows // each))
 
 
+def children(spark: SparkSession, folder: str, pattern: str = "[!_.]*") -> list[str]:
+    """Names in a folder that hold whole results of Spark's (with their mark of success), sorted; none if it is not there."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(conf).globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}/_SUCCESS"))
+    return sorted(f.getPath().getParent().getName() for f in found or [])
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def strings(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from featlake.sources.files import fresh
+from featlake.sources.files import children, fresh, remove
 
 
 def read_files(spark: SparkSession, folder: str, schema: StructType, per_trigger: int = 4) -> DataFrame:
@@ -49,26 +49,47 @@ def last_seen(stream: DataFrame, key: str, at: str) -> DataFrame:
     return stream.select(F.col(key).cast("string").alias(key), F.col(at).cast("long").alias(at)).groupBy(key).applyInPandasWithState(step, "key string, last long, n long", "last long, n long", "update", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """All that a stream gives for the input there is, as a table of memory (results of small size)."""
+def _version(path: str, number: int) -> str:
+    return f"{path}/v{number:09d}"
+
+
+def _run(stream: DataFrame, path: str, step: Callable[[DataFrame, int], None], mode: str, checkpoint: str | None) -> None:
+    at = checkpoint or f"{path}/_checkpoint"
+    stream.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+
+
+def drain(stream: DataFrame, mode: str, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """All that a stream gives for the input there is, as a table in the shared folder.
+
+    With a path the checkpoint stands beside the results, so that a later call goes on where this one ended. In mode
+    `complete` the last batch is the result, else all batches are, rows that later ones bring up to date included.
+    """
     spark = stream.sparkSession
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", fresh(spark, "checkpoint")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    path = path or fresh(spark, "drained")
+    _run(stream, path, lambda batch, number: batch.write.mode("overwrite").parquet(_version(path, number)), mode, checkpoint)
+    done = children(spark, path)
+    some = done[-1:] if mode == "complete" else done
+    return spark.read.schema(stream.schema).parquet(*(f"{path}/{n}" for n in some)) if some else spark.createDataFrame([], stream.schema)
+
 
+def merge_batches(stream: DataFrame, path: str, merge: Callable[[DataFrame, DataFrame | None], DataFrame], checkpoint: str | None = None) -> str:
+    """Fold micro-batches into a table: merge(batch, table so far). Gives the last version's folder.
 
-def merge_batches(stream: DataFrame, path: str, merge: Callable[[DataFrame, DataFrame | None], DataFrame]) -> str:
-    """Fold micro-batches into a table: merge(batch, table so far). Each version is a folder of its own, named by its
-    batch, so that a batch that is run again replaces only its own version. Gives the last version's folder."""
+    Each version is a folder named by its batch, made from the version of the batch before; a batch that is run again
+    replaces only its own. The checkpoint stands in the table's folder, so that after a restart the same call goes on
+    from the last version. Versions older than the one before the last are removed.
+    """
     spark = stream.sparkSession
-    last = {"path": None}
 
     def step(batch: DataFrame, number: int) -> None:
-        so_far = spark.read.parquet(last["path"]) if last["path"] else None
-        here = f"{path}/v{number}"
-        merge(batch, so_far).write.mode("overwrite").parquet(here)
-        last["path"] = here
-
-    q = stream.writeStream.foreachBatch(step).option("checkpointLocation", fresh(spark, "checkpoint")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return last["path"]
+        before = [n for n in children(spark, path) if f"{path}/{n}" < _version(path, number)]
+        so_far = spark.read.parquet(f"{path}/{before[-1]}") if before else None
+        merge(batch, so_far).write.mode("overwrite").parquet(_version(path, number))
+        for n in before[:-1]:
+            remove(spark, f"{path}/{n}")
+
+    _run(stream, path, step, "append", checkpoint)
+    done = children(spark, path)
+    if not done:
+        raise ValueError(f"{path} has had no batch yet")
+    return f"{path}/{done[-1]}"
