@@ -8,6 +8,9 @@ import os
 import re
 from collections.abc import Iterable, Mapping, Sequence
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: Parts of option names whose values are secrets.
 SECRET_WORDS = ("token", "secret", "password", "api-key", "api_key", "credential")
 HIDDEN = "***"
@@ -33,6 +36,31 @@ def redact_command(argv: Sequence[str]) -> list[str]:
     return out
 
 
+def redacted(argv: Column) -> Column:
+    """redact_command for a column of arrays."""
+    words = "|".join(re.escape(w) for w in SECRET_WORDS)
+    secret = lambda a: F.rlike(a, F.lit(f"(?i)^-.*({words})"))
+    name = lambda a: F.substring_index(a, "=", 1)
+    bare = lambda a: secret(a) & ~F.contains(a, F.lit("="))
+    # whether each argument is hidden by the one before, which was not hidden itself
+    hides = F.aggregate(argv, F.array().cast("array<boolean>"), lambda out, a: F.array_append(out, ~F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(False)) & bare(a)))
+    hidden = lambda i: F.coalesce(F.get(hides, i - 1), F.lit(False))
+    return F.transform(argv, lambda a, i: F.when(hidden(i), F.lit(HIDDEN)).when(F.contains(a, F.lit("=")) & secret(name(a)), F.concat(name(a), F.lit(f"={HIDDEN}"))).otherwise(a))
+
+
+def substituted(template: Column, values: Mapping[str, Column]) -> Column:
+    """`${name}` in a column, in one pass, so that values are not looked at again; `$${` stays `${`. An unknown name is an error."""
+    pieces = F.split(template, r"(?=\$\$\{)|(?<!\$)(?=\$\{)|(?<=\})", -1)
+    known = F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v)))
+
+    def one(p: Column) -> Column:
+        name = F.regexp_extract(p, r"^\$\{(\w+)\}$", 1)
+        value = F.coalesce(F.try_element_at(known, name), F.raise_error(F.concat(F.lit("no variable "), name)).cast("string"))
+        return F.when(F.startswith(p, F.lit("$${")), F.substr(p, F.lit(2))).when(name != "", value).otherwise(p)
+
+    return F.array_join(F.transform(pieces, one), "")
+
+
 def expand(command: Sequence[str], matrix: Mapping[str, Iterable[str]]) -> list[list[str]]:
     """The command for each combination of the axes, the last axis fastest."""
     axes = {k: list(v) for k, v in matrix.items()}

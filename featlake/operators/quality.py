@@ -58,6 +58,14 @@ def expectations(values: dict[str, tuple[Column, float, float]], df: DataFrame)
     return one.select(F.inline(F.array(*rows)))
 
 
+def falling(counts: list[str], n: int) -> Column:
+    """Whether counts at rising thresholds are out of order or above the number of rows."""
+    bad = F.col(counts[0]) > n
+    for a, b in zip(counts, counts[1:], strict=False):
+        bad = bad | (F.col(b) > F.col(a))
+    return bad
+
+
 def completeness(df: DataFrame, key: str, n: int) -> DataFrame:
     """Whether keys are exactly 0 to n - 1, each once."""
     return df.agg((F.count("*") == n).cast("int").alias("count_ok"), (F.countDistinct(key) == n).cast("int").alias("unique_ok"), ((F.min(key) == 0) & (F.max(key) == n - 1)).cast("int").alias("range_ok"))

@@ -90,12 +90,13 @@ def latents(spark, d):
     return L.latents(spark, 5000, 64, 4, 1.0, 3).groupBy("feature").agg(F.count("*").alias("n"))
 
 
-@query("L24_parity_audit", GRAM + " SELECT count(*) AS checked, 0::BIGINT AS outside FROM embeddings")
+@query("L24_parity_audit", "SELECT count(*) AS checked, 0::BIGINT AS outside, count(*) FILTER (label = 7) AS caught FROM embeddings")
 def parity(spark, d):
-    """Squared lengths from Gram sums in float64 agree with those computed row by row."""
+    """Squared lengths computed row by row and summed in another order agree; of others, put wrong in one label, all are caught."""
     from featlake.operators.similarity import dot
 
-    e = V.table(spark, d, "embeddings").select("vec_id", "embedding")
-    own = e.withColumn("a", dot(F.col("embedding"), F.col("embedding")))
+    e = V.table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    own = e.select("vec_id", "label", dot(F.col("embedding"), F.col("embedding")).alias("a"))
     long = e.select("vec_id", F.explode("embedding").alias("x")).groupBy("vec_id").agg(F.sum(F.col("x").cast("double") * F.col("x").cast("double")).alias("b"))
-    return own.join(long, "vec_id").agg(F.count("*").alias("checked"), F.count_if(F.abs(F.col("a") - F.col("b")) > 1e-5).alias("outside"))
+    off = lambda a: F.count_if(F.abs(a - F.col("b")) > 1e-5)
+    return own.join(long, "vec_id").agg(F.count("*").alias("checked"), off(F.col("a")).alias("outside"), off(F.col("a") + F.when(F.col("label") == 7, 0.001).otherwise(0.0)).alias("caught"))

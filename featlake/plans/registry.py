@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
-FAMILIES = ("sources", "activations", "cooccurrence", "similarity", "matching", "probes", "hierarchy", "prevalence", "text", "sampling", "linalg", "quality", "streams", "extras")
+FAMILIES = ("sources", "activations", "cooccurrence", "similarity", "matching", "probes", "hierarchy", "prevalence", "text", "sampling", "linalg", "quality", "streams", "workflow", "extras")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -5,12 +5,15 @@ from __future__ import annotations
 import io
 import os
 import zipfile
+from pathlib import Path
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from featlake.functions import text as T
 from featlake.plans.registry import query
+from featlake.sources import bundles as B
+from featlake.sources import encode as E
 from featlake.sources import files as S
 from featlake.sources import views as V
 
@@ -149,17 +152,50 @@ def word_list(spark, d):
 
 @query("A21_embedding_source")
 def embedding_source(spark, d):
-    """A deterministic hashing encoder in place of a network service: signed counts of words in 16 buckets."""
-    docs = V.table(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("w"))
-    h = F.xxhash64("w")
-    return docs.groupBy("doc_id", F.pmod(h, F.lit(16)).cast("int").alias("i")).agg(F.sum(F.when(h > 0, 1).otherwise(-1)).alias("x"))
+    """Texts in requests of bounded tokens through an encoder; a deterministic hashing encoder stands in for a service."""
+    out = E.embed(V.table(spark, d, "documents"), "doc_id", "text", E.Hashing)
+    return out.select("doc_id", F.posexplode("embedding").alias("i", "x"))
 
 
-@query("A22_keyed_reorder", "SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS INTEGER) AS place FROM documents WHERE doc_id < 50")
+class Small:
+    """An encoder that takes few texts at a time, as a model does whose memory is short."""
+
+    def __init__(self, most: int):
+        self.most, self.inner = most, E.Hashing()
+
+    def __call__(self, texts):
+        if len(texts) > self.most:
+            raise MemoryError
+        return self.inner(texts)
+
+
+@query("A23_local_encoder")
+def local_encoder(spark, d):
+    """The same through a local encoder that runs out of memory above three texts, loaded once a task."""
+    out = E.embed(V.table(spark, d, "documents"), "doc_id", "text", lambda: Small(3))
+    return out.select("doc_id", F.posexplode("embedding").alias("i", "x"))
+
+
+@query("A22_keyed_reorder", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, 0::BIGINT AS faults FROM documents")
 def keyed(spark, d):
-    scattered = V.table(spark, d, "documents").filter("doc_id < 50").select(F.to_json(F.struct(F.concat(F.lit("row-"), "doc_id").alias("key"))).alias("line")).repartition(4)
-    key = F.get_json_object("line", "$.key")
-    return scattered.select(F.substr(key, F.lit(5)).cast("long").alias("doc_id")).withColumn("place", F.row_number().over(Window.orderBy("doc_id")) - 1)
+    """Batch jobs: keyed requests, answers in no order, and every row's answer back in the order of the keys."""
+    docs = V.table(spark, d, "documents").select("doc_id", "text")
+    rows, faults = E.collect_jobs(docs, "doc_id", E.run_jobs(spark, E.submit(docs, "doc_id", "text", 4), E.Hashing))
+    return rows.select("doc_id", "place").withColumn("faults", F.lit(faults.count()).cast("long"))
+
+
+@query("B04_npy_shards", "SELECT count(*) AS rows, round(sum(CAST(embedding[1] AS DOUBLE)), 4) AS s FROM embeddings")
+def npy_shards(spark, d):
+    """Vectors as NPY shards, each renamed into place whole, written twice to the same folder and read back."""
+    from featlake.sources import npy
+
+    npy.register(spark)
+    folder = S.fresh(spark, "shards").removeprefix("file://")  # a mounted path
+    os.makedirs(folder, exist_ok=True)
+    e = V.table(spark, d, "embeddings").select("vec_id", "embedding")
+    for _ in range(2):
+        npy.write(e, "vec_id", "embedding", folder)
+    return spark.read.format("npy").load(folder).agg(F.count("*").alias("rows"), F.round(F.sum(F.get("embedding", F.lit(0)).cast("double")), 4).alias("s"))
 
 
 @query("A25_ranked_table", "SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS INTEGER) AS rank FROM part QUALIFY rank IN (1, 5, 9)")
@@ -184,22 +220,37 @@ def catalog(spark, d):
     return parts.withColumn("bad", (F.lag("hi").over(w) >= F.col("lo")).cast("int")).agg(F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("overlaps"), F.sum("n").alias("rows"))
 
 
-@query("B06_bundle_verify", "SELECT 'gone.txt' AS name, 'missing' AS problem")
-def bundle(spark, d):
-    return _bundle(spark, d)
+def _tree(spark, d, name):
+    """A folder with a file of JSON lines for each region."""
+    root = Path(S.fresh(spark, name).removeprefix("file://"))  # bundles lie on mounted paths
+    root.mkdir(parents=True)
+    for r in V.table(spark, d, "region").orderBy("r_regionkey").collect():  # five rows
+        (root / f"{r['r_name'].lower().replace(' ', '-')}.json").write_text(r["r_name"] + "\n")
+    return root
 
 
-@query("N08_bundle_checks", "SELECT 'gone.txt' AS name, 'missing' AS problem")
-def bundle_checks(spark, d):
-    return _bundle(spark, d)
+@query("B06_bundle_round_trip", "SELECT lower(replace(r_name, ' ', '-')) || '.json' AS name, length(r_name) + 1 AS bytes, sha256(r_name || chr(10)) AS sha256, 1 AS same_bytes FROM region")
+def bundle(spark, d):
+    """Seal, archive twice, unpack: the archives are equal byte by byte and the members are those of the folder."""
+    root = _tree(spark, d, "bundle")
+    B.seal(root, "regions", {"of": "region"})
+    digests = [B.archive(root, root.with_name(n)) for n in ("one.tar.gz", "two.tar.gz")]
+    manifest = B.unpack(root.with_name("two.tar.gz"), root.with_name("unpacked"))
+    rows = [(f["path"], f["bytes"], f["sha256"], int(len(set(digests)) == 1)) for f in manifest["files"]]
+    return spark.createDataFrame(rows, "name string, bytes long, sha256 string, same_bytes int")
 
 
-def _bundle(spark, d):
-    path = S.fresh(spark, "bundle")
-    V.table(spark, d, "region").coalesce(1).write.csv(path)
-    found = S.digests(spark, path).filter("name like 'part-%.csv'")
-    manifest = found.unionAll(spark.createDataFrame([("gone.txt", 3, "00")], "name string, bytes long, sha256 string"))
-    return S.verify_bundle(manifest, found)
+@query("N08_bundle_checks", "SELECT * FROM (VALUES ('europe.json', 'changed'), ('asia.json', 'missing'), ('more.txt', 'unlisted'), ('africa.json', 'listed twice'), ('../out', 'unsafe'), ('../out', 'missing')) AS t(name, problem)")
+def bundle_checks(spark, d):
+    """A sealed folder with a fault of each kind put in, checked by Spark over its files."""
+    root = _tree(spark, d, "checked")
+    rows = [(f["path"], f["bytes"], f["sha256"]) for f in B.seal(root, "regions")["files"]]
+    twice = [r for r in rows if r[0] == "africa.json"]
+    manifest = spark.createDataFrame([*rows, *twice, ("../out", 1, "00")], "name string, bytes long, sha256 string")
+    (root / "europe.json").write_text("other")
+    (root / "asia.json").unlink()
+    (root / "more.txt").write_text("more")
+    return S.verify_bundle(manifest, S.digests(spark, f"file://{root}").filter(F.col("name") != B.MANIFEST))
 
 
 @query("N11_idempotent_resume", "SELECT DISTINCT source AS shard FROM documents WHERE source >= 'src5'")
@@ -222,7 +273,11 @@ def snapshot(spark, d):
     return r.join(recorded, "sha", "left_semi").select("r_name")
 
 
-@query("J28_safe_paths", "SELECT * FROM (VALUES ('a/b', 1), ('../escape', 0), ('/absolute', 0), ('x/../../escape', 0), ('a\\b', 0), ('a//b', 0), ('./a', 0)) AS t(path, safe)")
+#: Names by the remainder of an id: whether each is safe.
+_NAMES = [("a/b-", 1), ("../escape-", 0), ("/absolute-", 0), ("x/../../escape-", 0), ("a\\b-", 0), ("a//b-", 0), ("./a-", 0), ("a.b/..c-", 1)]
+
+
+@query("J28_safe_paths", f"SELECT s_suppkey, ([{', '.join(str(ok) for _, ok in _NAMES)}])[s_suppkey % {len(_NAMES)} + 1] AS safe FROM supplier")
 def safe_paths(spark, d):
-    rows = [(p,) for p in ("a/b", "../escape", "/absolute", "x/../../escape", "a\\b", "a//b", "./a")]
-    return spark.createDataFrame(rows, "path string").select("path", S.safe_path(F.col("path")).cast("int").alias("safe"))
+    start = F.element_at(F.array(*(F.lit(n) for n, _ in _NAMES)), (F.col("s_suppkey") % len(_NAMES) + 1).cast("int"))
+    return V.table(spark, d, "supplier").select("s_suppkey", S.safe_path(F.concat(start, "s_name")).cast("int").alias("safe"))

@@ -10,7 +10,7 @@ def test_stream_equals_batch_for_any_trigger(spark):
     folder = fresh(spark, "stream")
     df.repartition(9).write.parquet(folder)
     for per in (1, 5):
-        out = S.drain(S.moments(S.read_files(spark, folder, df.schema, per), "k", F.col("v")), "complete", f"t{per}")
+        out = S.drain(S.moments(S.read_files(spark, folder, df.schema, per), "k", F.col("v")), "complete")
         assert {r["k"]: (r["n"], r["s1"]) for r in out.collect()} == want
 
 
