@@ -32,7 +32,7 @@ FOCUSED = f"""(SELECT CASE WHEN a < 0 THEN p ELSE CASE WHEN stop < length(p) THE
  FROM (SELECT *, greatest(0, stop - 40) AS start FROM (SELECT *, least(length(p), greatest(0, a - 20) + 40) AS stop FROM (SELECT p, instr(replace(replace(lower(p), 'ß', 'ss'), 'ς', 'σ'), 'the ') - 1 AS a FROM (SELECT coalesce(nullif({ONE}, ''), '[EMPTY]') AS p))))))"""
 #: One character after each text, by its id: the ends of every range and what stands beside them.
 _ENDS = [c for a, b in T.EXCLUDED_SCRIPTS for c in (a - 1, a, b, b + 1) if not 0xD800 <= c <= 0xDFFF]
-ODD = F.element_at(F.array(*(F.lit(chr(c)) for c in _ENDS)), (F.col("doc_id") % len(_ENDS) + 1).cast("int"))
+ODD = lambda: F.element_at(F.array(*(F.lit(chr(c)) for c in _ENDS)), (F.col("doc_id") % len(_ENDS) + 1).cast("int"))
 ODD_SQL = f"chr(([{', '.join(map(str, _ENDS))}])[doc_id % {len(_ENDS)} + 1])"
 _simple("J01_normalise_space", f"coalesce(nullif(trim(regexp_replace(text, '{T.WHITE}+', ' ', 'g')), ''), '[EMPTY]')", lambda: T.normalise_space(t()))
 _simple("J03_excerpt", "CASE WHEN length(text) <= 80 THEN text ELSE rtrim(substring(text, 1, 77), ' ') || '...' END", lambda: T.excerpt(t(), 80))
@@ -45,7 +45,7 @@ _simple("J12_stable_id", "substring(sha1('docs' || chr(0) || text), 1, 24)", lam
 _simple("J13_sha256", "sha256(text)", lambda: F.sha2(t().cast("binary"), 256))
 _simple("J30_token_estimate", "CAST(ceil(length(text) / 3.5::DOUBLE) AS BIGINT)", lambda: T.token_estimate(t(), 3.5))
 _simple("J33_script", "CASE WHEN regexp_matches(text, '[Ѐ-ӿ]') THEN 'cyrillic' WHEN regexp_matches(text, '[Ͱ-Ͽ]') THEN 'greek' WHEN regexp_matches(text, '" + T.EXCLUDED + "') THEN 'cjk' WHEN regexp_matches(text, '[À-ɏ]') THEN 'latin-extended' ELSE 'latin' END", lambda: T.script(t()))
-_simple("C06_excluded_script", f"CAST(regexp_matches(text || {ODD_SQL}, '{T.EXCLUDED}') AS INTEGER)", lambda: T.excluded_script(F.concat("text", ODD)).cast("int"))
+_simple("C06_excluded_script", f"CAST(regexp_matches(text || {ODD_SQL}, '{T.EXCLUDED}') AS INTEGER)", lambda: T.excluded_script(F.concat("text", ODD())).cast("int"))
 _simple("C05_ascii_text", "CAST(regexp_full_match(lower(trim(source)), '[a-z]+') AS INTEGER)", lambda: T.ascii_word(F.col("source")).cast("int"))
 
 
