@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from featlake.operators import autoencoder as AE
 from featlake.operators import linalg as L
 from featlake.operators import recovery as R
 from featlake.plans.registry import query
@@ -90,6 +91,17 @@ def latents(spark, d):
     return L.latents(spark, 5000, 64, 4, 1.0, 3).groupBy("feature").agg(F.count("*").alias("n"))
 
 
+@query("L22_autoencoders")
+def autoencoders(spark, d):
+    """The loss of each step of a short fit of every kind of sparse autoencoder."""
+    e = V.table(spark, d, "embeddings").select("vec_id", "embedding")
+    rows = []
+    for kind in AE.KINDS:
+        fit = AE.train(e, "vec_id", "embedding", AE.Settings(kind, 32, sparsity=0.0 if "topk" in kind else 0.001, batches=2), 4)
+        rows += [(kind, k + 1, round(x, 8)) for k, x in enumerate(fit.history)]
+    return spark.createDataFrame(rows, "kind string, step int, loss double")
+
+
 @query("L24_parity_audit", "SELECT count(*) AS checked, 0::BIGINT AS outside, count(*) FILTER (label = 7) AS caught FROM embeddings")
 def parity(spark, d):
     """Squared lengths computed row by row and summed in another order agree; of others, put wrong in one label, all are caught."""

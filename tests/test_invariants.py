@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from featlake.functions import text as T
+from featlake.operators import autoencoder as AE
 from featlake.operators import matching as M
 from featlake.operators import recovery as R
 from featlake.plans import probes, registry
@@ -220,6 +221,23 @@ def test_distinct_recovery(spark):
     assert {g: r["matched"] for g, r in got.items()} == {g: n for g, n in want.items() if n} and all(r["least_f1"] >= g - 1e-6 for g, r in got.items())
 
 
+def test_autoencoders(spark, vectors):
+    ids, _, v, _ = vectors
+    got = {}
+    for r in run(spark, "L22_autoencoders").orderBy("kind", "step").collect():
+        got.setdefault(r["kind"], []).append(r["loss"])
+    for kind in AE.KINDS:
+        s = AE.Settings(kind, 32, sparsity=0.0 if "topk" in kind else 0.001, batches=2)
+        deal = {r["vec_id"]: r["b"] for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", F.pmod(F.xxhash64(F.lit(s.seed), "vec_id"), F.lit(2)).alias("b")).collect()}
+        batch = np.array([deal[i] for i in ids.tolist()])
+        fit = AE.Fit(s, v.shape[1])
+        for k in range(4):
+            x = v[batch == k % 2]
+            top = np.sort(AE.before_selection(x, fit.model, s).ravel())[::-1]
+            fit.take(*AE.gradients(x, fit.model, s, len(x), fit.dead(), max(0.0, top[s.k * len(x) - 1])))
+        assert got[kind] == pytest.approx(fit.history, abs=1e-7)
+
+
 def test_latents(spark):
     n = {r["feature"]: r["n"] for r in run(spark, "M08_synthetic_latents").collect()}
     assert sum(n.values()) == 5000 * 4 and n[0] > n[4] > n[16] > n[63] > 0
