@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import shutil
 import tempfile
@@ -39,6 +40,17 @@ def fresh(spark: SparkSession, name: str) -> str:
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextlib.contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Queries that are made and run inside free their shuffles as they end; the session's setting is put back."""
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN, before) if before is not None else spark.conf.unset(CLEAN)
+
+
 def stage(df: DataFrame, name: str, files: int | None = None, path: str | None = None, order: str | None = None) -> DataFrame:
     """df written as Parquet in the shared folder and read again; cuts the lineage and frees the shuffles before it.
 
@@ -47,12 +59,8 @@ def stage(df: DataFrame, name: str, files: int | None = None, path: str | None =
     spark, path = df.sparkSession, path or fresh(df.sparkSession, name)
     rows = df if files is None else df.coalesce(files)
     rows = rows if order is None else rows.sortWithinPartitions(order)
-    before = spark.conf.get(CLEAN, None)
-    spark.conf.set(CLEAN, "true")
-    try:
+    with freeing(spark):
         rows.write.parquet(path)
-    finally:
-        spark.conf.set(CLEAN, before) if before is not None else spark.conf.unset(CLEAN)
     return spark.read.schema(df.schema).parquet(path)
 
 
