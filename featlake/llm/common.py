@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from featlake.sources.files import parts_for, shared_dir, stage
+from featlake.sources.files import freeing, parts_for, shared_dir, stage
 
-__all__ = ["bounded_sample", "columns", "crops", "fold", "held_out", "map_batches", "parts_for", "replaced", "shared_dir", "slabs", "stage", "string_buffers", "table", "unused"]
+__all__ = ["bounded_sample", "columns", "crops", "fold", "freeing", "held_out", "map_batches", "parts_for", "replaced", "shared_dir", "slabs", "stage", "string_buffers", "table", "unused"]
 
 #: One row of each stratum is broadcast up to this many strata, and joined by a shuffle beyond.
 MOST_STRATA = 10_000

@@ -1,39 +1,5 @@
-"""Connected components over an edge list, by alternating large-star and small-star steps."""
+"""Connected components: those of the library's own operators."""
 
-from __future__ import annotations
+from featlake.operators.graph import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from featlake.llm.common import parts_for, stage
-
-
-def _large_star(e: DataFrame) -> DataFrame:
-    both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-
-
-def _small_star(e: DataFrame) -> DataFrame:
-    down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
-    return moved.unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of an edge: root is the least node of its component.
-
-    edges: columns a and b of one integer type. Each round is written to the shared folder; the number of rounds
-    grows with the logarithm of the longest path. Only a count and a checksum of the edges reach the driver.
-    An empty edge list gives an empty result; loops and repeated edges do no harm.
-    """
-    e = stage(edges.filter("a <> b").distinct(), "edges")
-    seen = None
-    while True:
-        now = tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
-        if now == seen or now[0] == 0:
-            break
-        seen = now
-        e = stage(_small_star(_large_star(e)), "stars", parts_for(now[0]))
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+__all__ = ["connected_components"]

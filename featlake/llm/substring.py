@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from featlake.llm.common import columns, map_batches, parts_for, replaced, shared_dir, slabs, stage, string_buffers, unused
+from featlake.llm.common import columns, freeing, map_batches, parts_for, replaced, shared_dir, slabs, stage, string_buffers, unused
 
 WINDOW, GRAM = 20, 8
 SLAB = 1 << 18
@@ -230,7 +230,8 @@ def _bitmap(repeated: DataFrame, most: int) -> np.ndarray:
     """Bits of the repeated entries, of which there are `most` at most; 2 ** MOST_BITS / 32768 rows of 4 kB or fewer reach the driver."""
     bits = min(MOST_BITS, max(LEAST_BITS, (most * BITS_EACH).bit_length()))
     p = F.expr(f"(h & {(1 << bits) - 1}) + 1")
-    rows = repeated.select(p.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
+    with freeing(repeated.sparkSession):
+        rows = repeated.select(p.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
     out = np.zeros((1 << bits) >> 3, np.uint8)
     for k, part in rows:
         out[(k - 1) * 4096 : (k - 1) * 4096 + len(part)] = np.frombuffer(part, np.uint8)
