@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import os
 import zipfile
 from pathlib import Path
 
@@ -15,6 +14,7 @@ from featlake.plans.registry import query
 from featlake.sources import bundles as B
 from featlake.sources import encode as E
 from featlake.sources import files as S
+from featlake.sources import npy
 from featlake.sources import views as V
 
 
@@ -59,11 +59,8 @@ def targets(spark, d):
 
 @query("A06_npy_scan", "SELECT vec_id AS global_row, round(CAST(embedding[3] AS DOUBLE), 5) AS x FROM embeddings")
 def npy_scan(spark, d):
-    from featlake.sources import npy
-
     npy.register(spark)
-    folder = S.fresh(spark, "npy").removeprefix("file://")  # memory maps need a mounted path
-    os.makedirs(folder, exist_ok=True)
+    folder = S.fresh(spark, "npy")
     npy.write(V.table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", folder)
     return spark.read.format("npy").option("rows", 64).load(folder).select("global_row", F.round(F.get("embedding", F.lit(2)).cast("double"), 5).alias("x"))
 
@@ -128,9 +125,9 @@ def zipped(spark, d):
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("parts.tsv", "p_partkey\tp_brand\n" + "".join(f"{a}\t{b}\n" for a, b in rows))
     path = S.fresh(spark, "zip")
-    local = path.removeprefix("file://")  # a test file; the reader itself takes any path of Spark's
-    os.makedirs(local, exist_ok=True)
-    with open(f"{local}/parts.zip", "wb") as f:
+    at, folder = npy.located(path)
+    at.create_dir(folder, recursive=True)
+    with at.open_output_stream(f"{folder}/parts.zip") as f:
         f.write(buffer.getvalue())
     return S.read_zipped(spark, path, "parts.tsv", ["p_partkey", "p_brand"])
 
@@ -187,11 +184,8 @@ def keyed(spark, d):
 @query("B04_npy_shards", "SELECT count(*) AS rows, round(sum(CAST(embedding[1] AS DOUBLE)), 4) AS s FROM embeddings")
 def npy_shards(spark, d):
     """Vectors as NPY shards, each renamed into place whole, written twice to the same folder and read back."""
-    from featlake.sources import npy
-
     npy.register(spark)
-    folder = S.fresh(spark, "shards").removeprefix("file://")  # a mounted path
-    os.makedirs(folder, exist_ok=True)
+    folder = S.fresh(spark, "shards")
     e = V.table(spark, d, "embeddings").select("vec_id", "embedding")
     for _ in range(2):
         npy.write(e, "vec_id", "embedding", folder)
