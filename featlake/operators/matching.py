@@ -1,8 +1,9 @@
 """Maximum bipartite matchings with certificates, and persistence across targets.
 
-Edges are (graph, src, dst). Matching goes by connected component of the bipartite graph, each in one task, so what
-a task holds is one component. Ties are settled by sources and neighbours in ascending order: cardinality is unique,
-membership follows this rule.
+Edges are (graph, src, dst). Matching goes by connected component of the bipartite graph, each in one task, but for
+components of more than MOST_EDGES edges, which are solved by rounds over all of their edges. Ties are settled by
+sources and neighbours in ascending order in a task, and by least roots in rounds: cardinality is unique, membership
+follows these rules.
 """
 
 from __future__ import annotations
@@ -105,10 +106,61 @@ def _solve(t: pa.Table) -> pa.Table:
     return pa.table({"graph": pa.array([graph] * n, pa.string()), "src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "in_cover": pa.array(covered, pa.int32())})
 
 
-def assignments(edges: DataFrame) -> DataFrame:
+#: Edges of a component that one task solves; larger ones are solved by rounds over all of their edges at once.
+MOST_EDGES = 2_000_000
+
+
+def assignments(edges: DataFrame, most: int = MOST_EDGES) -> DataFrame:
     """(graph, src, dst, in_cover) of a maximum matching of each graph; in_cover: 1 the source, 2 the target covers."""
-    e = components(edges.select(F.col("graph").cast("string"), F.col("src").cast("long"), F.col("dst").cast("long")))
-    return e.groupBy("graph", "component").applyInArrow(_solve, ASSIGNED)
+    e = stage(components(edges.select(F.col("graph").cast("string"), F.col("src").cast("long"), F.col("dst").cast("long"))), "components")
+    giant = e.groupBy("graph", "component").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("graph", "component")
+    giant = stage(giant, "giant")
+    if giant.isEmpty():
+        return e.groupBy("graph", "component").applyInArrow(_solve, ASSIGNED)
+    giant = F.broadcast(giant) if giant.limit(MOST_GIANTS + 1).count() <= MOST_GIANTS else giant
+    small = e.join(giant, ["graph", "component"], "left_anti").groupBy("graph", "component").applyInArrow(_solve, ASSIGNED)
+    return small.unionByName(by_rounds(e.join(giant, ["graph", "component"], "left_semi").select("graph", "src", "dst")))
+
+
+#: Giant components whose names are broadcast.
+MOST_GIANTS = 10_000
+
+
+def by_rounds(edges: DataFrame) -> DataFrame:
+    """(graph, src, dst, in_cover) of a maximum matching, by rounds over all edges: no task holds a component.
+
+    A round searches breadth first from all free sources at once; a target belongs to the least root that reaches it,
+    so the trees are apart. Once free targets are reached, each root that has one takes its least and the path to it is
+    turned over. A search that reaches none proves the matching maximum, and what it has reached is the cover. Rounds
+    are written to the shared folder; only whether there are rows reaches the driver.
+    """
+    e = stage(edges.distinct(), "edges")
+    match = stage(e.limit(0), "match")
+    while True:
+        frontier = e.select("graph", "src").distinct().join(match, ["graph", "src"], "left_anti").withColumn("root", F.col("src"))
+        seen, ends = None, None
+        while ends is None:
+            reach = frontier.join(e, ["graph", "src"]).groupBy("graph", "dst").agg(F.min(F.struct("root", F.col("src").alias("parent"))).alias("by"))
+            reach = reach.select("graph", "dst", "by.root", "by.parent")
+            layer = stage(reach if seen is None else reach.join(seen, ["graph", "dst"], "left_anti"), "layer")
+            if layer.isEmpty():
+                seen = e.limit(0).select("graph", "dst") if seen is None else seen.select("graph", "dst")
+                covered = match.join(seen.withColumn("hit", F.lit(2)), ["graph", "dst"], "left")
+                return covered.select("graph", "src", "dst", F.coalesce("hit", F.lit(1)).cast("int").alias("in_cover"))
+            seen = layer if seen is None else stage(seen.unionByName(layer), "seen")
+            free = layer.join(match, ["graph", "dst"], "left_anti")
+            if not free.isEmpty():
+                ends = free.groupBy("graph", "root").agg(F.min("dst").alias("dst")).select("graph", "dst")
+            else:
+                frontier = layer.join(match, ["graph", "dst"]).select("graph", "src", "root")
+        turned = None
+        while True:
+            step = stage(ends.join(seen, ["graph", "dst"]).select("graph", F.col("parent").alias("src"), "dst"), "step")
+            if step.isEmpty():
+                break
+            turned = step if turned is None else turned.unionByName(step)
+            ends = step.select("graph", "src").join(match, ["graph", "src"]).select("graph", "dst")
+        match = stage(match.join(turned, ["graph", "src"], "left_anti").unionByName(turned.select(*match.columns)), "match")
 
 
 def uncovered(edges: DataFrame, assigned: DataFrame) -> DataFrame:

@@ -80,3 +80,22 @@ def test_maximum_weight(seed):
     got = sum(w[i, j] for i, j in M.maximum_weight(w))
     best = max(sum(w[i, c] for i, c in enumerate(p)) for p in product(range(5), repeat=4) if len(set(p)) == 4)
     assert got == pytest.approx(best)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rounds_over_edges_equal_tasks(spark, seed):
+    """Dense, sparse and long components, as if each were too large for a task."""
+    rng = np.random.default_rng(seed)
+    graphs = [("dense", rng.random((12, 9)) < 0.5), ("sparse", rng.random((25, 25)) < 0.08)]
+    path = np.zeros((9, 9), int)
+    for i in range(9):
+        path[i, i] = path[i, max(0, i - 1)] = 1
+    e = frame(spark, *graphs, ("path", path[:, :8] if seed else path))
+    near = {}
+    for g, s, d in e.collect():
+        near.setdefault(g, {}).setdefault(s, []).append(d)
+    want = {g: len(M.maximum_matching(a)) for g, a in near.items()}
+    for most in (0, 6):
+        got = M.assignments(e, most)
+        assert {r[0]: r[1] for r in got.groupBy("graph").count().collect()} == want
+        assert M.invalid_witness(e, got).count() == 0 and M.uncovered(e, got).count() == 0
