@@ -21,15 +21,16 @@ def _small_star(e: DataFrame, by: list[str]) -> DataFrame:
     return moved.unionAll(least.select(*by, F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
 
-def connected_components(edges: DataFrame, by: list[str] | None = None) -> DataFrame:
+def connected_components(edges: DataFrame, by: list[str] | None = None, files: int | None = None) -> DataFrame:
     """(by.., node, root) for every node of an edge: root is the least node of its component, in the graph named by `by`.
 
     edges: columns a and b of one integer type, and the columns `by` (no nulls). Each round is written to the shared
     folder; the number of rounds grows with the logarithm of the longest path. Only a count and a checksum of the edges
-    reach the driver. An empty edge list gives an empty result; loops and repeated edges do no harm.
+    reach the driver. An empty edge list gives an empty result; loops and repeated edges do no harm. files: the most
+    files that the edges are first written to, where their number is known roughly.
     """
     by = by or []
-    e = stage(edges.select(*by, "a", "b").filter("a <> b").distinct(), "edges")
+    e = stage(edges.select(*by, "a", "b").filter("a <> b").distinct(), "edges", files)
     seen = None
     while True:
         now = tuple(e.agg(F.count("*"), F.expr(f"bit_xor(xxhash64({', '.join([*by, 'a', 'b'])}))")).first())
