@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from featlake.sources.files import freeing, parts_for, shared_dir, stage
 
-__all__ = ["bounded_sample", "columns", "crops", "fold", "freeing", "held_out", "map_batches", "parts_for", "replaced", "shared_dir", "slabs", "stage", "string_buffers", "table", "unused"]
+__all__ = ["bounded_sample", "columns", "crops", "fold", "freeing", "held_out", "map_batches", "parts_for", "replaced", "shared_dir", "slabs", "stage", "string_buffers", "table", "text_files", "unused"]
 
 #: One row of each stratum is broadcast up to this many strata, and joined by a shuffle beyond.
 MOST_STRATA = 10_000
@@ -50,6 +50,15 @@ def columns(df: DataFrame) -> list[Column]:
     return [F.col(quoted(c)) for c in df.columns]
 
 
+#: Documents for each task and file of a stage that reads texts; fewer, larger partitions of the input stay as they are.
+TEXTS_EACH = 2000
+
+
+def text_files(documents: DataFrame) -> int:
+    """The most files of a stage over documents."""
+    return parts_for(documents.count(), TEXTS_EACH)
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

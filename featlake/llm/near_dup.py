@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlake.llm.common import map_batches, parts_for, stage
+from featlake.llm.common import map_batches, stage, text_files
 from featlake.llm.graph import connected_components
 
 MAX_BITS = 4
@@ -292,7 +292,7 @@ def _meet(block: int):
     return run
 
 
-def links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
+def links(classes: DataFrame, block: int = BLOCK, files: int | None = None) -> DataFrame:
     """(a, b, seed): links that connect all distinct fingerprints within MAX_BITS bits of each other.
 
     classes: fp, and where texts have several fingerprints their number (seed) and the number of a group that is
@@ -314,7 +314,7 @@ def links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
 
     rows = classes.select("fp", "seed", "known") if several else classes.select("fp")
     met = rows.mapInArrow(spread, "key long, fp long, known int" if several else "key long, fp long")
-    met = stage(met.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_meet(block), LINKS), "links")
+    met = stage(met.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_meet(block), LINKS), "links", files)
     hot = met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"), "block")
     top = hot.groupBy("key").agg(F.max("block").alias("top"))
     pairs = (
@@ -334,9 +334,10 @@ def links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint (hex), component_id (least doc_id reachable over links) of every row of documents."""
-    fps = stage(fingerprints(documents, shingle), "fingerprints")
-    classes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes", parts_for(fps.count()))
-    roots = connected_components(links(classes, block)).select(F.col("node").alias("fp"), "root")
+    files = text_files(documents)
+    fps = stage(fingerprints(documents, shingle), "fingerprints", files)
+    classes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes", files)
+    roots = connected_components(links(classes, block, files), files=files).select(F.col("node").alias("fp"), "root")
     rooted = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     components = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.join(components, "root").select("fp", "component_id")
@@ -347,8 +348,6 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, block: int = B
 SIMILAR_SHINGLE, SIMILARITY, BANDS, WIDTH = 5, 0.8, 20, 6
 #: Texts, and shingles of texts, that one side of a meeting holds.
 MEMBERS, MEMBER_SHINGLES = 1024, 1 << 21
-#: Documents for each file of a staged result.
-ROWS_EACH = 10_000
 
 
 def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
@@ -443,8 +442,8 @@ def similar_groups(documents: DataFrame, similarity: float = SIMILARITY, shingle
     1 - (1 - 0.8^6)^20 = 0.998 have one. Links are the candidates whose sets of shingles are as alike as `similarity`
     (Jaccard), groups the components of the links. Texts with equal sets are one class.
     """
-    rows = stage(sketches(documents, shingle).filter("doc_id is not null"), "sketches")
-    files = parts_for(rows.count(), ROWS_EACH)
+    files = text_files(documents)
+    rows = stage(sketches(documents, shingle).filter("doc_id is not null"), "sketches", files)
     classes = stage(rows.groupBy("digest", "size", "bands").agg(F.min("doc_id").alias("node")), "sketch_classes", files)
     each = classes.select(F.explode("bands").alias("key"), "node", "size")
     shared = each.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1")
@@ -454,9 +453,9 @@ def similar_groups(documents: DataFrame, similarity: float = SIMILARITY, shingle
     pairs = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     sides = [sets.select(F.col("node").alias(c), F.col("hashes").alias(h)) for c, h in (("a", "x"), ("b", "y"))]
     first = stage(map_batches(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y"), _alike(similarity), "a long, b long"), "similar", files)
-    roots = connected_components(first).select("node", "root")
+    roots = connected_components(first, files=files).select("node", "root")
     rest = stage(_meetings(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), sets, similarity, block), "similar", files)
-    roots = connected_components(first.unionAll(rest)).select("node", "root")
+    roots = connected_components(first.unionAll(rest), files=files).select("node", "root")
     of = classes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("group_id"))
     return rows.select("doc_id", "digest").join(of, "digest").select("doc_id", "group_id")
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlake.llm.common import map_batches, parts_for, stage
+from featlake.llm.common import map_batches, parts_for, stage, text_files
 
 LENGTH, OPEN, END = 2048, 32, 1
 #: Fixed value: the added tokens of byte_bpe_50k.json, which it finds inside texts whether or not it adds any itself.
@@ -175,7 +175,7 @@ def pack(documents: DataFrame, vocabulary: tuple[str, str] | None = None, open_w
         if rows:
             yield _arrow(rows, _SCHEMA)
 
-    done = stage(map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, OPENED), "pieces")
+    done = stage(map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, OPENED), "pieces", text_files(documents))
     out, open_rows = done.filter("sequence_id is not null").select(*_NAMES), done.filter("sequence_id is null")
     parts, level = (open_rows.agg(F.max("part")).first()[0] or 0) + 1, 0
     while level == 0 or parts > 1:

@@ -22,7 +22,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from featlake.llm.common import SPACES, stage
+from featlake.llm.common import SPACES, stage, text_files
 
 TERM = 3
 MOST_WEIGHT = 8
@@ -75,14 +75,14 @@ def likeness(a: str, b: str) -> Column:
     return (F.lit(64) - F.bit_count(F.col(a).bitwiseXOR(F.col(b)))) / F.lit(64.0)
 
 
-def ring(keys: DataFrame) -> DataFrame:
+def ring(keys: DataFrame, files: int | None = None) -> DataFrame:
     """The rows of keys (doc_id, th, key, n and others, one row a document) with key and n of the one before, and the key of the next.
 
     The next is that of the next smaller doc_id, after the last the first. No task sorts more than a range partition,
     but for the list of partitions.
     """
     order = [F.col("doc_id").desc_nulls_last(), F.col("th").asc()]
-    parts = stage(keys.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ring")
+    parts = stage(keys.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ring", files)
     one = F.struct("key", "n")
     w = Window.partitionBy("part").orderBy(*order)
     near = parts.withColumn("before", F.lag(one).over(w))
@@ -110,7 +110,8 @@ def edited_pairs(documents: DataFrame, every: int = EVERY) -> DataFrame:
     # rows equal in id and text are one class; all that follows is dealt by this one column
     d = d.withColumn("key", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.hex("th")))
     keys = d.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("th").alias("th"), F.count("*").alias("copies"), F.max(F.length("text")).alias("n"))
-    keys = stage(ring(keys).select("key", "doc_id", "copies", "n", "before"), "ring")
+    files = text_files(documents)
+    keys = stage(ring(keys, files).select("key", "doc_id", "copies", "n", "before"), "ring", files)
     texts = d.groupBy("key").agg(F.first("text").alias("text"))
     both = texts.join(keys, "key")
     heads = both.select(F.col("before.key").alias("of"), F.substring("text", 1, _half(F.col("before.n"))).alias("head"))
@@ -123,9 +124,9 @@ def edited_pairs(documents: DataFrame, every: int = EVERY) -> DataFrame:
     rows = r.select("key", "x.e", F.unhex(F.sha2(F.col("x.t").cast("binary"), 256)).alias("sha"), F.col("x.t").alias("t"))
     fps = fingerprints(rows, ["key", "e", "sha"], "t")
     at = lambda e, c: F.max(F.when(F.col("e") == e, F.col(c)))
-    fps = stage(fps.groupBy("key").agg(at(0, "fp").alias("fp"), *(at(e, c).alias(f"{c}{e}") for e in (1, 2) for c in ("fp", "sha"))), "fingerprints")
+    fps = stage(fps.groupBy("key").agg(at(0, "fp").alias("fp"), *(at(e, c).alias(f"{c}{e}") for e in (1, 2) for c in ("fp", "sha"))), "fingerprints", files)
     facts = fps.join(keys, "key")
-    small = stage(fps.select("key", "fp").join(keys.select("key", "doc_id", "copies", F.col("before.key").alias("of")), "key"), "small")
+    small = stage(fps.select("key", "fp").join(keys.select("key", "doc_id", "copies", F.col("before.key").alias("of")), "key"), "small", files)
     asked = small.filter(F.col("doc_id") % every == 0)
     within = asked.join(count_within(asked, small, "copies"), F.col("query") == F.col("fp")).select(F.col("key").alias("asked"), "n_within")
     out = facts.join(small.select("of", F.col("fp").alias("nfp")), F.col("key") == F.col("of")).join(within, F.col("key") == F.col("asked"), "left")
