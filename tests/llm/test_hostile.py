@@ -60,7 +60,7 @@ def test_the_query_merges_and_compacts(spark, monkeypatch):
     commit = substring.Log.commit
     monkeypatch.setattr(substring.Log, "commit", lambda self, *a: (self.seen.append(len(self.names)), commit(self, *a))[1])
     substring.removed_words(spark.read.parquet(f"{DATA}/documents.parquet")).count()
-    assert logs[0].seen == [0, 1, 2] and len(logs[0].names) == 1 and logs[0].names[0].startswith("merged")
+    assert logs[0].seen == [0, 1, 2, 1] and len(logs[0].names) == 2 and logs[0].names[0].startswith("merged")
 
 
 def test_columns_of_any_name_come_through_the_stages(spark):
