@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def offsets(shards: DataFrame, order: str, rows: str = "rows") -> DataFrame:
-    """Shards with contiguous offsets: start and stop by a running sum in order."""
+    """Shards (one row a file, a list that one task can order) with contiguous offsets: start and stop by a running sum."""
     w = Window.orderBy(order)
     stop = F.sum(rows).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return shards.withColumn("stop", stop).withColumn("start", F.col("stop") - F.col(rows))

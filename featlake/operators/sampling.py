@@ -39,7 +39,7 @@ def fixed_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 def largest_remainder(counts: DataFrame, stratum: str, total: int) -> DataFrame:
-    """Sample sizes in proportion to counts (column n) that sum to total; equal fractions go by stratum."""
+    """Sample sizes in proportion to counts (column n, one row a stratum) that sum to total; equal fractions go by stratum."""
     share = F.col("n") * F.lit(total) / F.sum("n").over(Window.partitionBy(F.lit(1)))
     base = counts.withColumn("share", share).withColumn("floor", F.floor("share").cast("long"))
     left = F.lit(total) - F.sum("floor").over(Window.partitionBy(F.lit(1)))
