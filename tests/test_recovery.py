@@ -5,6 +5,7 @@ import tarfile
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,28 @@ def test_counts_equal_all_pairs(spark, tile, rows, least):
     assert C.counts(d.limit(0)).count() == 0
 
 
+def test_counts_move_each_entry_once_more_than_there_are_tiles():
+    """A row in 4 tiles of 2 entries: ten pairs of tiles, 4 * 5 * 2 less the repeated lists of four diagonals; a long feature is counted in parts."""
+    codes = pa.array([[t * 65536 + x for t in range(4) for x in (3, 9)]], pa.list_(pa.int32()))
+    dealt = pa.Table.from_batches(C._dealt([pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), codes], ["s", "codes"])]))
+    assert dealt.num_rows == 10 and dealt.schema.field("la").type.value_type == pa.int16()
+    assert sum(len(x) for c in ("la", "lb") for x in dealt.column(c).to_pylist()) == 2 * 4 * 4
+    fa = np.zeros(3000, np.int16)
+    got = [(i.tolist(), j.tolist(), n.tolist()) for i, j, n in C._pairs_of(fa, np.arange(3001), np.tile(np.arange(200, dtype=np.int16), 3000), np.arange(3001) * 200, 1)]
+    assert got == [([0] * 200, list(range(200)), [3000] * 200)]
+
+
+def test_neighbours_and_edges_without_all_pairs(spark):
+    d = spark.createDataFrame([(r, f"f{f:02}") for r in range(120) for f in range(30) if RNG.random() < 1 / (1 + f % 6) or (f == 7 and r % 5 == 0)], "row_id long, feature string")
+    pairs = C.counts(d, 3)
+    for f in ("f00", "f07", "none"):
+        want = C.neighbours(pairs, F.lit(f), 6).collect()
+        assert C.beside(d, f, 6, 3).collect() == want and (f == "none") == (want == [])
+    how = {"support": 5, "overlap": 4, "wilson": 0.3, "reverse": 0.9, "lift": 0.5}
+    want = sorted(C.containment(pairs, F.lit(120), **how).collect())
+    assert sorted(C.containment(C.counts(d, 3, own=C.numbered(d, 3)), F.lit(120), **how).collect()) == want and len(want) > 20
+
+
 def test_interval_join_of_spans_of_any_length(spark):
     points = [(i, float(x)) for i, x in enumerate(RNG.uniform(-100, 100, 300))] + [(900 + i, 5.0) for i in range(40)]
     spans = [(i, float(a), float(a + w)) for i, (a, w) in enumerate(zip(RNG.uniform(-120, 100, 50), 10 ** RNG.uniform(-3, 4, 50), strict=True))] + [(77, 3.0, 3.0), (78, 4.0, 2.0)]
