@@ -27,6 +27,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts alike in 0.8 of their five-word shingles the document of the least doc_id stays.
 
+    Candidates come by Golay-code keys of SimHashes, as in op2, and by MinHashes for those further apart; each is
+    verified on whole sets of shingles.
     Rows that repeat a doc_id that stays stay too; documents without an id stay, as nothing tells which they are.
     """
     groups = near_dup.similar_groups(docs).filter("doc_id = group_id").select(F.col("doc_id").alias("_id")).distinct()

@@ -385,20 +385,30 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes: a bit is 1 if set in over half of them."""
+    votes = np.zeros(64, np.int64)
+    for s in range(0, len(hashes), 1 << 15):
+        votes += np.unpackbits(hashes[s : s + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def sketches(documents: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """doc_id, digest (of the set of shingles), size (of that set) and band keys of every document."""
+    """doc_id, digest (of the set of shingles), size (of that set), band keys and SimHash (fp) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, sizes, bands = [], [], []
+            digests, sizes, bands, fps = [], [], [], []
             for x in b.column(1):
                 h = shingle_hashes((x.as_py() or "").encode(), shingle)
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sizes.append(len(h))
                 bands.append(band_keys(h))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "digest", "size", "bands"])
+                fps.append(set_fingerprint(h))
+            cols = [b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(fps, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "digest", "size", "bands", "fp"])
 
-    return map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, digest binary, size long, bands array<long>")
+    return map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, digest binary, size long, bands array<long>, fp long")
 
 
 def _shingle_sets(documents: DataFrame, nodes: DataFrame, classes: DataFrame, shingle: int, files: int) -> DataFrame:
@@ -438,19 +448,22 @@ def _reaches(both, sizes, similarity: float):
 def similar_groups(documents: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, block: int = MEMBERS) -> DataFrame:
     """doc_id and group_id (the least doc_id of its group) of every document with an id.
 
-    Candidates are texts with an equal band of MinHashes of their shingles: of texts alike in 0.8 a share of
-    1 - (1 - 0.8^6)^20 = 0.998 have one. Links are the candidates whose sets of shingles are as alike as `similarity`
+    Candidates are texts whose SimHashes meet under Golay-code keys within MAX_BITS bits, and, as SimHashes of texts
+    alike in just 0.8 are often further apart, texts with an equal band of MinHashes of their shingles: of texts alike
+    in 0.8 a share of 1 - (1 - 0.8^6)^20 = 0.998 have one. Links are the candidates whose sets of shingles are as alike as `similarity`
     (Jaccard), groups the components of the links. Texts with equal sets are one class.
     """
     files = text_files(documents)
     rows = stage(sketches(documents, shingle).filter("doc_id is not null"), "sketches", files)
-    classes = stage(rows.groupBy("digest", "size", "bands").agg(F.min("doc_id").alias("node")), "sketch_classes", files)
+    classes = stage(rows.groupBy("digest", "size", "bands", "fp").agg(F.min("doc_id").alias("node")), "sketch_classes", files)
     each = classes.select(F.explode("bands").alias("key"), "node", "size")
     shared = each.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1")
     members = stage(each.join(shared, "key"), "members", files)
-    sets = _shingle_sets(documents, members.select("node").distinct(), classes, shingle, files)
+    golay = stage(golay_pairs(classes, files), "golay", files)
+    nodes = members.select("node").unionAll(golay.select("a")).unionAll(golay.select("b")).distinct()
+    sets = _shingle_sets(documents, nodes, classes, shingle, files)
     # each against the least of its key: all there is to compare in most, and one component of most large ones
-    pairs = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).unionAll(golay).distinct()
     sides = [sets.select(F.col("node").alias(c), F.col("hashes").alias(h)) for c, h in (("a", "x"), ("b", "y"))]
     first = stage(map_batches(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y"), _alike(similarity), "a long, b long"), "similar", files)
     roots = connected_components(first, files=files).select("node", "root")
@@ -460,14 +473,27 @@ def similar_groups(documents: DataFrame, similarity: float = SIMILARITY, shingle
     return rows.select("doc_id", "digest").join(of, "digest").select("doc_id", "group_id")
 
 
+def golay_pairs(classes: DataFrame, files: int | None = None) -> DataFrame:
+    """(a, b): candidates among classes (node, size, fp), by Golay-code keys of their fingerprints.
+
+    The least nodes of fingerprints that links() joins, and each node with the least one of its own fingerprint.
+    """
+    some = classes.filter("size > 0")
+    least = stage(some.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints", files)
+    own = some.join(least, "fp").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    x, y = (least.select(F.col("fp").alias(c), F.col("least").alias(f"n{c}")) for c in ("a", "b"))
+    met = links(least.select("fp"), files=files).select("a", "b").join(x, "a").join(y, "b")
+    return own.unionAll(met.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")))
+
+
 def _meetings(members: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
     """(a, b): links that connect all members of a key that are alike and of different roots.
 
-    Keys of two are settled against their least member already. A key of more than `block` members, or of very long
-    ones, is dealt as pairs of blocks.
+    Keys of two are settled against their least member already, and of keys with the same members (two 64-bit hashes of
+    them) one is met. A key of more than `block` members, or of very long ones, is dealt as pairs of blocks.
     """
-    of_key = members.groupBy("key").agg(F.count("*").alias("_n"), F.sum("size").alias("_size"), F.min("root").alias("_low"), F.max("root").alias("_high"))
-    of_key = of_key.filter("_n > 2 and _low <> _high").select("key", F.ceil(F.greatest(F.col("_n") / block, F.col("_size") / MEMBER_SHINGLES)).alias("blocks"))
+    of_key = members.groupBy("key").agg(F.count("*").alias("_n"), F.sum("size").alias("_size"), F.min("root").alias("_low"), F.max("root").alias("_high"), F.expr("bit_xor(xxhash64(node))").alias("_x"), F.expr("bit_xor(xxhash64(node, 1))").alias("_y"))
+    of_key = of_key.filter("_n > 2 and _low <> _high").groupBy("_n", "_size", "_x", "_y").agg(F.min("key").alias("key")).select("key", F.ceil(F.greatest(F.col("_n") / block, F.col("_size") / MEMBER_SHINGLES)).alias("blocks"))
     mine = members.select("key", "node", "root").join(of_key, "key").withColumn("i", F.pmod(F.xxhash64("node"), "blocks"))
     dealt = mine.withColumn("j", F.explode(F.expr("if(blocks = 1, array(0L), array_remove(sequence(0L, blocks - 1), i))")))
     dealt = dealt.select("key", "node", "root", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))

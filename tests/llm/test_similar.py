@@ -94,3 +94,16 @@ def test_bar_is_exact(spark):
     got = groups(spark, texts)
     assert sum(0.76 < x < 0.8 for x in alike.values()) > 40
     assert not any(got[i] == got[1000 + i] for i, x in alike.items() if x < 0.8)
+
+
+def test_golay_keys_find_pairs_without_a_band(spark, monkeypatch):
+    """Candidates of the named method are linked, once verified, where no band of MinHashes is shared; others are not."""
+    w = words(900)
+    texts = {1: w, 2: w[:450] + words(1) + w[451:], 3: words(900)}
+    monkeypatch.setattr(near_dup, "band_keys", lambda hashes: [])
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    fps = {r["doc_id"]: r["fp"] for r in near_dup.sketches(d).collect()}
+    assert (fps[1] ^ fps[2]).bit_count() <= near_dup.MAX_BITS < (fps[1] ^ fps[3]).bit_count()
+    got = {r["a"]: r["b"] for r in near_dup.golay_pairs(near_dup.sketches(d).withColumnRenamed("doc_id", "node")).collect()}
+    assert got == {1: 2}
+    assert groups(spark, texts) == {1: 1, 2: 1, 3: 3}
