@@ -348,6 +348,8 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, block: int = B
 SIMILAR_SHINGLE, SIMILARITY, BANDS, WIDTH = 5, 0.8, 20, 6
 #: Texts, and shingles of texts, that one side of a meeting holds.
 MEMBERS, MEMBER_SHINGLES = 1024, 1 << 21
+#: Ids that are broadcast to where the texts are; for more the texts are shuffled.
+MOST_NODES = 500_000
 
 
 def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
@@ -411,6 +413,19 @@ def sketches(documents: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
     return map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, digest binary, size long, bands array<long>, fp long")
 
 
+def _texts_of(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and text of the documents with an id among nodes."""
+    nodes = F.broadcast(nodes) if nodes.limit(MOST_NODES + 1).count() <= MOST_NODES else nodes
+    return documents.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
+
+
+def _of_like_size(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets can be as alike as asked, by their sizes alone; once each."""
+    x, y = (classes.select(F.col("node").alias(c), F.col("size").alias(f"s{c}")).distinct() for c in "ab")
+    both = pairs.distinct().join(x, "a").join(y, "b")
+    return both.filter(F.least("sa", "sb") >= similarity * F.greatest("sa", "sb") - 1e-6).select("a", "b").distinct()
+
+
 def _shingle_sets(documents: DataFrame, nodes: DataFrame, classes: DataFrame, shingle: int, files: int) -> DataFrame:
     """node and hashes (its set of shingle hashes) of the texts of the classes of some nodes."""
 
@@ -421,8 +436,7 @@ def _shingle_sets(documents: DataFrame, nodes: DataFrame, classes: DataFrame, sh
                 sets = [shingle_hashes((x.as_py() or "").encode(), shingle).tobytes() for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], ["node", "digest", "hashes"])
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
-    found = map_batches(texts, run, "node long, digest binary, hashes binary").join(classes.select("node", "digest"), ["node", "digest"], "left_semi")
+    found = map_batches(_texts_of(documents, nodes), run, "node long, digest binary, hashes binary").join(classes.select("node", "digest"), ["node", "digest"], "left_semi")
     return stage(found.dropDuplicates(["node", "digest"]).select("node", "hashes"), "shingle_sets", files)
 
 
@@ -460,10 +474,11 @@ def similar_groups(documents: DataFrame, similarity: float = SIMILARITY, shingle
     shared = each.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1")
     members = stage(each.join(shared, "key"), "members", files)
     golay = stage(golay_pairs(classes, files), "golay", files)
-    nodes = members.select("node").unionAll(golay.select("a")).unionAll(golay.select("b")).distinct()
-    sets = _shingle_sets(documents, nodes, classes, shingle, files)
     # each against the least of its key: all there is to compare in most, and one component of most large ones
-    pairs = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).unionAll(golay).distinct()
+    pairs = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).unionAll(golay)
+    pairs = stage(_of_like_size(pairs, classes, similarity), "candidates", files)
+    nodes = members.filter("n > 2").select("node").unionAll(pairs.select("a")).unionAll(pairs.select("b"))
+    sets = _shingle_sets(documents, stage(nodes.distinct(), "nodes", files), classes, shingle, files)
     sides = [sets.select(F.col("node").alias(c), F.col("hashes").alias(h)) for c, h in (("a", "x"), ("b", "y"))]
     first = stage(map_batches(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y"), _alike(similarity), "a long, b long"), "similar", files)
     roots = connected_components(first, files=files).select("node", "root")

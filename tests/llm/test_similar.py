@@ -107,3 +107,23 @@ def test_golay_keys_find_pairs_without_a_band(spark, monkeypatch):
     got = {r["a"]: r["b"] for r in near_dup.golay_pairs(near_dup.sketches(d).withColumnRenamed("doc_id", "node")).collect()}
     assert got == {1: 2}
     assert groups(spark, texts) == {1: 1, 2: 1, 3: 3}
+
+
+def test_texts_stay_where_they_are(spark):
+    """Only ids move to pick the texts of candidates, whatever their number below the bound."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([(i, f"text {i}") for i in range(9)], "doc_id long, text string")
+        found = near_dup._texts_of(docs, spark.range(3, 5).withColumnRenamed("id", "node"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(r["node"] for r in found.collect()) == [3, 4]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pairs_of_unlike_sizes_are_not_read(spark):
+    """Sets of which one is under 0.8 of the other cannot be alike in 0.8; an id of several texts keeps all its chances."""
+    classes = spark.createDataFrame([(1, 100), (2, 80), (3, 79), (4, 10), (4, 125)], "node long, size long")
+    pairs = spark.createDataFrame([(1, 2), (1, 2), (1, 3), (1, 4), (2, 4)], "a long, b long")
+    assert sorted(map(tuple, near_dup._of_like_size(pairs, classes, 0.8).collect())) == [(1, 2), (1, 4)]
