@@ -397,3 +397,18 @@ def test_drained_sums_go_on_after_a_restart(spark):
         d.filter(F.col("v") % 2 == part).write.mode("append").parquet(folder)
         out = streams.drain(streams.moments(streams.read_files(spark, folder, d.schema, 1), "k", F.col("v")), "complete", at)
     assert {r["k"]: (r["n"], r["s1"]) for r in out.collect()} == {str(k): (30, sum(range(k, 90, 3))) for k in range(3)}
+
+
+def test_passes_count_each_pair_of_tiles_once_and_bound_what_moves(spark):
+    for tiles in (1, 2, 9, 17, 200):
+        ranges = C.passes(tiles)
+        assert [a for a, _ in ranges] == [0, *(b for _, b in ranges[:-1])] and ranges[-1][1] == tiles
+        assert all(sum((2 * (tiles - a) - 1) / tiles for a in range(*r)) <= C.MOVED for r in ranges)
+    baskets = [(r, f"f{f}") for r in range(50) for f in range(40) if RNG.random() < 0.3]
+    d = spark.createDataFrame(baskets, "row_id long, feature string")
+    whole, parts = (sorted(C.counts(d, 2, 5, rows, moved=moved).collect()) for rows, moved in ((100, 100), (20, 1)))
+    assert len(C.passes(8, 1)) > 3 and whole == parts
+    how = {"support": 5, "overlap": 4, "wilson": 0.3, "reverse": 0.9, "lift": 0.5}
+    edges = lambda p: C.containment(p, F.lit(50), **how)
+    own = C.numbered(d, 2, 5)
+    assert sorted(C.counts(d, 2, own=own, then=edges, moved=1).collect()) == sorted(edges(C.counts(d, 2, 5)).collect())
